@@ -1,4 +1,4 @@
-"""Randomness as a pure function of (key, seed).
+"""Randomness as a pure function of (key, seed), as SQL text.
 
 md5 is used because its order is the same in every engine, so a sample can be
 checked against plain SQL, and because it does not depend on partitioning.
@@ -8,31 +8,32 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def hash_hex(*parts: object) -> str:
+    """md5 over SQL texts (or plain numbers) joined by a bar, as 32 hex digits."""
+    return f"md5(concat_ws('|', {', '.join(f'CAST({p} AS STRING)' for p in parts)}))"
 
-def hash_hex(*parts: Column | str | int) -> Column:
-    """md5 over the parts joined by a bar, as 32 hex digits."""
-    texts = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.md5(F.concat_ws("|", *texts))
 
-
-def hex_word(hexed: Column, word: int = 0) -> Column:
+def hex_word(hexed: str, word: int = 0) -> str:
     """One of the four 32-bit words of a hash, as a non-negative BIGINT."""
-    return F.conv(F.substring(hexed, 8 * word + 1, 8), 16, 10).cast("long")
+    return f"CAST(conv(substring({hexed}, {8 * word + 1}, 8), 16, 10) AS BIGINT)"
+
+
+def hex_wide(hexed: str) -> str:
+    """60 bits of a hash as BIGINT, enough to spread draws over any table size."""
+    return f"CAST(conv(substring({hexed}, 1, 15), 16, 10) AS BIGINT)"
 
 
-def unit(hexed: Column, word: int = 0) -> Column:
+def unit(hexed: str, word: int = 0) -> str:
     """Uniform double strictly between 0 and 1."""
-    return (hex_word(hexed, word) + F.lit(0.5)) / F.lit(4294967296.0)
+    return f"(({hex_word(hexed, word)} + 0.5D) / 4294967296.0D)"
 
 
-def normals(hexed: Column) -> list[Column]:
+def normals(hexed: str) -> list[str]:
     """Four standard normal draws from one hash (two Box-Muller pairs)."""
     out = []
     for first in (0, 2):
-        radius = F.sqrt(F.lit(-2.0) * F.log(unit(hexed, first)))
-        angle = F.lit(2.0 * math.pi) * unit(hexed, first + 1)
-        out += [radius * F.cos(angle), radius * F.sin(angle)]
+        radius = f"sqrt(-2.0D * ln({unit(hexed, first)}))"
+        angle = f"({2.0 * math.pi!r}D * {unit(hexed, first + 1)})"
+        out += [f"({radius} * cos({angle}))", f"({radius} * sin({angle}))"]
     return out

@@ -1,58 +1,56 @@
-"""Lenient number parsing and rounding with the tolerance rules the checks need."""
+"""Lenient number parsing and rounding with the tolerance rules the checks need (as SQL text)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import c, dtype_of, is_integral, is_text
+from .columns import is_integral, is_text, quoted
 
 #: What counts as a number in text. Casting alone would also accept Java forms such as "1d".
 NUMBER_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
 
 #: Closeness tolerances: absolute and relative to the second operand.
-ABS_TOL = 1e-8
-REL_TOL = 1e-5
+ABS_TOL = "1e-8D"
+REL_TOL = "1e-5D"
 
 
-def parse_number(col: Column) -> Column:
+def parse_number(x: str) -> str:
     """Text to double; anything that is not a plain number becomes NULL."""
-    return F.when(col.rlike(NUMBER_PATTERN), col.try_cast("double"))
+    return f"(CASE WHEN {x} RLIKE r'{NUMBER_PATTERN}' THEN try_cast({x} AS DOUBLE) END)"
 
 
-def num(df: DataFrame, name: str) -> Column:
+def num(schema: T.StructType, name: str) -> str:
     """Numeric reading of a column: BIGINT for integral types, DOUBLE otherwise, never NaN.
 
     Integral columns stay integral so that range predicates keep their pushdown.
     """
-    dtype = dtype_of(df, name)
-    col = c(name)
+    dtype, x = schema[name].dataType, quoted(name)
+    if isinstance(dtype, T.LongType):
+        return x
     if is_integral(dtype):
-        return col.cast("long")
+        return f"CAST({x} AS BIGINT)"
     if is_text(dtype):
-        return parse_number(col)
+        return parse_number(x)
     if isinstance(dtype, T.BooleanType):
-        return col.cast("int").cast("long")
+        return f"CAST(CAST({x} AS INT) AS BIGINT)"
     if isinstance(dtype, T.NumericType):
-        value = col.cast("double")
-        return F.when(~F.isnan(value), value)
-    return F.lit(None).cast("double")
+        return f"(CASE WHEN NOT isnan(CAST({x} AS DOUBLE)) THEN CAST({x} AS DOUBLE) END)"
+    return "CAST(NULL AS DOUBLE)"
 
 
-def isclose(a: Column, b: Column) -> Column:
+def isclose(a: str, b: str) -> str:
     """Closeness relative to ``b``; equal infinities are close."""
-    return (a == b) | (F.abs(a - b) <= F.lit(ABS_TOL) + F.lit(REL_TOL) * F.abs(b))
+    return f"({a} = {b} OR abs({a} - {b}) <= {ABS_TOL} + {REL_TOL} * abs({b}))"
 
 
-def integerish(df: DataFrame, name: str) -> Column:
+def integerish(schema: T.StructType, name: str) -> str:
     """True where the cell holds a number that is an integer within tolerance."""
-    value = num(df, name)
-    if is_integral(dtype_of(df, name)):
-        return value.isNotNull()
-    return F.coalesce(isclose(value, F.rint(value)), F.lit(False))
+    value = num(schema, name)
+    if is_integral(schema[name].dataType):
+        return f"({value} IS NOT NULL)"
+    return f"coalesce({isclose(value, f'rint({value})')}, false)"
 
 
-def round_to_long(value: Column) -> Column:
+def round_to_long(x: str) -> str:
     """Round half-even to BIGINT; values beyond BIGINT become NULL."""
-    return F.rint(value).try_cast("long")
+    return f"try_cast(rint({x}) AS BIGINT)"

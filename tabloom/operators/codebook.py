@@ -8,8 +8,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import c, key_text
+from ..functions.columns import c, key_text, literal, literals, pick, quoted, replaced
 from ..session import materialize
 from .lookups import lookup_join
 
@@ -17,6 +18,8 @@ _LETTERS = string.ascii_uppercase
 _ALPHABET = string.ascii_uppercase + string.digits
 #: Odd and prime to 3 and 13, so it permutes the code space of every length.
 _STEP = 709301
+#: Aggregate over structs ``x`` whose last field is a ``line``: the lines joined in struct order.
+JOINED_LINES = "array_join(transform(sort_array(collect_list(x)), x -> x.line), '\\n')"
 #: Columns with no more values than this are looked up in a literal map instead of a join.
 LITERAL_BOUND = 256
 
@@ -25,16 +28,11 @@ def code_capacity(length: int) -> int:
     return len(_LETTERS) * len(_ALPHABET) ** (length - 1)
 
 
-def code_text(number: Column, length: int, seed: int) -> Column:
+def code_text(number: str, length: int, seed: int) -> str:
     """The code of a row number: a letter, then letters or digits; different numbers never collide."""
-    spot = F.pmod(number * _STEP + seed, F.lit(code_capacity(length)))
-    digits = []
-    for place in range(length - 1, -1, -1):
-        digit = F.floor(spot / F.lit(36**place)).cast("int")
-        if place < length - 1:
-            digit = digit % 36
-        digits.append(F.substr(F.lit(_ALPHABET), digit + 1, F.lit(1)))
-    return F.concat(*digits)
+    spot = f"pmod({number} * {_STEP}L + {seed}, {code_capacity(length)}L)"
+    digits = [f"{spot} div {36**place}L % 36" for place in range(length - 1, -1, -1)]
+    return f"concat({', '.join(f'substring({literal(_ALPHABET)}, CAST({d} AS INT) + 1, 1)' for d in digits)})"
 
 
 @dataclass(frozen=True)
@@ -59,28 +57,25 @@ class CodeBook:
         if not 1 <= code_length <= 6:
             raise ValueError("code_length must be between 1 and 6")
         names = list(dict.fromkeys(n for n in columns if n in df.columns))
-        cells = df.select(*[key_text(df, n).alias(f"v{i}") for i, n in enumerate(names)])
+        cells = df.selectExpr(*[f"{key_text(df.schema, n)} AS v{i}" for i, n in enumerate(names)])
         values = (
             cells.unpivot([], [f"v{i}" for i in range(len(names))], "v", "value")
             .filter("value IS NOT NULL")
             .distinct()
-            .select(F.substring("v", 2, 9).cast("int").alias("position"), "value")
+            .selectExpr("CAST(substring(v, 2) AS INT) AS position", "value")
         )
         values = materialize(values, "category-values")
         counts = {row["position"]: row["count"] for row in values.groupBy("position").count().collect()}
         if sum(counts.values()) > code_capacity(code_length):
             raise ValueError(f"More than {code_capacity(code_length)} values for codes of length {code_length}")
-        starts, start = [], 0
-        for i in range(len(names)):
-            starts.append(F.lit(start))
-            start += counts.get(i, 0)
-        within = F.row_number().over(Window.partitionBy("position").orderBy("value")) - 1
-        number = F.element_at(F.array(*starts), F.col("position") + 1).cast("long") + within
+        starts = [sum(counts.get(j, 0) for j in range(i)) for i in range(len(names))]
+        within = F.row_number().over(Window.partitionBy("position").orderBy("value"))
+        number = f"element_at(array({', '.join(f'{x}L' for x in starts)}), position + 1) + within - 1"
         table = materialize(
-            values.select(
-                F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1).alias("column"),
+            values.withColumn("within", within).selectExpr(
+                f"element_at(array({literals(names)}), position + 1) AS column",
                 "value",
-                code_text(number, code_length, seed).alias("code"),
+                f"{code_text(f'({number})', code_length, seed)} AS code",
             ),
             "code-table",
         )
@@ -105,33 +100,40 @@ class CodeBook:
 
     def known_only(self, df: DataFrame) -> DataFrame:
         """Rows whose cells all hold a known value; a missing cell is not known."""
-        for name in (n for n in self.sizes if n in df.columns):
-            if name in self.literal or not self.sizes[name]:
-                df = df.filter(F.coalesce(key_text(df, name).isin(*self.literal.get(name, {})), F.lit(False)))
-                continue
+        present = [n for n in self.sizes if n in set(df.columns)]
+        small = [n for n in present if n in self.literal or not self.sizes[n]]
+        tests = []
+        for name in small:
+            known = literals(self.literal.get(name, {}))
+            tests.append(f"coalesce({key_text(df.schema, name)} IN ({known}), false)" if known else "false")
+        if tests:
+            df = df.filter(" AND ".join(tests))
+        for name in (n for n in present if n not in small):
             kept = df.columns
-            rows = df.withColumn("_key", key_text(df, name))
+            rows = df.selectExpr("*", f"{key_text(df.schema, name)} AS _key")
             known = self.table.filter(F.col("column") == name).select(F.col("value").alias("_key"))
-            df = lookup_join(rows, known, ["_key"], self._spread(df), self.sizes[name]).select(*[c(n) for n in kept])
+            df = lookup_join(rows, known, ["_key"], self._spread(df), self.sizes[name]).select(*pick(kept))
         return df
 
     def _replace(self, df: DataFrame, source: str, target: str) -> DataFrame:
-        order = df.columns
-        names = [n for n in self.sizes if n in df.columns]
-        df = df.withColumns({n: key_text(df, n) for n in names}) if names else df
-        mapped = {}
-        for name in (n for n in names if n in self.literal):
-            pairs = self.literal[name].items() if source == "value" else [(b, a) for a, b in self.literal[name].items()]
-            entries = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-            mapped[name] = F.coalesce(F.try_element_at(entries, c(name)), c(name))
-        df = df.withColumns(mapped) if mapped else df
+        order, texts = df.columns, {}
+        names = [n for n in self.sizes if n in set(order)]
+        for name in names:
+            text = key_text(df.schema, name)
+            pairs = self.literal.get(name, {}).items()
+            if pairs:
+                entries = ", ".join(f"{literal(v)}, {literal(k)}" if source == "value" else f"{literal(k)}, {literal(v)}" for v, k in pairs)
+                text = f"coalesce(try_element_at(map({entries}), {text}), {text})"
+            texts[name] = text
+        df = replaced(df, texts)
         for name in (n for n in names if n not in self.literal and self.sizes[n]):
             entry = self.table.filter(F.col("column") == name).select(
                 F.col(source).alias("_key"), F.col(target).alias("_new")
             )
-            rows = df.withColumn("_key", c(name))
-            joined = lookup_join(rows, entry, ["_key"], self._spread(df), self.sizes[name], "left")
-            df = joined.withColumn(name, F.coalesce("_new", c(name))).select(*[c(n) for n in order])
+            joined = lookup_join(
+                df.selectExpr("*", f"{quoted(name)} AS _key"), entry, ["_key"], self._spread(df), self.sizes[name], "left"
+            )
+            df = replaced(joined, {name: f"coalesce(_new, {quoted(name)})"}).select(*pick(order))
         return df
 
     @staticmethod
@@ -139,17 +141,16 @@ class CodeBook:
         return F.struct(*[c(n) for n in df.columns])
 
 
-def csv_cell(text: Column) -> Column:
+def csv_cell(x: str) -> str:
     """Quote a cell only if it holds a comma, quote or line break; missing becomes empty."""
-    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.coalesce(F.when(text.rlike('[,"\r\n]'), quoted).otherwise(text), F.lit(""))
+    escaped = f"""concat('"', replace({x}, '"', '""'), '"')"""
+    return f"""coalesce(CASE WHEN {x} RLIKE '[,"\\r\\n]' THEN {escaped} ELSE {x} END, '')"""
 
 
-def csv_line(df: DataFrame, columns: Sequence[str]) -> Column:
+def csv_line(schema: T.StructType, columns: Sequence[str]) -> str:
     """The row as one CSV line."""
-    cells = [csv_cell(key_text(df, n)) for n in columns]
-    line = F.concat_ws(",", *cells)
-    return line if len(cells) > 1 else F.when(line == "", F.lit('""')).otherwise(line)
+    line = f"concat_ws(',', {', '.join(csv_cell(key_text(schema, n)) for n in columns)})"
+    return line if len(columns) > 1 else f"""coalesce(nullif({line}, ''), '""')"""
 
 
 def csv_header(columns: Sequence[str]) -> str:
@@ -160,6 +161,5 @@ def csv_header(columns: Sequence[str]) -> str:
 
 def csv_text(df: DataFrame, columns: Sequence[str], order: str, by: Sequence[str]) -> DataFrame:
     """One CSV text (without header) per group, lines in ``order``; meant for small groups such as prompts."""
-    lines = df.select(*[c(n) for n in by], F.struct(c(order).alias("o"), csv_line(df, columns).alias("line")).alias("x"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n")
-    return lines.groupBy(*[c(n) for n in by]).agg(joined.alias("text"))
+    lines = df.selectExpr(*pick(by), f"struct({quoted(order)} AS o, {csv_line(df.schema, columns)} AS line) AS x")
+    return lines.groupBy(*pick(by)).agg(F.expr(f"{JOINED_LINES} AS text"))

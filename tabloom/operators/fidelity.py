@@ -12,7 +12,7 @@ from collections.abc import Collection, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, common_columns, is_text, key_text
+from ..functions.columns import c, common_columns, is_text, key_text, literals
 from ..functions.numeric import num
 from .ranking import prefix_sums
 
@@ -23,32 +23,33 @@ def _value_counts(real: DataFrame, synthetic: DataFrame, columns: Sequence[str],
     """``column, value, r, s``: occurrences of each value on either side."""
 
     def side(df: DataFrame, mark: int) -> DataFrame:
-        cells = [(key_text(df, n) if text else num(df, n).cast("double")).alias(f"v{i}") for i, n in enumerate(columns)]
-        return df.select(F.lit(mark).alias("side"), *cells)
+        schema = df.schema
+        cells = [
+            f"{key_text(schema, n) if text else f'CAST({num(schema, n)} AS DOUBLE)'} AS v{i}" for i, n in enumerate(columns)
+        ]
+        return df.selectExpr(f"{mark} AS side", *cells)
 
     stacked = side(real, 1).unionByName(side(synthetic, 0))
     long = stacked.unpivot(["side"], [f"v{i}" for i in range(len(columns))], "column", "value")
-    return long.groupBy("column", "value").agg(
-        F.sum("side").cast("long").alias("r"), F.sum(1 - F.col("side")).cast("long").alias("s")
-    )
+    return long.groupBy("column", "value").agg(F.expr("sum(side) AS r"), F.expr("sum(1 - side) AS s"))
 
 
-def _named(df: DataFrame, columns: Sequence[str]) -> Column:
+def _named(columns: Sequence[str]) -> Column:
     """Translate the positional names v0, v1... back."""
-    index = F.substring("column", 2, 9).cast("int") + 1
-    return F.element_at(F.array(*[F.lit(n) for n in columns]), index)
+    return F.expr(f"element_at(array({literals(columns)}), CAST(substring(column, 2) AS INT) + 1)")
 
 
 def total_variation(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, distance``: half the summed frequency differences; missing is a value of its own."""
     counts = _value_counts(real, synthetic, columns, text=True)
     totals = counts.groupBy("column").agg(F.sum("r").alias("nr"), F.sum("s").alias("ns"))
-    share = lambda n, total: F.coalesce(F.try_divide(F.col(n), F.col(total)), F.lit(0.0))
     joined = counts.join(F.broadcast(totals), "column")  # one row per column
     return (
         joined.groupBy("column")
-        .agg((F.sum(F.abs(share("r", "nr") - share("s", "ns"))) * 0.5).alias("distance"))
-        .select(_named(joined, columns).alias("column"), "distance")
+        .agg(
+            F.expr("0.5D * sum(abs(coalesce(try_divide(r, nr), 0.0D) - coalesce(try_divide(s, ns), 0.0D))) AS distance")
+        )
+        .select(_named(columns).alias("column"), "distance")
     )
 
 
@@ -57,11 +58,11 @@ def kolmogorov_smirnov(real: DataFrame, synthetic: DataFrame, columns: Sequence[
     counts = _value_counts(real, synthetic, columns, text=False).filter("value IS NOT NULL")
     totals = counts.groupBy("column").agg(F.sum("r").alias("nr"), F.sum("s").alias("ns"))
     cumulated = prefix_sums(counts, "value", ["r", "s"], by="column").join(F.broadcast(totals), "column")
-    gap = F.abs(F.try_divide("cum_r", "nr") - F.try_divide("cum_s", "ns"))
+    gap = F.expr("abs(try_divide(cum_r, nr) - try_divide(cum_s, ns))")
     found = cumulated.groupBy("column").agg(F.max(gap).alias("distance"))
     every = real.sparkSession.createDataFrame([(f"v{i}",) for i in range(len(columns))], "column string")
     return every.join(found, "column", "left").select(
-        _named(every, columns).alias("column"), F.coalesce("distance", F.lit(1.0)).alias("distance")
+        _named(columns).alias("column"), F.coalesce("distance", F.lit(1.0)).alias("distance")
     )
 
 

@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import c
-from ..functions.hashing import hash_hex
+from ..functions.columns import c, pick, quoted
+from ..functions.hashing import hash_hex, hex_wide
 from ..session import materialize
 from .codebook import csv_line
 from .codec import TextCodec
 from .constraints import Constraint
 from .prompts import PromptBuilder
 from .ranking import dense_index
-from .sampling import ROW_ID, balanced_draws, class_counts, class_quota, hex_word_wide, mutated
+from .sampling import ROW_ID, balanced_draws, class_counts, class_quota, mutated
 
 Responder = Callable[[DataFrame, tuple[int, int]], DataFrame]
 #: Rounds asked for at once; bounds the small per-round tables of one batch.
@@ -78,17 +78,15 @@ def table_responder(
 
     def respond(prompts: DataFrame, rounds: tuple[int, int]) -> DataFrame:
         draws = balanced_draws(df, label, per_class, 1, rounds, seed, key)
-        place = F.struct(F.col("class").cast("string").alias("c"), "draw").alias("place")
+        place = "struct(CAST(class AS STRING) AS c, draw) AS place"
         if mutator is None:
-            lines = builder.csv_lines(df, draws).select("round", place, "line")
+            lines = builder.csv_lines(df, draws).selectExpr("round", place, "line")
         else:
-            drawn = builder.drawn_rows(df, draws).select("round", place, *[c(n) for n in builder.columns])
+            drawn = builder.drawn_rows(df, draws).selectExpr("round", place, *pick(builder.columns))
             rows = builder.coded(mutated(drawn, mutator, seed))
-            lines = rows.select("round", "place", csv_line(rows, builder.columns).alias("line"))
-        ordered = F.slice(F.sort_array(F.collect_list(F.struct("place", "line"))), 1, n_rows)
-        replies = lines.groupBy("round").agg(
-            F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("reply")
-        )
+            lines = rows.selectExpr("round", "place", f"{csv_line(rows.schema, builder.columns)} AS line")
+        ordered = f"slice(sort_array(collect_list(struct(place, line))), 1, {n_rows})"
+        replies = lines.groupBy("round").agg(F.expr(f"array_join(transform({ordered}, x -> x.line), '\\n') AS reply"))
         return prompts.join(replies, "round")
 
     return respond
@@ -157,7 +155,7 @@ def _first_of_batch(rows: DataFrame, n: int) -> DataFrame:
     return (
         placed.withColumn("_rank", rank)
         .filter(F.col("_before") + F.col("_rank") <= n)
-        .select(*[c(x) for x in rows.columns])
+        .select(*pick(rows.columns))
     )
 
 
@@ -202,9 +200,8 @@ def table_text_responder(codec: TextCodec, df: DataFrame, label: str, seed: int
             c(label).alias("_class"), "_index", codec.sentence(indexed, seed, key=key).alias("reply")
         )
         sizes = class_counts(df, label).select("_class", "_size")
-        asked = prompts.join(F.broadcast(sizes), c(label) == F.col("_class")).withColumn(
-            "_index", F.pmod(hex_word_wide(hash_hex(F.col(ROW_ID), seed)), F.col("_size"))
-        )
-        return asked.join(texts, ["_class", "_index"]).select(*[c(n) for n in prompts.columns], "reply")
+        asked = prompts.join(F.broadcast(sizes), c(label) == F.col("_class"))
+        asked = asked.selectExpr("*", f"pmod({hex_wide(hash_hex(quoted(ROW_ID), seed))}, _size) AS _index")
+        return asked.join(texts, ["_class", "_index"]).select(*pick(prompts.columns), "reply")
 
     return respond

@@ -21,10 +21,11 @@ import math
 from collections.abc import Collection
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import c, common_columns, is_text, key_text
+from ..functions.columns import c, common_columns, is_text, key_text, literal, quoted
 from ..functions.numeric import num
 from ..functions.tiles import assign_cells, list_visits, tile_minima
 from ..session import materialize
@@ -38,16 +39,18 @@ MAX_CELLS = 1024
 _FEATURES = "x array<double>, k array<string>"
 
 
-def _encoded(df: DataFrame, numeric: list[str], scale: dict[str, tuple[float, float]], texts: list[str]) -> list[Column]:
+def _encoded(
+    schema: T.StructType, numeric: list[str], scale: dict[str, tuple[float, float]], texts: list[str]
+) -> list[str]:
     """``x``: scaled numbers (missing as 0); ``k``: category texts (missing equals missing)."""
     numbers = []
     for name in numeric:
-        low, width = scale[name]
-        numbers.append((F.coalesce(num(df, name).cast("double"), F.lit(low)) - F.lit(low)) / F.lit(width))
-    words = [F.coalesce(key_text(df, name), F.lit("\u0000")) for name in texts]
+        low, width = (literal(v) for v in scale[name])
+        numbers.append(f"(coalesce(CAST({num(schema, name)} AS DOUBLE), {low}) - {low}) / {width}")
+    words = [f"coalesce({key_text(schema, name)}, {literal(chr(0))})" for name in texts]
     return [
-        F.array(*numbers).cast("array<double>").alias("x"),
-        F.array(*words).cast("array<string>").alias("k"),
+        f"CAST(array({', '.join(numbers)}) AS ARRAY<DOUBLE>) AS x",
+        f"CAST(array({', '.join(words)}) AS ARRAY<STRING>) AS k",
     ]
 
 
@@ -107,9 +110,8 @@ def distance_to_closest_record(
     empty = real.sparkSession.createDataFrame([], f"`{key}` {id_type}, dcr double")
     scale = {}
     if numeric:
-        limits = real.agg(
-            *[F.min(num(real, n)).cast("double").alias(f"lo{i}") for i, n in enumerate(numeric)],
-            *[F.max(num(real, n)).cast("double").alias(f"hi{i}") for i, n in enumerate(numeric)],
+        limits = real.selectExpr(
+            *[f"CAST({f}({num(real.schema, n)}) AS DOUBLE) AS {tag}{i}" for i, n in enumerate(numeric) for f, tag in (("min", "lo"), ("max", "hi"))]
         ).first()
         for i, n in enumerate(numeric):
             low, high = limits[f"lo{i}"], limits[f"hi{i}"]
@@ -119,11 +121,11 @@ def distance_to_closest_record(
     if not numeric and not texts:
         return empty
 
-    distinct = materialize(real.select(*_encoded(real, numeric, scale, texts)).distinct(), "real-rows")
+    distinct = materialize(real.selectExpr(*_encoded(real.schema, numeric, scale, texts)).distinct(), "real-rows")
     n_real = distinct.count()
     if not n_real:
         return empty
-    probes = materialize(synthetic.select(c(key).alias("id"), *_encoded(synthetic, numeric, scale, texts)), "probes")
+    probes = materialize(synthetic.selectExpr(f"{quoted(key)} AS id", *_encoded(synthetic.schema, numeric, scale, texts)), "probes")
     width = len(numeric) + len(texts)
 
     n_cells = min(MAX_CELLS, math.ceil(n_real / TILE_ROWS))

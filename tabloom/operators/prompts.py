@@ -10,13 +10,13 @@ import string
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import c, strip
+from ..functions.columns import c, literal, literals, named, pick, strip
 from ..session import BROADCAST_ROW_BOUND, at_most
-from .codebook import CodeBook, csv_header, csv_line
+from .codebook import JOINED_LINES, CodeBook, csv_header, csv_line
 from .constraints import Constraint, reject_invalid
 from .lookups import lookup_join
 from .sampling import ROW_ID, balanced_draws
@@ -89,27 +89,24 @@ class PromptBuilder:
         draws = balanced_draws(
             df, cfg.target, cfg.n_samples_per_class, cfg.n_sets, rounds, cfg.seed if seed is None else seed, self.key
         )
-        lines = self.csv_lines(df, draws).select(
-            "round", "set", F.struct(F.col("class").cast("string").alias("c"), "draw", "line").alias("x")
+        lines = self.csv_lines(df, draws).selectExpr(
+            "round", "set", "struct(CAST(class AS STRING) AS c, draw, line) AS x"
         )
         header = csv_header(self.columns)
-        title = F.concat(F.lit("Set "), F.substr(F.lit(SET_NAMES), F.col("set").cast("int") + 1, F.lit(1)), F.lit(":"))
-        rows = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n")
-        blocks = lines.groupBy("round", "set").agg(rows.alias("rows"))
-        block = F.struct("set", F.concat_ws("\n", title, F.lit(header), "rows", F.lit("")).alias("text"))
-        sets = F.array_join(F.transform(F.sort_array(F.collect_list(block)), lambda x: x["text"]), "\n")
+        blocks = lines.groupBy("round", "set").agg(F.expr(f"{JOINED_LINES} AS rows"))
+        title = f"concat('Set ', substring({literal(SET_NAMES)}, CAST(set AS INT) + 1, 1), ':')"
+        block = f"struct(set, concat_ws('\\n', {title}, {literal(header)}, rows, '') AS line) AS x"
         closing = (
             f"Generate {cfg.generated_rows_per_prompt} new rows, balanced across {cfg.target} classes.\n{header}"
         )
-        return blocks.groupBy("round").agg(
-            F.concat_ws("\n", F.lit(self._opening()), sets, F.lit(closing)).alias("prompt")
-        )
+        text = f"concat_ws('\\n', {literal(self._opening())}, {JOINED_LINES}, {literal(closing)}) AS prompt"
+        return blocks.selectExpr("round", block).groupBy("round").agg(F.expr(text))
 
     def csv_lines(self, df: DataFrame, draws: DataFrame) -> DataFrame:
         """``draws`` plus the coded CSV line of each drawn row."""
         picked, size = self._picked(df, draws)
         lines = self.coded(picked)
-        lines = lines.select(c(self.key), csv_line(lines, self.columns).alias("line"))
+        lines = lines.selectExpr(*pick([self.key]), f"{csv_line(lines.schema, self.columns)} AS line")
         return lookup_join(draws, lines, [self.key], F.col("round"), size)
 
     def drawn_rows(self, df: DataFrame, draws: DataFrame) -> DataFrame:
@@ -120,7 +117,7 @@ class PromptBuilder:
     def _picked(self, df: DataFrame, draws: DataFrame) -> tuple[DataFrame, int]:
         drawn = draws.select(self.key).distinct()
         size = BROADCAST_ROW_BOUND if at_most(drawn, BROADCAST_ROW_BOUND) else BROADCAST_ROW_BOUND + 1
-        return df.join(drawn, self.key, "left_semi").select(c(self.key), *[c(n) for n in self.columns]), size
+        return df.join(drawn, self.key, "left_semi").select(*pick([self.key, *self.columns])), size
 
     def _opening(self) -> str:
         described = [f"{n}: {self.descriptions[n]}" for n in self.columns if n in self.descriptions]
@@ -144,24 +141,20 @@ class PromptBuilder:
         return reject_invalid(known, constraints)
 
 
-def kept_lines(reply: Column, n_columns: int) -> Column:
+def kept_lines(reply: str, n_columns: int) -> str:
     """Lines of a reply that look like data: the array of stripped lines with the right comma count.
 
     Cutting the text at its fence lines leaves pieces that are outside and
     inside a fence by turns; chatty lines are dropped outside only.
     """
-    pieces = F.split(F.regexp_replace(reply, _LINE_BREAKS, "\n"), _FENCE_LINE, -1)
-    chatty = "(?i)^(" + "|".join(CHATTY_PREFIXES) + ")"
-
-    def lines(piece: Column, place: Column) -> Column:
-        def wanted(x: Column) -> Column:
-            commas = F.length(x) - F.length(F.replace(x, F.lit(",")))
-            outside = place % 2 == 0
-            return (x != "") & ~x.startswith(FENCE) & (commas == n_columns - 1) & ~(outside & x.rlike(chatty))
-
-        return F.filter(F.transform(F.split(piece, "\n"), strip), wanted)
-
-    return F.flatten(F.transform(pieces, lines))
+    pieces = f"split(regexp_replace({reply}, r'{_LINE_BREAKS}', '\\n'), r'{_FENCE_LINE}', -1)"
+    chatty = f"(i % 2 = 0 AND x RLIKE '(?i)^({'|'.join(CHATTY_PREFIXES)})')"
+    wanted = (
+        f"x != '' AND NOT startswith(x, '{FENCE}') AND NOT {chatty} "
+        f"AND length(x) - length(replace(x, ',', '')) = {n_columns - 1}"
+    )
+    lines = f"filter(transform(split(piece, '\\n'), x -> {strip('x')}), x -> {wanted})"
+    return f"flatten(transform({pieces}, (piece, i) -> {lines}))"
 
 
 def parse_replies(
@@ -172,26 +165,21 @@ def parse_replies(
     Each line is parsed alone. A quoted comma makes a row too short, so such
     rows and repeated headers are dropped.
     """
-    lines = replies.select(
-        *[c(k) for k in keep], F.posexplode(kept_lines(c(reply), len(columns))).alias("line_no", "_line")
+    lines = replies.selectExpr(
+        *pick(keep), f"posexplode({kept_lines(*pick([reply]), len(columns))}) AS (line_no, _line)"
+    )
+    closed = r"""(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$"""
+    unescaped = lambda x: f"""replace({x}, '""', '"')"""
+    whole = f"concat({unescaped(f"regexp_extract(x, r'{closed}', 1)")}, regexp_extract(x, r'{closed}', 2))"
+    cut = unescaped("substring(x, 2)")
+    value = strip(
+        f"""CASE WHEN NOT startswith(x, '"') THEN x WHEN x RLIKE r'{closed}' THEN {whole} ELSE {cut} END"""
     )
-    closed = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$'
-    open_end = r'(?s)^"(.*)$'
-
-    def value(cell: Column) -> Column:
-        inner = F.replace(F.regexp_extract(cell, closed, 1), F.lit('""'), F.lit('"'))
-        whole = F.concat(inner, F.regexp_extract(cell, closed, 2))
-        cut = F.replace(F.regexp_extract(cell, open_end, 1), F.lit('""'), F.lit('"'))
-        plain = F.when(cell.rlike(closed), whole).otherwise(cut)
-        return strip(F.when(cell.startswith('"'), plain).otherwise(cell))
-
-    raw = F.split("_line", ",")
-    body = F.slice("_raw", 1, len(columns) - 1) if len(columns) > 1 else F.array().cast("array<string>")
-    spills = F.exists(body, lambda x: x.startswith('"') & ~x.rlike(closed))
-    cells = lines.withColumn("_raw", raw).filter(~spills).withColumn("_cells", F.transform("_raw", value))
-    header = F.array(*[F.lit(n) for n in columns])
-    return cells.filter(F.col("_cells") != header).select(
-        *[c(k) for k in keep],
-        F.col("line_no").cast("long").alias("line_no"),
-        *[F.element_at("_cells", i + 1).alias(n) for i, n in enumerate(columns)],
+    spills = f"""exists(slice(_raw, 1, {len(columns) - 1}), x -> startswith(x, '"') AND NOT x RLIKE r'{closed}')"""
+    return (
+        lines.selectExpr(*pick(keep), "line_no", "split(_line, ',') AS _raw")
+        .filter(f"NOT {spills}")
+        .selectExpr(*pick(keep), "CAST(line_no AS BIGINT) AS line_no", f"transform(_raw, x -> {value}) AS _cells")
+        .filter(f"_cells != array({literals(columns)})")
+        .selectExpr(*pick(keep), "line_no", *[named(f"_cells[{i}]", n) for i, n in enumerate(columns)])
     )

@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import c
+from ..functions.columns import c, quoted
 from ..functions.hashing import hash_hex
 
 #: Hex digits that pick a hash bucket; 16**4 buckets bound every offsets table.
@@ -25,11 +25,12 @@ RANGE_BUCKETS = 128
 
 def hash_order(key: str, seed: int) -> Column:
     """Sort key of the seeded random order: (md5 of key and seed, key)."""
-    return F.struct(hash_hex(c(key), seed).alias("h"), c(key).alias("k"))
+    return F.expr(f"struct({hash_hex(quoted(key), seed)} AS h, {quoted(key)} AS k)")
 
 
-def bucket_of(order: Column) -> Column:
-    return F.substring(order["h"], 1, BUCKET_DIGITS)
+def bucket_of(order: str) -> str:
+    """Hash bucket of a sort key column."""
+    return f"substring({order}.h, 1, {BUCKET_DIGITS})"
 
 
 def first_in_hash_order(df: DataFrame, key: str, seed: int, wanted: Callable[[Column], Column]) -> Column:
@@ -39,7 +40,7 @@ def first_in_hash_order(df: DataFrame, key: str, seed: int, wanted: Callable[[Co
     order inside the one bucket that holds the boundary - and enters the query
     as a scalar subquery, so the wide rows are filtered in place: no shuffle.
     """
-    keyed = df.select(hash_order(key, seed).alias("o")).withColumn("b", bucket_of(F.col("o")))
+    keyed = df.select(hash_order(key, seed).alias("o")).selectExpr("o", f"{bucket_of('o')} AS b")
     # At most 16**BUCKET_DIGITS rows from here on, so one task for the running total is fine.
     counts = keyed.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     running = counts.select(
@@ -67,14 +68,14 @@ def dense_index(df: DataFrame, key: str, seed: int, by: str | None = None, name:
     all its buckets. ``by`` is meant for few values such as class labels.
     """
     group = [c(by)] if by else []
-    rows = df.withColumn("_o", hash_order(key, seed)).withColumn("_b", bucket_of(F.col("_o")))
+    rows = df.withColumn("_o", hash_order(key, seed)).withColumn("_b", F.expr(bucket_of("_o")))
     offsets = bucket_offsets(rows, [by] if by else [], {"_n": F.count(F.lit(1))})
     local = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_o")))
     match = local["_b"] == offsets["_bucket"]
     if by:
-        match = match & local[_tick(by)].eqNullSafe(offsets["_by0"])
+        match = match & local[quoted(by)].eqNullSafe(offsets["_by0"])
     joined = local.join(F.broadcast(offsets), match)
-    return joined.select(*[local[_tick(n)] for n in df.columns], (F.col("_r") - 1 + F.col("_n")).alias(name))
+    return joined.select(*[local[quoted(n)] for n in df.columns], (F.col("_r") - 1 + F.col("_n")).alias(name))
 
 
 def bucket_offsets(rows: DataFrame, by: Sequence[str], sums: dict[str, Column], bucket: str = "_b") -> DataFrame:
@@ -104,7 +105,7 @@ def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None =
         tagged = df.join(F.broadcast(splits), c(by) == F.col("_by")).drop("_by")
     else:
         tagged = df.withColumn("_splits", df.agg(quantiles).scalar())
-    bucket = F.size(F.filter("_splits", lambda s: s <= c(value).cast("double")))
+    bucket = F.expr(f"size(filter(_splits, s -> s <= CAST({quoted(value)} AS DOUBLE)))")
     tagged = tagged.withColumn("_b", bucket).drop("_splits")
     group = [c(by)] if by else []
     upto = (
@@ -114,12 +115,9 @@ def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None =
     offsets = bucket_offsets(tagged, [by] if by else [], {f"_off_{s}": F.sum(c(s)) for s in sums})
     match = local["_b"] == offsets["_bucket"]
     if by:
-        match = match & local[_tick(by)].eqNullSafe(offsets["_by0"])
+        match = match & local[quoted(by)].eqNullSafe(offsets["_by0"])
     return local.join(F.broadcast(offsets), match).select(
-        *[local[_tick(n)] for n in df.columns],
+        *[local[quoted(n)] for n in df.columns],
         *[(F.col(f"_cum_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
     )
 
-
-def _tick(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

@@ -4,89 +4,98 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.columns import c, label_text
+from ..functions.columns import label_text, literal, literals, quoted, replaced
 from ..functions.numeric import num
 from ..sources import specs as S
 from .constraints import literal_lookup
 from .presets import heloc_ceiling
 
 
-def round_clip(value: Column, low: int, high: int | None = None) -> Column:
+def round_clip(x: str, low: int, high: int | None = None) -> str:
     """Round half-even and clip; missing becomes ``low``."""
-    rounded = F.greatest(F.rint(F.coalesce(value.cast("double"), F.lit(float(low)))), F.lit(float(low)))
+    rounded = f"greatest(rint(coalesce(CAST({x} AS DOUBLE), {low}.0D)), {low}.0D)"
     if high is not None:
-        return F.least(rounded, F.lit(float(high))).cast("long")
-    return F.coalesce(rounded.try_cast("long"), F.lit(low).cast("long"))
+        return f"CAST(least({rounded}, {high}.0D) AS BIGINT)"
+    return f"coalesce(try_cast({rounded} AS BIGINT), {low}L)"
 
 
-def round_clip_keep_codes(value: Column, low: int, high: int | None, codes: Sequence[int]) -> Column:
+def round_clip_keep_codes(x: str, low: int, high: int | None, codes: Sequence[int]) -> str:
     """Like ``round_clip``, but a value that rounds to a special code stays that code."""
-    rounded = F.rint(value.cast("double"))
-    return F.when(rounded.isin(*[float(x) for x in codes]), rounded.try_cast("long")).otherwise(
-        round_clip(value, low, high)
+    rounded = f"rint(CAST({x} AS DOUBLE))"
+    return (
+        f"(CASE WHEN {rounded} IN ({literals(codes)}) THEN try_cast({rounded} AS BIGINT) "
+        f"ELSE {round_clip(x, low, high)} END)"
     )
 
 
-def nearest_allowed(value: Column, allowed: Sequence[int]) -> Column:
+def nearest_allowed(x: str, allowed: Sequence[int]) -> str:
     """Closest allowed integer to the rounded value; the first wins ties, missing gives the first."""
-    rounded = F.rint(F.coalesce(value.cast("double"), F.lit(float(allowed[0]))))
-    best, gap = F.lit(allowed[0]).cast("long"), F.abs(rounded - F.lit(float(allowed[0])))
-    for option in allowed[1:]:
-        other = F.abs(rounded - F.lit(float(option)))
-        best = F.when(other < gap, F.lit(option).cast("long")).otherwise(best)
-        gap = F.least(gap, other)
-    return best
+    rounded = f"rint(coalesce(CAST({x} AS DOUBLE), {allowed[0]}.0D))"
+    options = f"array({', '.join(f'{a}L' for a in allowed)})"
+    # Structs compare field by field: smallest gap first, then position.
+    return f"array_min(transform({options}, (a, i) -> struct(abs({rounded} - a) AS gap, i, a))).a"
 
 
-def relabel(text: Column, spellings: Mapping[str, Sequence[str]], default: str | None) -> Column:
+def relabel(text: str, spellings: Mapping[str, Sequence[str]], default: str | None) -> str:
     """Map label spellings (case-blind) to their canonical form.
 
     Without a default an unknown spelling keeps its cleaned text.
     """
-    lowered = F.lower(text)
-    result = F
-    for canonical, known in spellings.items():
-        result = result.when(lowered.isin(*known), F.lit(canonical))
-    return result.otherwise(text if default is None else F.lit(default))
+    cases = " ".join(
+        f"WHEN lower({text}) IN ({literals(known)}) THEN {literal(canonical)}" for canonical, known in spellings.items()
+    )
+    return f"(CASE {cases} ELSE {text if default is None else literal(default)} END)"
 
 
 def overwrite_mapped(df: DataFrame, source: str, target: str, mapping: Mapping[str, int]) -> DataFrame:
     """Set ``target`` to the mapped value of ``source`` where the mapping knows it."""
-    return df.withColumn(target, F.coalesce(literal_lookup(mapping, c(source)).cast("long"), c(target)))
+    found = literal_lookup(mapping, quoted(source))
+    return replaced(df, {target: f"coalesce(CAST({found} AS BIGINT), {quoted(target)})"})
 
 
 def clip_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], codes: Sequence[int]) -> DataFrame:
-    """For each pair in order, lower the left cell to the right one when neither is a special code."""
+    """For each pair in order, lower the left cell to the right one when neither is a special code.
+
+    Consecutive pairs share a projection as long as none reads or rewrites a
+    cell that an earlier one of the same projection changed.
+    """
+    present, changed = set(df.columns), {}
     for left, right in pairs:
-        if left in df.columns and right in df.columns:
-            lhs, rhs = num(df, left), num(df, right)
-            over = ~lhs.isin(*codes) & ~rhs.isin(*codes) & (lhs > rhs)
-            df = df.withColumn(left, F.when(over, rhs.try_cast("long")).otherwise(c(left)))
-    return df
+        if left not in present or right not in present:
+            continue
+        if left in changed or right in changed:
+            df, changed = replaced(df, changed), {}
+        lhs, rhs = num(df.schema, left), num(df.schema, right)
+        free = " AND ".join(f"{side} NOT IN ({literals(codes)})" for side in (lhs, rhs))
+        changed[left] = (
+            f"CASE WHEN {free} AND {lhs} > {rhs} THEN try_cast({rhs} AS BIGINT) ELSE {quoted(left)} END"
+        )
+    return replaced(df, changed) if changed else df
 
 
 def repair_credit(df: DataFrame, label: str = S.CREDIT_LABEL) -> DataFrame:
     """Repair the credit table; absent columns are skipped and bills are left as they are."""
+    schema, present = df.schema, set(df.columns)
     domains = {**S.CREDIT_DOMAINS, label: S.CREDIT_LABEL_DOMAIN}
     bounds: dict[str, tuple[int, int | None]] = {"LIMIT_BAL": (1, None), "AGE": S.CREDIT_AGE}
     bounds.update({name: S.CREDIT_STATUS_RANGE for name in S.CREDIT_STATUS})
     bounds.update({name: (0, None) for name in S.CREDIT_PAYMENTS})
-    fixes = {n: nearest_allowed(num(df, n), allowed) for n, allowed in domains.items() if n in df.columns}
-    fixes |= {n: round_clip(num(df, n), *limits) for n, limits in bounds.items() if n in df.columns}
-    return df.withColumns(fixes) if fixes else df
+    fixes = {n: nearest_allowed(num(schema, n), allowed) for n, allowed in domains.items() if n in present}
+    fixes |= {n: round_clip(num(schema, n), *limits) for n, limits in bounds.items() if n in present}
+    return replaced(df, fixes)
 
 
 def repair_adult(df: DataFrame, label: str = S.ADULT_LABEL) -> DataFrame:
     """Repair the census table. An unknown education keeps its number, so that rule may stay broken."""
-    fixes = {n: round_clip(num(df, n), *b) for n, b in S.ADULT_BOUNDS.items() if n in df.columns}
-    if label in df.columns:
-        text = label_text(c(label))
-        fixes[label] = F.when(text.isin(*S.ADULT_LABELS), text).otherwise(F.lit(S.ADULT_LABELS[0]))
-    fixed = df.withColumns(fixes) if fixes else df
-    if "education" in df.columns and "education-num" in df.columns:
+    schema, present = df.schema, set(df.columns)
+    fixes = {n: round_clip(num(schema, n), *b) for n, b in S.ADULT_BOUNDS.items() if n in present}
+    if label in present:
+        text = label_text(quoted(label))
+        fixes[label] = f"CASE WHEN {text} IN ({literals(S.ADULT_LABELS)}) THEN {text} ELSE {literal(S.ADULT_LABELS[0])} END"
+    fixed = replaced(df, fixes)
+    if {"education", "education-num"} <= present:
         fixed = overwrite_mapped(fixed, "education", "education-num", S.ADULT_EDUCATION_NUM)
     return fixed
 
@@ -101,12 +110,10 @@ def repair_heloc(df: DataFrame, label: str = S.HELOC_LABEL, strict: bool = False
     def ceiling(name: str) -> int:
         return 1000 if name in S.HELOC_COUNTS and not strict else heloc_ceiling(name)
 
+    schema, present = df.schema, set(df.columns)
     fixes = {
-        n: round_clip_keep_codes(num(df, n), 0, ceiling(n), S.HELOC_CODES)
-        for n in S.HELOC_NUMERIC
-        if n in df.columns
+        n: round_clip_keep_codes(num(schema, n), 0, ceiling(n), S.HELOC_CODES) for n in S.HELOC_NUMERIC if n in present
     }
-    if label in df.columns:
-        fixes[label] = relabel(label_text(c(label)), S.HELOC_REPAIR_LABELS, "Bad")
-    fixed = df.withColumns(fixes) if fixes else df
-    return clip_pairs(fixed, S.HELOC_PAIRS, S.HELOC_CODES)
+    if label in present:
+        fixes[label] = relabel(label_text(quoted(label)), S.HELOC_REPAIR_LABELS, "Bad")
+    return clip_pairs(replaced(df, fixes), S.HELOC_PAIRS, S.HELOC_CODES)

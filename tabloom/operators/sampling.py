@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, is_numeric
-from ..functions.hashing import hash_hex, hex_word, normals
+from ..functions.columns import c, is_numeric, named, pick, quoted
+from ..functions.hashing import hash_hex, hex_wide, hex_word, normals
 from ..session import materialize
 from ..sources import specs as S
 from .ranking import dense_index, first_in_hash_order
@@ -96,19 +96,17 @@ def balanced_draws(
     """
     first, end = rounds
     sizes = class_counts(df, label).agg(F.sort_array(F.collect_list(F.struct("_text", "_class", "_size"))))
-    slots = df.sparkSession.range((end - first) * sets * per_class).select(
-        (F.col("id") % per_class).alias("draw"),
-        F.floor(F.col("id") / per_class % sets).cast("long").alias("set"),
-        (F.floor(F.col("id") / (per_class * sets)) + first).cast("long").alias("round"),
+    slots = df.sparkSession.range((end - first) * sets * per_class).selectExpr(
+        f"id % {per_class} AS draw",
+        f"id div {per_class} % {sets} AS set",
+        f"id div {per_class * sets} + {first} AS round",
     )
     slots = slots.withColumn("_sizes", sizes.scalar()).withColumn("_s", F.explode("_sizes"))
-    place = [F.col("round"), F.col("set"), F.col("_s._text")]
-    start = hex_word(hash_hex(*place, seed))
-    again = hex_word(hash_hex(*place, F.col("draw"), seed))
-    position = F.when(F.col("_s._size") >= per_class, start + F.col("draw")).otherwise(again)
-    slots = slots.select(
-        "round", "set", F.col("_s._class").alias("class"), "draw",
-        F.pmod(position, F.col("_s._size")).alias("_index"),
+    start = hex_word(hash_hex("round", "set", "_s._text", seed))
+    again = hex_word(hash_hex("round", "set", "_s._text", "draw", seed))
+    position = f"CASE WHEN _s._size >= {per_class} THEN {start} + draw ELSE {again} END"
+    slots = slots.selectExpr(
+        "round", "set", "_s._class AS class", "draw", f"pmod({position}, _s._size) AS _index"
     )
     ranked = dense_index(
         df.filter(c(label).isNotNull()).select(c(key), c(label).alias("class")), key, seed, by="class"
@@ -126,15 +124,17 @@ def bootstrap(df: DataFrame, n: int | None = None, seed: int = 123, key: str = R
     if size == 0:
         return df.withColumn(row, F.lit(0).cast("long"))
     indexed = dense_index(df, key, seed)
-    draws = df.sparkSession.range(size if n is None else n).select(
-        F.col("id").alias(row), F.pmod(hex_word_wide(hash_hex(F.col("id"), seed)), F.lit(size)).alias("_index")
+    draws = df.sparkSession.range(size if n is None else n).selectExpr(
+        f"id AS {row}", f"pmod({hex_wide(hash_hex('id', seed))}, {size}L) AS _index"
     )
-    return draws.join(indexed, "_index").select(*[c(x) for x in df.columns], row)
+    return draws.join(indexed, "_index").select(*pick(df.columns), row)
 
 
-def hex_word_wide(hexed: Column) -> Column:
-    """60 bits of a hash as BIGINT, enough to spread draws over any table size."""
-    return F.conv(F.substring(hexed, 1, 15), 16, 10).cast("long")
+def _noisy(drawn: DataFrame, count: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """Add hash columns ``_h0..`` per draw; the texts are ``count`` standard normals over them."""
+    words = (count + 3) // 4
+    tagged = drawn.selectExpr("*", *[f"{hash_hex('_draw', seed, repr(f'noise{i}'))} AS _h{i}" for i in range(words)])
+    return tagged, [z for i in range(words) for z in normals(f"_h{i}")][:count]
 
 
 def bootstrap_credit(df: DataFrame, n: int | None = None, seed: int = 123, key: str = ROW_ID) -> DataFrame:
@@ -142,23 +142,17 @@ def bootstrap_credit(df: DataFrame, n: int | None = None, seed: int = 123, key:
 
     The draw number becomes the row id of the result.
     """
-    drawn = bootstrap(df, n, seed, key)
-    limit = c("LIMIT_BAL").cast("double")
-    hashes = [hash_hex(F.col("_draw"), seed, f"noise{i}") for i in range(3)]
-    noise = [z for h in hashes for z in normals(h)]
-    step = F.pmod(hex_word(hash_hex(F.col("_draw"), seed, "age")), F.lit(5)) - 2
-    fixes = {}
-    if "AGE" in df.columns:
-        low, high = S.CREDIT_AGE
-        fixes["AGE"] = F.least(F.greatest(c("AGE") + step, F.lit(low)), F.lit(high)).cast("long")
-    for i, name in enumerate(S.CREDIT_BILLS):
-        if name in df.columns:
-            moved = c(name) + noise[i] * 0.035 * limit
-            fixes[name] = F.rint(F.least(F.greatest(moved, limit * -0.15), limit * 1.75)).cast("long")
-    for i, name in enumerate(S.CREDIT_PAYMENTS, start=6):
-        if name in df.columns:
-            fixes[name] = F.rint(F.greatest(c(name) + noise[i] * 0.02 * limit, F.lit(0.0))).cast("long")
-    return _renumbered(drawn.withColumns(fixes), df, key)
+    bills, payments = S.CREDIT_BILLS, S.CREDIT_PAYMENTS
+    drawn, noise = _noisy(bootstrap(df, n, seed, key), len(bills) + len(payments), seed)
+    low, high = S.CREDIT_AGE
+    step = f"pmod({hex_word(hash_hex('_draw', seed, repr('age')))}, 5) - 2"
+    fixes = {"AGE": f"CAST(least(greatest(AGE + {step}, {low}), {high}) AS BIGINT)"}
+    for name, z in zip(bills, noise):
+        moved = f"{name} + {z} * 0.035D * LIMIT_BAL"
+        fixes[name] = f"CAST(rint(least(greatest({moved}, LIMIT_BAL * -0.15D), LIMIT_BAL * 1.75D)) AS BIGINT)"
+    for name, z in zip(payments, noise[len(bills) :]):
+        fixes[name] = f"CAST(rint(greatest({name} + {z} * 0.02D * LIMIT_BAL, 0.0D)) AS BIGINT)"
+    return _renumbered(drawn, df, key, fixes)
 
 
 def bootstrap_generic(df: DataFrame, n: int | None = None, seed: int = 123, key: str = ROW_ID) -> DataFrame:
@@ -166,40 +160,24 @@ def bootstrap_generic(df: DataFrame, n: int | None = None, seed: int = 123, key:
     drawn = bootstrap(df, n, seed, key)
     numeric = [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name != key]
     few = columns_with_few_values(drawn, numeric, FEW_VALUES)
-    noisy = [x for x in numeric if x not in few]
-    if not noisy:
-        return _renumbered(drawn, df, key)
-    spread = drawn.agg(F.struct(*[F.stddev_samp(c(x)).alias(f"s{i}") for i, x in enumerate(noisy)]))
-    drawn = drawn.withColumn("_spread", spread.scalar())
-    hashes = [hash_hex(F.col("_draw"), seed, f"noise{i}") for i in range((len(noisy) + 3) // 4)]
-    noise = [z for h in hashes for z in normals(h)]
-    fixes = {}
-    for i, name in enumerate(noisy):
-        width = F.col(f"_spread.s{i}")
-        fixes[name] = F.when(width > 0, c(name) + noise[i] * 0.02 * width).otherwise(c(name).cast("double"))
-    return _renumbered(drawn.withColumns(fixes), df, key)
+    jittered = [x for x in numeric if x not in few]
+    if not jittered:
+        return _renumbered(drawn, df, key, {})
+    spread = drawn.agg(F.struct(*[F.stddev_samp(c(x)).alias(f"s{i}") for i, x in enumerate(jittered)]))
+    tagged, noise = _noisy(drawn.withColumn("_spread", spread.scalar()), len(jittered), seed)
+    fixes = {
+        x: f"CASE WHEN _spread.s{i} > 0 THEN {quoted(x)} + {z} * 0.02D * _spread.s{i} ELSE CAST({quoted(x)} AS DOUBLE) END"
+        for i, (x, z) in enumerate(zip(jittered, noise))
+    }
+    return _renumbered(tagged, df, key, fixes)
 
 
-def _renumbered(drawn: DataFrame, like: DataFrame, key: str) -> DataFrame:
-    return drawn.select(F.col("_draw").alias(key), *[c(x) for x in like.columns if x != key])
+def _renumbered(drawn: DataFrame, like: DataFrame, key: str, fixes: dict[str, str]) -> DataFrame:
+    cells = [named(fixes.get(x, quoted(x)), x) for x in like.columns if x != key]
+    return drawn.selectExpr(named("_draw", key), *cells)
 
 
 def mutated(df: DataFrame, mutator: Callable[[DataFrame, int], DataFrame] | None, seed: int) -> DataFrame:
     """Apply a caller's row mutator, keeping the columns of ``df``."""
-    return df if mutator is None else mutator(df, seed).select(*[c(x) for x in df.columns])
-
-
-__all__ = [
-    "ROW_ID",
-    "balanced_draws",
-    "bootstrap",
-    "bootstrap_credit",
-    "bootstrap_generic",
-    "capped_sample",
-    "class_counts",
-    "class_quota",
-    "first_rows",
-    "mutated",
-    "split_train_test",
-    "with_row_id",
-]
+    return df if mutator is None else mutator(df, seed).select(*pick(df.columns))
+

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import c, is_integral, is_numeric, is_text, strip
+from ..functions.columns import is_integral, is_numeric, is_text, named, pick, quoted
 from ..functions.numeric import num, round_to_long
 
 #: Width of the hashed presence bitmap used to rule out high-cardinality columns.
@@ -23,19 +23,20 @@ def coerce_to_schema(df: DataFrame, reference: T.StructType | DataFrame, keep: S
     id) carried along in front.
     """
     schema = reference.schema if isinstance(reference, DataFrame) else reference
-    out = [c(k) for k in keep]
+    have, present = df.schema, set(df.columns)
+    out = pick(keep)
     for fld in schema.fields:
-        if fld.name not in df.columns or fld.name in keep:
+        if fld.name not in present or fld.name in keep:
             continue
         if is_integral(fld.dataType):
-            value = num(df, fld.name)
-            same = is_integral(df.schema[fld.name].dataType)
-            out.append((value if same else round_to_long(value)).alias(fld.name))
+            value = num(have, fld.name)
+            same = is_integral(have[fld.name].dataType)
+            out.append(named(value if same else round_to_long(value), fld.name))
         elif is_numeric(fld.dataType):
-            out.append(num(df, fld.name).cast("double").alias(fld.name))
+            out.append(named(f"CAST({num(have, fld.name)} AS DOUBLE)", fld.name))
         else:
-            out.append(c(fld.name))
-    return df.select(*out)
+            out.append(quoted(fld.name))
+    return df.selectExpr(*out)
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -51,11 +52,7 @@ def rename_known(df: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
 def drop_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop those of ``names`` that exist."""
     gone = set(names)
-    return df.select(*[c(name) for name in df.columns if name not in gone])
-
-
-def fill_missing_text(df: DataFrame, names: Sequence[str], value: str) -> DataFrame:
-    return df.withColumns({n: F.coalesce(strip(c(n)), F.lit(value)) for n in names})
+    return df.selectExpr(*pick(name for name in df.columns if name not in gone))
 
 
 def presence_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -64,16 +61,9 @@ def presence_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Every value sets one bit of a 4 KiB bitmap, so the aggregation state is the
     same size whatever the data; the count of set bits can only be too low.
     """
-    return df.agg(
-        *[
-            F.bitmap_count(
-                F.bitmap_construct_agg(
-                    F.when(c(n).isNotNull(), F.pmod(F.xxhash64(c(n)), F.lit(_BITMAP_BITS)))
-                )
-            ).alias(n)
-            for n in columns
-        ]
-    )
+    spot = "CASE WHEN {x} IS NOT NULL THEN pmod(xxhash64({x}), {n}) END"
+    bits = [f"bitmap_count(bitmap_construct_agg({spot.format(x=quoted(n), n=_BITMAP_BITS)}))" for n in columns]
+    return df.agg(*[F.expr(named(b, n)) for b, n in zip(bits, columns)])
 
 
 def columns_with_few_values(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int]:
@@ -89,7 +79,7 @@ def columns_with_few_values(df: DataFrame, columns: Sequence[str], limit: int) -
     small = [n for n in columns if bound[n] <= limit]
     if not small:
         return {}
-    values = df.select(*[c(n).cast("string").alias(f"v{i}") for i, n in enumerate(small)]).unpivot(
+    values = df.selectExpr(*[f"CAST({quoted(n)} AS STRING) AS v{i}" for i, n in enumerate(small)]).unpivot(
         [], [f"v{i}" for i in range(len(small))], "col", "value"
     )
     counted = values.filter("value IS NOT NULL").distinct().groupBy("col").count().collect()

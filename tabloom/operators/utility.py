@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, is_text, key_text
+from ..functions.columns import c, is_text, key_text, literal
 from ..functions.numeric import num
 from ..session import at_most
 from .fidelity import auc_binary
@@ -24,7 +24,7 @@ MAX_CATEGORIES = 100_000
 
 def target_classes(train: DataFrame, test: DataFrame, target: str) -> list[str]:
     """The two class texts in text order; an error if there are not exactly two."""
-    both = train.select(key_text(train, target).alias("y")).union(test.select(key_text(test, target).alias("y")))
+    both = train.selectExpr(f"{key_text(train.schema, target)} AS y").union(test.selectExpr(f"{key_text(test.schema, target)} AS y"))
     found = sorted(row["y"] for row in both.filter("y IS NOT NULL").distinct().limit(3).collect())
     if len(found) != 2:
         raise ValueError(f"Expected a binary target, got classes={found}")
@@ -47,15 +47,15 @@ class Design:
         categorical = [n for n in names if n not in numbers or n in few]
         numeric = [n for n in names if n not in categorical]
         if categorical:
-            cells = train.select(*[key_text(train, n).alias(f"v{i}") for i, n in enumerate(categorical)])
+            cells = train.selectExpr(*[f"{key_text(train.schema, n)} AS v{i}" for i, n in enumerate(categorical)])
             levels = cells.unpivot([], cells.columns, "column", "value").distinct()
             if not at_most(levels, MAX_CATEGORIES):
                 raise ValueError(f"More than {MAX_CATEGORIES} categories in {categorical}")
         centre = {}
         if numeric:
-            stats = train.agg(
-                *[F.avg(num(train, n)).alias(f"m{i}") for i, n in enumerate(numeric)],
-                *[F.stddev_samp(num(train, n)).alias(f"s{i}") for i, n in enumerate(numeric)],
+            stats = train.selectExpr(
+                *[f"avg({num(train.schema, n)}) AS m{i}" for i, n in enumerate(numeric)],
+                *[f"stddev_samp({num(train.schema, n)}) AS s{i}" for i, n in enumerate(numeric)],
             ).first()
             for i, n in enumerate(numeric):
                 mean, std = stats[f"m{i}"], stats[f"s{i}"]
@@ -64,13 +64,12 @@ class Design:
 
     def columns(self, df: DataFrame, target: str, positive: str) -> DataFrame:
         """Label 0/1 in ``y``, categories as text, numbers standardised with missing as the mean."""
-        cells = [key_text(df, n).alias(f"c{i}") for i, n in enumerate(self.categorical)]
+        cells = [f"{key_text(df.schema, n)} AS c{i}" for i, n in enumerate(self.categorical)]
         for i, n in enumerate(self.numeric):
-            mean, std = self.centre[n]
-            value = F.coalesce(num(df, n).cast("double"), F.lit(mean))
-            cells.append(((value - F.lit(mean)) / F.lit(std)).alias(f"n{i}"))
-        known = df.filter(c(target).isNotNull())
-        return known.select((key_text(df, target) == positive).cast("double").alias("y"), *cells)
+            mean, std = (literal(v) for v in self.centre[n])
+            cells.append(f"(coalesce(CAST({num(df.schema, n)} AS DOUBLE), {mean}) - {mean}) / {std} AS n{i}")
+        truth = f"CAST({key_text(df.schema, target)} = {literal(positive)} AS DOUBLE) AS y"
+        return df.filter(c(target).isNotNull()).selectExpr(truth, *cells)
 
     def pipeline(self, l2: float, max_iter: int) -> Pipeline:
         stages, inputs = [], [f"n{i}" for i in range(len(self.numeric))]

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, dtype_of, is_numeric, quoted
+from ..functions.columns import c, is_numeric, quoted
 from ..operators.codec import TextCodec, TextConfig
 from ..operators.constraints import Constraint, constraint_summary
 from ..operators.fidelity import column_similarity, similarity_mean
@@ -186,7 +186,7 @@ def run_experiment(
 def seed_statistics(by_seed: DataFrame, groups: Sequence[str] = ("dataset", "method")) -> DataFrame:
     """Mean and sample deviation over seeds of every number in a flat by-seed table."""
     numbers = [
-        n for n in by_seed.columns if n not in (*groups, "seed") and is_numeric(dtype_of(by_seed, n))
+        n for n in by_seed.columns if n not in (*groups, "seed") and is_numeric(by_seed.schema[n].dataType)
     ]
     return by_seed.groupBy(*[F.col(quoted(g)) for g in groups]).agg(
         F.count(F.lit(1)).alias("n_seeds"),

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, label_text
+from ..functions.columns import c, label_text, named, quoted, replaced
 from ..operators import repairs
 from ..operators.codebook import CodeBook, csv_line, csv_text
 from ..operators.codec import TextCodec
@@ -29,6 +29,7 @@ from ..operators.sampling import (
 )
 from ..operators.schema import infer_categorical
 from ..operators.utility import tstr_report
+from ..session import materialize
 from ..sources import specs as S
 from ..sources.readers import combine, normalize_adult, normalize_default_credit, normalize_heloc
 from ..sources.sinks import flatten, manifest
@@ -42,15 +43,23 @@ LINES_PER_REPLY = 40
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(
-        *[F.round(c(f.name), DIGITS).alias(f.name) if f.dataType.typeName() == "double" else c(f.name) for f in df.schema.fields]
-    )
+    doubles = {f.name: f"round({quoted(f.name)}, {DIGITS})" for f in df.schema.fields if f.dataType.typeName() == "double"}
+    return replaced(df, doubles)
 
 
 def fixed(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return repaired(raw_synthetic(spark, sf, name), name)
 
 
+def stored_real(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The real table written once, for operators that pass over it several times."""
+    return materialize(real(spark, sf, name), "real")
+
+
+def stored_fixed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return materialize(fixed(spark, sf, name), "fixed")
+
+
 # --- rules and repairs ----------------------------------------------------------------------
 
 
@@ -98,28 +107,26 @@ def categorical_columns(name: str, spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    text = label_text(c(S.HELOC_LABEL))
-    return view(spark, sf, "heloc").select(
-        ROW_ID, repairs.relabel(text, S.HELOC_LOAD_LABELS, None).alias("label")
-    )
+    label = repairs.relabel(label_text(quoted(S.HELOC_LABEL)), S.HELOC_LOAD_LABELS, None)
+    return view(spark, sf, "heloc").selectExpr(ROW_ID, f"{label} AS label")
 
 
 def heloc_from_aliases(spark: SparkSession, sf: str) -> DataFrame:
     other = {known: alias for alias, known in S.HELOC_ALIASES.items()}
     rows = view(spark, sf, "heloc")
-    renamed = rows.select(c(ROW_ID).alias("ID"), *[c(n).alias(f" {other[n]} ") for n in S.HELOC_COLUMNS])
+    renamed = rows.selectExpr(f"{ROW_ID} AS ID", *[named(quoted(n), f" {other[n]} ") for n in S.HELOC_COLUMNS])
     return normalize_heloc(renamed)
 
 
 def credit_from_aliases(spark: SparkSession, sf: str) -> DataFrame:
     other = {known: alias for alias, known in S.CREDIT_ALIASES.items()}
     rows = view(spark, sf, "credit")
-    return normalize_default_credit(rows.select(c(ROW_ID).alias("ID"), *[c(n).alias(other[n]) for n in S.CREDIT_COLUMNS]))
+    return normalize_default_credit(rows.selectExpr(f"{ROW_ID} AS ID", *[named(quoted(n), other[n]) for n in S.CREDIT_COLUMNS]))
 
 
 def adult_as_read(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "adult").select(*[c(n).cast("string").alias(n) for n in S.ADULT_COLUMNS])
-    return normalize_adult(rows)
+    rows = view(spark, sf, "adult")
+    return normalize_adult(rows.selectExpr(*[named(f"CAST({quoted(n)} AS STRING)", n) for n in S.ADULT_COLUMNS]))
 
 
 def combined(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,11 +155,11 @@ def flat_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_part(part: int, spark: SparkSession, sf: str) -> DataFrame:
-    return split_train_test(real(spark, sf, "credit"))[part]
+    return split_train_test(stored_real(spark, sf, "credit"))[part]
 
 
 def balanced(spark: SparkSession, sf: str) -> DataFrame:
-    return balanced_draws(real(spark, sf, "credit"), S.CREDIT_LABEL, per_class=8, sets=3, rounds=(0, 4))
+    return balanced_draws(stored_real(spark, sf, "credit"), S.CREDIT_LABEL, per_class=8, sets=3, rounds=(0, 4))
 
 
 def quota(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,15 +167,15 @@ def quota(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capped(spark: SparkSession, sf: str) -> DataFrame:
-    return capped_sample(real(spark, sf, "credit"), 5000)
+    return capped_sample(stored_real(spark, sf, "credit"), 5000)
 
 
 def jitter_credit(spark: SparkSession, sf: str) -> DataFrame:
-    return bootstrap_credit(real(spark, sf, "credit"))
+    return bootstrap_credit(stored_real(spark, sf, "credit"))
 
 
 def jitter_generic(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(bootstrap_generic(real(spark, sf, "adult")))
+    return rounded(bootstrap_generic(stored_real(spark, sf, "adult")))
 
 
 # --- metrics --------------------------------------------------------------------------------
@@ -181,18 +188,18 @@ def revision(name: str, spark: SparkSession, sf: str) -> DataFrame:
 
 def tvd(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(
-        total_variation(real(spark, sf, "credit"), fixed(spark, sf, "credit"), list(S.CREDIT_CATEGORICAL))
+        total_variation(stored_real(spark, sf, "credit"), stored_fixed(spark, sf, "credit"), list(S.CREDIT_CATEGORICAL))
     )
 
 
 def ks(spark: SparkSession, sf: str) -> DataFrame:
     numeric = [n for n in S.CREDIT_COLUMNS if n not in S.CREDIT_CATEGORICAL]
-    return rounded(kolmogorov_smirnov(real(spark, sf, "credit"), fixed(spark, sf, "credit"), numeric))
+    return rounded(kolmogorov_smirnov(stored_real(spark, sf, "credit"), stored_fixed(spark, sf, "credit"), numeric))
 
 
 def similarity(name: str, spark: SparkSession, sf: str) -> DataFrame:
     return column_similarity(
-        real(spark, sf, name), fixed(spark, sf, name), spec(name).categorical, ignore=[ROW_ID]
+        stored_real(spark, sf, name), stored_fixed(spark, sf, name), spec(name).categorical, ignore=[ROW_ID]
     )
 
 
@@ -210,13 +217,13 @@ def auc_lineitem(spark: SparkSession, sf: str) -> DataFrame:
 def distances(name: str, spark: SparkSession, sf: str) -> DataFrame:
     target = spec(name).label
     return distance_to_closest_record(
-        real(spark, sf, name), fixed(spark, sf, name), spec(name).categorical, ignore=[target]
+        stored_real(spark, sf, name), stored_fixed(spark, sf, name), spec(name).categorical, ignore=[target]
     )
 
 
 def utility(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = split_train_test(real(spark, sf, "credit"))
-    return rounded(tstr_report(train, fixed(spark, sf, "credit"), test, S.CREDIT_LABEL))
+    train, test = split_train_test(stored_real(spark, sf, "credit"))
+    return rounded(tstr_report(train, stored_fixed(spark, sf, "credit"), test, S.CREDIT_LABEL))
 
 
 # --- texts, codes, prompts ------------------------------------------------------------------
@@ -244,26 +251,26 @@ def partial_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def code_map(spark: SparkSession, sf: str) -> DataFrame:
-    return CodeBook.fit(real(spark, sf, "adult"), S.ADULT_CATEGORICAL).table
+    return CodeBook.fit(stored_real(spark, sf, "adult"), S.ADULT_CATEGORICAL).table
 
 
 def code_support(spark: SparkSession, sf: str) -> DataFrame:
-    support = CodeBook.fit(real(spark, sf, "adult"), S.ADULT_CATEGORICAL).support()
+    support = CodeBook.fit(stored_real(spark, sf, "adult"), S.ADULT_CATEGORICAL).support()
     return support.select("column", F.array_join("codes", ",").alias("codes"))
 
 
 def mapped(spark: SparkSession, sf: str) -> DataFrame:
-    return CodeBook.fit(real(spark, sf, "adult"), S.ADULT_CATEGORICAL).encode(typed(spark, sf, "adult"))
+    return CodeBook.fit(stored_real(spark, sf, "adult"), S.ADULT_CATEGORICAL).encode(typed(spark, sf, "adult"))
 
 
 def unmapped(spark: SparkSession, sf: str) -> DataFrame:
-    book = CodeBook.fit(real(spark, sf, "adult"), S.ADULT_CATEGORICAL)
+    book = CodeBook.fit(stored_real(spark, sf, "adult"), S.ADULT_CATEGORICAL)
     return book.decode(book.encode(typed(spark, sf, "adult")))
 
 
 def csv_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = typed(spark, sf, "adult")
-    return rows.select(ROW_ID, csv_line(rows, S.ADULT_COLUMNS).alias("line"))
+    return rows.selectExpr(ROW_ID, f"{csv_line(rows.schema, S.ADULT_COLUMNS)} AS line")
 
 
 def _builder(rows: DataFrame) -> PromptBuilder:
@@ -274,7 +281,7 @@ def _builder(rows: DataFrame) -> PromptBuilder:
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = real(spark, sf, "credit")
+    rows = stored_real(spark, sf, "credit")
     return _builder(rows).prompts(rows, (0, 8))
 
 
@@ -294,17 +301,17 @@ def replies(spark: SparkSession, sf: str, builder: PromptBuilder) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
-    builder = _builder(real(spark, sf, "credit"))
+    builder = _builder(stored_real(spark, sf, "credit"))
     return builder.parse(replies(spark, sf, builder))
 
 
 def postprocessed(spark: SparkSession, sf: str) -> DataFrame:
-    builder = _builder(real(spark, sf, "credit"))
+    builder = _builder(stored_real(spark, sf, "credit"))
     return builder.postprocess(builder.parse(replies(spark, sf, builder)), spec("credit").constraints())
 
 
 def generated(spark: SparkSession, sf: str) -> DataFrame:
-    rows = real(spark, sf, "credit")
+    rows = stored_real(spark, sf, "credit")
     builder = _builder(rows)
     n = rows.count()
     answer = table_responder(rows, builder, 40, seed=3)
@@ -312,7 +319,7 @@ def generated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conditional(spark: SparkSession, sf: str) -> DataFrame:
-    rows = real(spark, sf, "adult")
+    rows = stored_real(spark, sf, "adult")
     codec = TextCodec.fit(rows)
     return sample_texts(codec, rows, table_text_responder(codec, rows, S.ADULT_LABEL), rows.count(), S.ADULT_LABEL)
 
@@ -321,7 +328,7 @@ def conditional(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def experiment(name: str, seeds: Sequence[int], spark: SparkSession, sf: str) -> DataFrame:
-    rows = real(spark, sf, name)
+    rows = stored_real(spark, sf, name)
     return rounded(flatten(run_experiment(spec(name), rows, seeds, max_real=5000, max_synthetic=5000)))
 
 

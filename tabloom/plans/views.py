@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import named
 from ..operators.constraints import Constraint, in_numeric_set, numeric_at_least, numeric_between, only_invalid, reject_invalid, text_domain
 from ..operators.sampling import ROW_ID
 from ..operators.schema import coerce_to_schema
@@ -129,8 +130,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
     if any("c_" in e for e in base.values()):
         rows = rows.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.select(*[F.expr(e).alias(n) for n, e in base.items()])
-    return rows.select(*[F.expr(e).alias(n) for n, e in fields.items()])
+    rows = rows.selectExpr(*[named(e, n) for n, e in base.items()])
+    return rows.selectExpr(*[named(e, n) for n, e in fields.items()])
 
 
 def spec(name: str) -> TableSpec:

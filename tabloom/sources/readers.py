@@ -6,11 +6,11 @@ and a bad cell never fails the job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import WHITESPACE, c, label_text, require_columns, strip
+from ..functions.columns import c, label_text, literals, named, pick, quoted, replaced, require_columns, strip
 from ..functions.numeric import parse_number, round_to_long
 from ..operators.repairs import relabel
 from ..operators.schema import clean_names, coerce_to_schema, drop_present, rename_known
@@ -20,8 +20,8 @@ from .tables import ADULT, CREDIT, HELOC, TABLES
 _QUOTING = {"quote": '"', "escape": '"'}
 
 
-def _missing(cell: Column, extra: tuple[str, ...] = ()) -> Column:
-    return F.when(~cell.isin(*S.NA_TOKENS, *extra), cell)
+def _missing(cell: str, *extra: str) -> str:
+    return f"CASE WHEN {cell} NOT IN ({literals((*S.NA_TOKENS, *extra))}) THEN {cell} END"
 
 
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -30,13 +30,13 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     if schema is not None:
         return reader.schema(schema).csv(path)
     raw = reader.csv(path)
-    return raw.select(*[_missing(c(n)).alias(n) for n in raw.columns])
+    return raw.selectExpr(*[named(_missing(quoted(n)), n) for n in raw.columns])
 
 
 def load_headerless(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in columns])
     raw = spark.read.options(header=False, **_QUOTING).schema(schema).csv(path)
-    return raw.select(*[_missing(c(n)).alias(n) for n in columns])
+    return raw.selectExpr(*[named(_missing(quoted(n)), n) for n in columns])
 
 
 def load_default_credit(spark: SparkSession, path: str) -> DataFrame:
@@ -57,35 +57,26 @@ def load_adult(spark: SparkSession, path: str) -> DataFrame:
 
     Missing text becomes the category "nan"; rows with a missing number are dropped.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"\|.*$", "").alias("line"))
-    cells = T.StructType([T.StructField(f"v{i}", T.StringType()) for i in range(len(S.ADULT_COLUMNS))])
-    parsed = lines.filter(strip(F.col("line")) != "").select(
-        F.from_csv("line", cells.simpleString()[7:-1].replace(":", " "), _QUOTING).alias("cell")
-    )
-    raw = parsed.select(
-        *[
-            _missing(F.ltrim(F.col(f"cell.v{i}"), F.lit(WHITESPACE)), ("?",)).alias(n)
-            for i, n in enumerate(S.ADULT_COLUMNS)
-        ]
-    )
-    return normalize_adult(raw)
+    lines = spark.read.text(path).selectExpr(r"regexp_replace(value, r'\|.*$', '') AS line")
+    cells = ", ".join(f"v{i} STRING" for i in range(len(S.ADULT_COLUMNS)))
+    parsed = lines.filter(f"{strip('line')} != ''").select(F.from_csv("line", cells, _QUOTING).alias("cell"))
+    # Blanks in front of a cell do not count, also not for the missing mark.
+    bare = parsed.selectExpr(*[named(rf"regexp_replace(cell.v{i}, r'^\s+', '')", n) for i, n in enumerate(S.ADULT_COLUMNS)])
+    return normalize_adult(bare.selectExpr(*[named(_missing(quoted(n), "?"), n) for n in bare.columns]))
 
 
 def normalize_adult(raw: DataFrame) -> DataFrame:
     require_columns(raw, ADULT.columns, "Adult data")
     whole = set(S.ADULT_INTEGERS)
-    body = raw.filter(F.coalesce(F.lower(strip(c("age").cast("string"))) != "age", F.lit(True)))
-    typed = body.select(
-        *[
-            (
-                round_to_long(parse_number(c(n).cast("string")))
-                if n in whole
-                else F.coalesce(strip(c(n)), F.lit("nan"))
-            ).alias(n)
-            for n in ADULT.columns
-        ]
-    )
-    return typed.withColumn(ADULT.label, F.rtrim(c(ADULT.label), F.lit("."))).na.drop("any")
+    formulas = {
+        n: round_to_long(parse_number(f"CAST({quoted(n)} AS STRING)"))
+        if n in whole
+        else f"coalesce({strip(quoted(n))}, 'nan')"
+        for n in ADULT.columns
+    }
+    formulas[ADULT.label] = f"trim(TRAILING '.' FROM {formulas[ADULT.label]})"
+    # A repeated header line has no numbers, so dropping incomplete rows drops it too.
+    return replaced(raw, formulas).select(*pick(ADULT.columns)).na.drop("any")
 
 
 def load_heloc(spark: SparkSession, path: str) -> DataFrame:
@@ -102,8 +93,8 @@ def normalize_heloc(raw: DataFrame) -> DataFrame:
     """Canonical columns, labels Good/Bad only, numbers rounded half-even, complete rows only."""
     df = drop_present(rename_known(clean_names(raw), S.HELOC_ALIASES), S.INDEX_COLUMNS)
     require_columns(df, HELOC.columns, "HELOC data")
-    label = relabel(label_text(c(HELOC.label)), S.HELOC_LOAD_LABELS, None)
-    known = df.withColumn(HELOC.label, label).filter(c(HELOC.label).isin(*S.HELOC_LABELS))
+    label = relabel(label_text(quoted(HELOC.label)), S.HELOC_LOAD_LABELS, None)
+    known = replaced(df, {HELOC.label: label}).filter(c(HELOC.label).isin(*S.HELOC_LABELS))
     return coerce_to_schema(known, HELOC.schema).na.drop("any")
 
 
