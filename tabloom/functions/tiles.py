@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 
 #: Slack for floating-point error when comparing bounds of squared distances.
 SLACK = 1e-9
-_CHUNK = 512
+_CHUNK = 256
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:

@@ -33,7 +33,7 @@ from .ranking import prefix_sums
 from .sampling import ROW_ID, capped_sample
 
 #: Real and synthetic rows per tile; also what a task holds in memory at once.
-TILE_ROWS = 8192
+TILE_ROWS = 16384
 PROBE_ROWS = 8192
 MAX_CELLS = 1024
 _FEATURES = "x array<double>, k array<string>"
@@ -84,6 +84,33 @@ def _tile_minima(probes: DataFrame, real: DataFrame, sizes: list[int]) -> DataFr
     return grouped.applyInArrow(tile_minima, f"id {key}, d double")
 
 
+def _pruned_minima(distinct: DataFrame, probes: DataFrame, n_cells: int) -> DataFrame:
+    """Own cell first, then only cells that can still hold a closer row."""
+    key = probes.schema["id"].dataType.simpleString()
+    order = F.xxhash64("x", "k")
+    chosen = distinct.withColumn("h", order).orderBy("h", "x", "k").limit(n_cells).drop("h").collect()
+    px = np.array([row["x"] for row in chosen], dtype=float).reshape(n_cells, -1)
+    pk = np.array([row["k"] for row in chosen], dtype=object).reshape(n_cells, -1)
+    placed = materialize(distinct.mapInArrow(assign_cells(px, pk), f"{_FEATURES}, cell int, r double"), "real-cells")
+    shape = {
+        row["cell"]: row
+        for row in placed.groupBy("cell")
+        .agg(F.count("r").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+        .collect()
+    }
+    sizes = [shape[i]["n"] if i in shape else 0 for i in range(n_cells)]
+    inner = np.array([shape[i]["lo"] if i in shape else np.inf for i in range(n_cells)])
+    outer = np.array([shape[i]["hi"] if i in shape else -np.inf for i in range(n_cells)])
+    owned = materialize(
+        probes.mapInArrow(assign_cells(px, pk), f"id {key}, {_FEATURES}, cell int, r double"), "probe-cells"
+    )
+    first = _tile_minima(owned.withColumn("cells", F.array("cell")), placed, sizes)
+    first = materialize(first.groupBy("id").agg(F.min("d").alias("d")), "own-cell")
+    bounded = owned.join(first, "id").select("id", "x", "k", "cell", "d")
+    visits = bounded.mapInArrow(list_visits(px, pk, inner, outer), f"id {key}, {_FEATURES}, cells array<int>")
+    return first.unionByName(_tile_minima(materialize(visits, "probe-visits"), placed, sizes))
+
+
 def distance_to_closest_record(
     real: DataFrame,
     synthetic: DataFrame,
@@ -129,29 +156,11 @@ def distance_to_closest_record(
     width = len(numeric) + len(texts)
 
     n_cells = min(MAX_CELLS, math.ceil(n_real / TILE_ROWS))
-    order = F.xxhash64("x", "k")
-    chosen = distinct.withColumn("h", order).orderBy("h", "x", "k").limit(n_cells).drop("h").collect()
-    px = np.array([row["x"] for row in chosen], dtype=float).reshape(n_cells, -1)
-    pk = np.array([row["k"] for row in chosen], dtype=object).reshape(n_cells, -1)
-    placed = distinct.mapInArrow(assign_cells(px, pk), f"{_FEATURES}, cell int, r double")
-    placed = materialize(placed, "real-cells")
-    shape = {
-        row["cell"]: row
-        for row in placed.groupBy("cell").agg(F.count("r").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()
-    }
-    sizes = [shape[i]["n"] if i in shape else 0 for i in range(n_cells)]
-
-    owned = materialize(
-        probes.mapInArrow(assign_cells(px, pk), f"id {id_type}, {_FEATURES}, cell int, r double"), "probe-cells"
-    )
-    first = _tile_minima(owned.withColumn("cells", F.array("cell")), placed, sizes)
-    if n_cells > 1:
-        first = materialize(first.groupBy("id").agg(F.min("d").alias("d")), "own-cell")
-        inner = np.array([shape[i]["lo"] if i in shape else np.inf for i in range(n_cells)])
-        outer = np.array([shape[i]["hi"] if i in shape else -np.inf for i in range(n_cells)])
-        bounded = owned.join(first, "id").select("id", "x", "k", "cell", "d")
-        visits = bounded.mapInArrow(list_visits(px, pk, inner, outer), f"id {id_type}, {_FEATURES}, cells array<int>")
-        first = first.unionByName(_tile_minima(materialize(visits, "probe-visits"), placed, sizes))
+    if n_cells == 1:
+        everywhere = probes.withColumn("cells", F.expr("array(0)"))
+        first = _tile_minima(everywhere, distinct.withColumn("cell", F.lit(0)), [n_real])
+    else:
+        first = _pruned_minima(distinct, probes, n_cells)
     nearest = first.groupBy("id").agg(F.min("d").alias("d"))
     return nearest.select(F.col("id").alias(key), F.sqrt(F.col("d") / width).alias("dcr"))
 

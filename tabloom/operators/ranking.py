@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import c, quoted
 from ..functions.hashing import hash_hex
+from ..session import BROADCAST_ROW_BOUND, materialize
 
 #: Hex digits that pick a hash bucket; 16**4 buckets bound every offsets table.
 BUCKET_DIGITS = 4
@@ -95,9 +96,21 @@ def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None =
     """Add ``cum_<s>``: inclusive running total of each column in ``sums`` over ascending ``value``.
 
     ``df`` holds one row per (by, value) - group first, which also absorbs hot
-    values. Buckets are ranges between quantiles of the distinct values, so they
-    hold similar numbers of rows; only speed, not the result, depends on them.
+    values. It is written once, as it is needed several times. Up to a checked
+    size one window will do; beyond it values are cut into ranges between
+    quantiles of the distinct values, which hold similar numbers of rows. Only
+    speed, not the result, depends on them.
     """
+    df = materialize(df, "value-counts")
+    group = [c(by)] if by else []
+    if df.count() <= BROADCAST_ROW_BOUND * 2:
+        whole = Window.partitionBy(*(group or [F.lit(0)])).orderBy(c(value))
+        whole = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(c(s)).over(whole).alias(f"cum_{s}") for s in sums])
+    return _ranged_prefix_sums(df, value, sums, by)
+
+
+def _ranged_prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None) -> DataFrame:
     points = [i / RANGE_BUCKETS for i in range(1, RANGE_BUCKETS)]
     quantiles = F.array_distinct(F.percentile_approx(c(value).cast("double"), points, 10000)).alias("_splits")
     if by:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,6 +21,8 @@ from .schema import columns_with_few_values
 
 #: One coefficient per category is kept on the driver, so their number is checked.
 MAX_CATEGORIES = 100_000
+#: Training rows per partition, at least.
+ROWS_PER_PARTITION = 25_000
 
 
 def target_classes(train: DataFrame, test: DataFrame, target: str) -> list[str]:
@@ -85,19 +88,22 @@ class Design:
         stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
         stages.append(
             LogisticRegression(
-                labelCol="y", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-7
+                labelCol="y", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6
             )
         )
         return Pipeline(stages=stages)
 
 
 def fit_scores(
-    train: DataFrame, test: DataFrame, target: str, l2: float = 1e-4, max_iter: int = 100, key: str = ROW_ID
+    train: DataFrame, test: DataFrame, target: str, l2: float = 1e-4, max_iter: int = 60, key: str = ROW_ID
 ) -> tuple[DataFrame, PipelineModel]:
     """``y, score`` of the test rows under a ridge logistic model of the training rows."""
     positive = target_classes(train, test, target)[1]
     design = Design.fit(train.filter(c(target).isNotNull()), target, key)
-    model = design.pipeline(l2, max_iter).fit(design.columns(train, target, positive))
+    rows = design.columns(train, target, positive)
+    # Every solver step is a job over all partitions, so small tables get few of them.
+    rows = rows.coalesce(max(1, math.ceil(train.count() / ROWS_PER_PARTITION)))
+    model = design.pipeline(l2, max_iter).fit(rows)
     scored = model.transform(design.columns(test, target, positive))
     return scored.select(F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score")), model
 
@@ -108,7 +114,7 @@ def tstr_report(
     real_test: DataFrame,
     target: str,
     l2: float = 1e-4,
-    max_iter: int = 100,
+    max_iter: int = 60,
     key: str = ROW_ID,
 ) -> DataFrame:
     """One row: AUC on real test rows of models trained on synthetic and on real rows.

@@ -14,6 +14,7 @@ from ..functions.columns import named
 from ..operators.constraints import Constraint, in_numeric_set, numeric_at_least, numeric_between, only_invalid, reject_invalid, text_domain
 from ..operators.sampling import ROW_ID
 from ..operators.schema import coerce_to_schema
+from ..session import spread
 from ..sources.specs import TableSpec
 from ..sources.tables import ADULT, CREDIT, HELOC
 
@@ -130,7 +131,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
     if any("c_" in e for e in base.values()):
         rows = rows.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.selectExpr(*[named(e, n) for n, e in base.items()])
+    rows = spread(rows.selectExpr(*[named(e, n) for n, e in base.items()]))
     return rows.selectExpr(*[named(e, n) for n, e in fields.items()])
 
 

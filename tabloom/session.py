@@ -56,3 +56,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def at_most(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has no more than ``bound`` rows, reading no further than needed."""
     return df.limit(bound + 1).count() <= bound
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table of fewer splits than cores, such as one small file.
+
+    Large inputs have more splits than that and stay as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
