@@ -24,6 +24,6 @@ def lookup_join(
     """
     if rows_in_table <= BROADCAST_ROW_BOUND:
         return rows.join(F.broadcast(table), list(on), how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS).cast("long")))
+    copies = table.withColumn("_salt", F.expr(f"explode(sequence(0L, {SALTS - 1}L))"))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
