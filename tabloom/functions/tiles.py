@@ -27,11 +27,15 @@ def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
 
 def _squares(ax: np.ndarray, ak: np.ndarray, bx: np.ndarray, bk: np.ndarray) -> np.ndarray:
     """Summed squared differences of all rows of a against all rows of b (fast, rounded)."""
-    total = np.zeros((len(ax), len(bx)))
-    if ax.shape[1]:
-        total += (ax * ax).sum(1)[:, None] + (bx * bx).sum(1)[None, :] - 2.0 * (ax @ bx.T)
-    for j in range(ak.shape[1]):
-        total += ak[:, j, None] != bk[None, :, j]
+    total = ax @ bx.T if ax.shape[1] else np.zeros((len(ax), len(bx)))
+    total *= -2.0
+    total += (bx * bx).sum(1)[None, :]
+    total += (ax * ax).sum(1)[:, None]
+    # Mismatches are counted in small integers over contiguous columns, several times faster than in doubles.
+    different = np.zeros(total.shape, np.uint8 if ak.shape[1] < 256 else np.uint16)
+    for left, right in zip(np.ascontiguousarray(ak.T), np.ascontiguousarray(bk.T)):
+        different += (left[:, None] != right[None, :]).view(np.uint8)
+    total += different
     return total
 
 
@@ -50,7 +54,9 @@ def _minima(ax: np.ndarray, ak: np.ndarray, bx: np.ndarray, bk: np.ndarray) -> n
 def _codes(*columns: np.ndarray) -> list[np.ndarray]:
     """The same integer for the same text across several matrices."""
     flat = pa.array(np.concatenate([x.ravel() for x in columns]), pa.string())
-    codes = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    coded = flat.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    codes = codes.astype(np.int16) if len(coded.dictionary) < 32768 else codes
     out, at = [], 0
     for x in columns:
         out.append(codes[at : at + x.size].reshape(x.shape))
