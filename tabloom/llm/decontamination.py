@@ -22,6 +22,8 @@ from tabloom.llm.common import ALNUM, LOWER, Words, slices, text_or_empty, words
 
 #: Every so many-th suffix position is kept.
 SAMPLE_EVERY = 8
+#: Text bytes of a shard, which has an index of its own.
+SHARD_BYTES = 4 << 20
 #: Benchmark rows that one pass over the documents searches for; a longer benchmark takes more passes.
 BLOCK_ROWS = 20_000
 
@@ -174,7 +176,7 @@ class Phrases:
 
 
 def _hits(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
-    for piece in slices(batches, "text"):
+    for piece in slices(batches, "text", SHARD_BYTES):
         words = words_of(piece.column("text"), ALNUM, LOWER)
         at, window = phrases.occurrences(words)
         # Merge the spans: +1 where a span starts, -1 after its end; occurrences never cross texts.
@@ -222,6 +224,30 @@ def contamination(
     return _search(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), phrases)
 
 
+def clean(
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts hold no window; filtered where they are read."""
+    items = benchmark.select(F.lit("").alias("item"), text_or_empty("text").alias("text")).distinct()
+    n = items.count()
+    blocks = 1 if n <= block_rows else -(-n // block_rows) * 2
+    items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
+    for block in range(blocks):
+        phrases = Phrases([tuple(x) for x in items.filter(F.col("block") == block).select("item", "text").collect()], width)
+        shared = docs.sparkSession.sparkContext.broadcast(phrases)
+        docs = docs.mapInArrow(lambda batches, shared=shared: _unhit(batches, text_col, shared.value), docs.schema)
+    return docs
+
+
+def _unhit(batches: Iterator[pa.RecordBatch], text: str, phrases: Phrases) -> Iterator[pa.RecordBatch]:
+    for piece in slices(batches, text, SHARD_BYTES):
+        words = words_of(piece.column(text), ALNUM, LOWER)
+        at, _ = phrases.occurrences(words)
+        keep = np.ones(piece.num_rows, bool)
+        keep[words.rows[at]] = False
+        yield piece.filter(pa.array(keep))
+
+
 def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
     return docs.mapInArrow(lambda batches: _hits(batches, shared.value), SCHEMA)
@@ -262,7 +288,7 @@ def _many_blocks(docs: DataFrame, items: DataFrame, n: int, width: int, id_col:
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
-    for piece in slices(batches, "text"):
+    for piece in slices(batches, "text", SHARD_BYTES):
         words = words_of(piece.column("text"), ALNUM, LOWER)
         at, window = phrases.occurrences(words)
         ranges: list[set[tuple[int, int]]] = [set() for _ in range(piece.num_rows)]

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.decontamination import contamination
 from tabloom.llm.exact_dedup import exact_groups
+from tabloom.llm.html_text import extract
+from tabloom.llm.language_id import identify
 from tabloom.llm.mixing import mix_sources
 from tabloom.llm.near_dedup import near_groups
+from tabloom.llm.pii import personal_data
+from tabloom.llm.quality import classify
 from tabloom.llm.substring_dedup import remove_repeats
 from tabloom.llm.warc_audit import audit
 
@@ -19,6 +23,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -39,6 +55,10 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -55,9 +75,13 @@ def fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": languages,
+    "op2_html_text": page_texts,
+    "op3_quality": quality,
     "op4_decontamination": decontaminate,
     "op5_mixing": mix,
     "op6_near_dedup": near,
+    "op7_pii": pii,
     "op8_exact_dedup": exact,
     "op9_substring_dedup": repeats,
     "op10_warc_audit": fixity,
