@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,11 +93,11 @@ def _linked(a: np.ndarray, owners: np.ndarray, elements: np.ndarray, sizes: np.n
     return np.flatnonzero(100 * common >= percent * (len(a) + sizes - common))
 
 
-def _compare(members: pa.Table, attached: pa.Table, percent: int) -> pa.Table:
+def _compare(rows: pa.Table, percent: int) -> pa.Table:
     """Links between the attached texts and the members of one block; both are at most about BLOCK rows."""
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    members, attached = (rows.filter(pc.equal(rows.column("attached"), x)) for x in (False, True))
     if not members.num_rows or not attached.num_rows:
-        return none
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     ids = members.column("row_id").to_numpy()
     lists = members.column("elements").combine_chunks()
     sizes = lists.value_lengths().to_numpy().astype(np.int64)
@@ -166,10 +167,9 @@ def _cluster_links(members: DataFrame, parts: DataFrame, sets: DataFrame, percen
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}s") - 1)).alias(other)
         return rows.select("main", "row_id", "elements", place, every)
 
-    keys = ["main", "block", "chunk"]
-    left = dealt(own, "block", "chunk").groupBy(*keys)
-    right = dealt(attached, "chunk", "block").groupBy(*keys)
-    return left.cogroup(right).applyInArrow(lambda x, y: _compare(x, y, percent), "a long, b long")
+    left = dealt(own, "block", "chunk").select("main", "block", "chunk", "row_id", "elements", F.lit(False).alias("attached"))
+    right = dealt(attached, "chunk", "block").select("main", "block", "chunk", "row_id", "elements", F.lit(True).alias("attached"))
+    return left.union(right).groupBy("main", "block", "chunk").applyInArrow(lambda x: _compare(x, percent), "a long, b long")
 
 
 def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
