@@ -140,42 +140,58 @@ def _covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Per text a row with what its compacted paths remove, or a row per window that is still to be verified.
-
-    A text with windows to verify gives no digest yet; the text and its spans go along with the first of them.
-    """
+    """Per text a row with its digest, if compacted paths tell what to remove. Otherwise a row with the text and the
+    spans that paths remove, and one for each window that is still to be verified."""
     for piece in slices(batches, "text"):
         words = words_of(piece.column("text"))
         graph = _Graph(words, width)
         h1, _ = window_hashes(words, width, 0)
         h2, _ = window_hashes(words, width, 1)
-        out: list[tuple] = []
-        for row, (row_id, places) in enumerate(zip(piece.column("row_id").to_pylist(), piece.column("places").to_pylist(), strict=True)):
+        done, open_texts = [], []
+        windows: list[np.ndarray] = []  # places of windows to verify, in the piece
+        row_ids, texts = piece.column("row_id"), piece.column("text")
+        for row, places in enumerate(piece.column("places").to_pylist()):
             first, stop = int(words.first[row]), int(words.first[row + 1])
             n = stop - first
-            if not places:
-                out.append((row_id, n, 0, _digest(words, row, np.zeros(n, bool)), *[None] * 5))
-                continue
-            pos, left, right = _paths(places, n)
-            starts = np.arange(n - width + 1)
-            owner = graph.owner[first : first + len(starts)] - first
-            at = np.minimum(np.searchsorted(pos, owner), len(pos) - 1)
-            repeated = pos[at] == owner
-            proven = repeated & (left[at] <= starts) & (right[at] >= starts + width)
-            open_starts = starts[repeated & ~proven]
-            removed = _covered(starts[proven], starts[proven] + width, n)
-            if not len(open_starts):
-                out.append((row_id, n, int(removed.sum()), _digest(words, row, removed), *[None] * 5))
-                continue
-            turns = np.flatnonzero(np.diff(np.concatenate([[0], removed.astype(np.int8), [0]]))).tolist()
-            for k, s in enumerate(open_starts.tolist()):
-                hashes = (int(x[first + s].view(np.int64)) for x in (h1, h2))
-                head = (turns, piece.column("text")[row].as_py()) if k == 0 else (None, None)
-                out.append((row_id, n, None, None, *head, s, *hashes))
-        columns = list(zip(*out, strict=True)) if out else [[] for _ in range(9)]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.int64(), pa.int64()]
-        names = ["row_id", "n_words", "n_removed", "kept_sha256", "spans", "text", "start", "h1", "h2"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            removed, unproven = np.zeros(n, bool), None
+            if places:
+                pos, left, right = _paths(places, n)
+                starts = np.arange(n - width + 1)
+                owner = graph.owner[first : first + len(starts)] - first
+                at = np.minimum(np.searchsorted(pos, owner), len(pos) - 1)
+                repeated = pos[at] == owner
+                proven = repeated & (left[at] <= starts) & (right[at] >= starts + width)
+                removed = _covered(starts[proven], starts[proven] + width, n)
+                unproven = starts[repeated & ~proven]
+            row_id = row_ids[row].as_py()
+            if unproven is None or not len(unproven):
+                done.append((row_id, n, int(removed.sum()), _digest(words, row, removed)))
+            else:
+                turns = np.flatnonzero(np.diff(np.concatenate([[0], removed.astype(np.int8), [0]]))).tolist()
+                open_texts.append((row_id, n, turns, texts[row].as_py()))
+                windows.append(first + unproven)
+        at = np.concatenate(windows) if windows else np.zeros(0, np.int64)
+        rows = words.rows[at]
+        yield _batch(["row_id", "n_words", "n_removed", "kept_sha256"], done)
+        yield _batch(["row_id", "n_words", "spans", "text"], open_texts)
+        yield _batch(
+            ["row_id", "start", "h1", "h2"],
+            columns=[row_ids.take(pa.array(rows)), pa.array((at - words.first[rows]).astype(np.int32)), as_long(h1[at]), as_long(h2[at])],
+            n=len(at),
+        )
+
+
+def _batch(names: list[str], rows: list[tuple] = (), columns: list[pa.Array] | None = None, n: int = 0) -> pa.RecordBatch:
+    """A batch of VERDICTS with the named columns, and nulls in all others."""
+    kinds = {
+        "row_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(),
+        "spans": pa.list_(pa.int32()), "text": pa.string(), "start": pa.int32(), "h1": pa.int64(), "h2": pa.int64(),
+    }
+    if columns is None:
+        n = len(rows)
+        columns = [pa.array(c, kinds[x]) for x, c in zip(names, zip(*rows, strict=True) if rows else [()] * len(names), strict=True)]
+    given = dict(zip(names, columns, strict=True))
+    return pa.RecordBatch.from_arrays([given.get(x, pa.nulls(n, t)) for x, t in kinds.items()], list(kinds))
 
 
 def _finish(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -214,16 +230,15 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
         raise ValueError(f"windows need {2 * K} words at least")
     texts, names = keyed_rows(docs, id_col, text_col)
     anchors = texts.mapInArrow(lambda it: _anchors(it, width), ANCHORS)
-    anchors = materialize(anchors, "repeats-anchors")
     marked = anchors.select("vertex", "row_id", "pos").join(repeated_vertices(anchors), "vertex")
     places = marked.groupBy("row_id").agg(F.collect_list(F.struct("pos", "one_ahead", "one_back")).alias("places"))
     verdicts = texts.join(places, "row_id", "left").mapInArrow(lambda it: _verdicts(it, width), VERDICTS)
     verdicts = materialize(verdicts, "repeats-verdicts")
-    done = verdicts.filter("start is null").select("row_id", "n_words", "n_removed", "kept_sha256")
+    done = verdicts.filter("kept_sha256 is not null").select("row_id", "n_words", "n_removed", "kept_sha256")
     windows = verdicts.filter("start is not null")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     found = windows.join(twice, ["h1", "h2"], "left_semi").groupBy("row_id").agg(F.collect_list("start").alias("starts"))
-    rest = windows.filter("spans is not null").select("row_id", "spans", "text").join(found, "row_id", "left")
+    rest = verdicts.filter("spans is not null").select("row_id", "spans", "text").join(found, "row_id", "left")
     rest = rest.mapInArrow(lambda it: _finish(it, width), RESULT)
     out = done.unionByName(rest)
     if names is None:
