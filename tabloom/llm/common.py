@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.session import materialize
@@ -54,6 +54,14 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], values: list
     return joined.select(*df.columns, *[(F.col(f"_in_{v}") + F.col(f"_off_{v}")).alias(f"before_{v}") for v in values])
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver notice that finished steps are unreachable, upon which Spark deletes their shuffle files.
+
+    Spark does so whenever the driver's heap is collected, which may be long after the disk is full.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
     """(row_id, text) of each row with a unique row_id, and (row_id, doc_id) where that is another number.
 

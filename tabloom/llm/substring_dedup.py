@@ -4,7 +4,7 @@ Vertices are the k-mers that are least by hash in some window of 35 words (so eq
 places), edges run from one to the next in a text and are labelled with all words they span; the ends of a text count
 as vertices too. Spark groups vertices, joins the repeated ones back to their places, and tells where every occurrence
 goes on by the same edge: there the path does not branch and is compacted. A compacted path of a repeated vertex is a
-repeated span. Windows that hang over the end of a path (27 words at most on either side) are verified one by one at
+repeated span. Windows that hang over the end of a path (21 words at most on either side) are verified one by one at
 their source coordinates, by a 128-bit hash of their words.
 """
 
@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Words, as_long, keyed_rows, mix, slices, window_hashes, words_of
+from tabloom.llm.common import Words, as_long, free_shuffles, keyed_rows, mix, slices, window_hashes, words_of
 from tabloom.session import materialize
 
-#: Words of a k-mer. Windows of 35 words then hold 28 k-mers, and about one place in 14 becomes a vertex.
-K = 8
+#: Words of a k-mer. Windows of 35 words then hold 22 k-mers, and about one place in 11 becomes a vertex. Shorter k-mers
+#: make fewer vertices, but repeat more often in windows that do not, and leave more words at the ends of paths.
+K = 14
 
 ANCHORS = "row_id long, pos int, vertex long, ahead long, back long"
 VERDICTS = "row_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, text string, start int, h1 long, h2 long"
@@ -234,6 +235,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     places = marked.groupBy("row_id").agg(F.collect_list(F.struct("pos", "one_ahead", "one_back")).alias("places"))
     verdicts = texts.join(places, "row_id", "left").mapInArrow(lambda it: _verdicts(it, width), VERDICTS)
     verdicts = materialize(verdicts, "repeats-verdicts")
+    free_shuffles(docs.sparkSession)
     done = verdicts.filter("kept_sha256 is not null").select("row_id", "n_words", "n_removed", "kept_sha256")
     windows = verdicts.filter("start is not null")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
