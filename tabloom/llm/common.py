@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,8 +58,10 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], values: list
 def free_shuffles(spark: SparkSession) -> None:
     """Have the driver notice that finished steps are unreachable, upon which Spark deletes their shuffle files.
 
-    Spark does so whenever the driver's heap is collected, which may be long after the disk is full.
+    Spark does so whenever the driver's heaps are collected, which may be long after the disk is full. Python goes
+    first, since its objects hold on to the JVM's.
     """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import LOWER, NON_BLANK, as_long, keyed_rows, mix, slices, window_hashes, words_of
+from tabloom.llm.common import LOWER, NON_BLANK, as_long, free_shuffles, keyed_rows, mix, slices, window_hashes, words_of
 from tabloom.llm.components import components
 from tabloom.session import materialize
 
@@ -194,6 +194,7 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     needed = members.select("row_id").distinct()
     sets = texts.join(needed, "row_id", "left_semi").mapInArrow(_sets, "row_id long, elements array<long>")
     sets = materialize(sets, "near-sets")
+    free_shuffles(docs.sparkSession)
     links = materialize(_verified(_pairs(members, percent), sets, percent), "near-links")
     parts = components(links)
     more = _cluster_links(members, parts, sets, percent)
