@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,10 +60,12 @@ def free_shuffles(spark: SparkSession) -> None:
     """Have the driver notice that finished steps are unreachable, upon which Spark deletes their shuffle files.
 
     Spark does so whenever the driver's heaps are collected, which may be long after the disk is full. Python goes
-    first, since its objects hold on to the JVM's.
+    first, since its objects hold on to the JVM's; what the JVM then lets go of is found in a second round.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
