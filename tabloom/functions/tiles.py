@@ -108,11 +108,12 @@ def list_visits(px: np.ndarray, pk: np.ndarray, inner: np.ndarray, outer: np.nda
             own = batch["cell"].to_numpy()
             bound = np.sqrt(batch["d"].to_numpy(zero_copy_only=False))
             here = d[np.arange(len(own)), own][:, None]
-            # Rings around the pivots, and the plane halfway between the own pivot and the other one.
+            # Rings around the pivots, and the plane halfway between the own pivot and the other one (not for pivots so
+            # near each other that rounding would decide).
             low = np.maximum(d - outer[None, :], inner[None, :] - d)
             between = pivots[own]
             with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.where(between > 0, (d * d - here * here) / (2.0 * between), 0.0)
+                plane = np.where(between > 1e-3, (d * d - here * here) / (2.0 * between), 0.0)
             low = np.maximum(low, plane)
             worth = low < bound[:, None] + 1e-7
             worth[np.arange(len(own)), own] = False

@@ -54,7 +54,7 @@ def _encoded(
     ]
 
 
-def _tile_minima(probes: DataFrame, real: DataFrame, sizes: list[int]) -> DataFrame:
+def _tile_minima(probes: DataFrame, real: DataFrame, sizes: list[int], tile_rows: int) -> DataFrame:
     """``id, d``: smallest squared distance of each probe to the real rows of its ``cells``, per tile."""
     key = probes.schema["id"].dataType.simpleString()
     asked = {
@@ -64,7 +64,7 @@ def _tile_minima(probes: DataFrame, real: DataFrame, sizes: list[int]) -> DataFr
     if not asked:
         return probes.sparkSession.createDataFrame([], f"id {key}, d double")
     cells = range(len(sizes))
-    real_parts = F.array(*[F.lit(max(1, math.ceil(sizes[i] / TILE_ROWS))) for i in cells])
+    real_parts = F.array(*[F.lit(max(1, math.ceil(sizes[i] / tile_rows))) for i in cells])
     probe_parts = F.array(*[F.lit(math.ceil(asked.get(i, 0) / PROBE_ROWS)) for i in cells])
     n_real = F.element_at(real_parts, F.col("cell") + 1)
     n_probe = F.element_at(probe_parts, F.col("cell") + 1)
@@ -84,7 +84,7 @@ def _tile_minima(probes: DataFrame, real: DataFrame, sizes: list[int]) -> DataFr
     return grouped.applyInArrow(tile_minima, f"id {key}, d double")
 
 
-def _pruned_minima(distinct: DataFrame, probes: DataFrame, n_cells: int) -> DataFrame:
+def _pruned_minima(distinct: DataFrame, probes: DataFrame, n_cells: int, tile_rows: int) -> DataFrame:
     """Own cell first, then only cells that can still hold a closer row."""
     key = probes.schema["id"].dataType.simpleString()
     order = F.xxhash64("x", "k")
@@ -98,17 +98,21 @@ def _pruned_minima(distinct: DataFrame, probes: DataFrame, n_cells: int) -> Data
         .agg(F.count("r").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
         .collect()
     }
-    sizes = [shape[i]["n"] if i in shape else 0 for i in range(n_cells)]
-    inner = np.array([shape[i]["lo"] if i in shape else np.inf for i in range(n_cells)])
-    outer = np.array([shape[i]["hi"] if i in shape else -np.inf for i in range(n_cells)])
+    # Pivots that nearly coincide tie by rounding, and some get no rows; probes must not choose those.
+    alive = sorted(shape)
+    px, pk = px[alive], pk[alive]
+    numbers = F.array(*[F.lit(alive.index(i) if i in shape else -1) for i in range(n_cells)])
+    placed = placed.withColumn("cell", F.element_at(numbers, F.col("cell") + 1))
+    sizes = [shape[i]["n"] for i in alive]
+    inner, outer = (np.array([shape[i][side] for i in alive]) for side in ("lo", "hi"))
     owned = materialize(
         probes.mapInArrow(assign_cells(px, pk), f"id {key}, {_FEATURES}, cell int, r double"), "probe-cells"
     )
-    first = _tile_minima(owned.withColumn("cells", F.array("cell")), placed, sizes)
+    first = _tile_minima(owned.withColumn("cells", F.array("cell")), placed, sizes, tile_rows)
     first = materialize(first.groupBy("id").agg(F.min("d").alias("d")), "own-cell")
-    bounded = owned.join(first, "id").select("id", "x", "k", "cell", "d")
+    bounded = owned.join(first, "id", "left").select("id", "x", "k", "cell", F.coalesce("d", F.lit(float("inf"))).alias("d"))
     visits = bounded.mapInArrow(list_visits(px, pk, inner, outer), f"id {key}, {_FEATURES}, cells array<int>")
-    return first.unionByName(_tile_minima(materialize(visits, "probe-visits"), placed, sizes))
+    return first.unionByName(_tile_minima(materialize(visits, "probe-visits"), placed, sizes, tile_rows))
 
 
 def distance_to_closest_record(
@@ -120,10 +124,12 @@ def distance_to_closest_record(
     seed: int = 42,
     ignore: Collection[str] = (),
     key: str = ROW_ID,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """``key, dcr`` for every synthetic row (or for a capped sample, if asked for).
 
-    Real columns without any number are left out of the distance. The caps are
+    A row with an infinite number is infinitely far from all others. Results do
+    not depend on ``tile_rows``, the real rows that one task compares with. Real columns without any number are left out of the distance. The caps are
     the caller's choice; without them all rows on both sides count.
     """
     if max_real is not None:
@@ -155,14 +161,16 @@ def distance_to_closest_record(
     probes = materialize(synthetic.selectExpr(f"{quoted(key)} AS id", *_encoded(synthetic.schema, numeric, scale, texts)), "probes")
     width = len(numeric) + len(texts)
 
-    n_cells = min(MAX_CELLS, math.ceil(n_real / TILE_ROWS))
+    n_cells = min(MAX_CELLS, math.ceil(n_real / tile_rows))
     if n_cells == 1:
         everywhere = probes.withColumn("cells", F.expr("array(0)"))
-        first = _tile_minima(everywhere, distinct.withColumn("cell", F.lit(0)), [n_real])
+        first = _tile_minima(everywhere, distinct.withColumn("cell", F.lit(0)), [n_real], tile_rows)
     else:
-        first = _pruned_minima(distinct, probes, n_cells)
+        first = _pruned_minima(distinct, probes, n_cells, tile_rows)
     nearest = first.groupBy("id").agg(F.min("d").alias("d"))
-    return nearest.select(F.col("id").alias(key), F.sqrt(F.col("d") / width).alias("dcr"))
+    nearest = probes.select("id").join(nearest, "id", "left")
+    found = F.when(F.col("d").isNull() | F.isnan("d"), F.lit(float("inf"))).otherwise(F.sqrt(F.col("d") / width))
+    return nearest.select(F.col("id").alias(key), found.alias("dcr"))
 
 
 def describe(df: DataFrame, column: str = "dcr") -> DataFrame:

@@ -35,7 +35,7 @@ def adult_constraints(label: str = S.ADULT_LABEL) -> list[Constraint]:
     rules.append(
         mapped_value(
             "education_num_consistency", "education", "education-num", S.ADULT_EDUCATION_NUM,
-            "education-num must match the deterministic Adult education mapping.",
+            "education-num is the number that the census gives to education.",
         )
     )
     if label:

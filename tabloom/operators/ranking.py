@@ -20,8 +20,8 @@ from ..session import BROADCAST_ROW_BOUND, materialize
 
 #: Hex digits that pick a hash bucket; 16**4 buckets bound every offsets table.
 BUCKET_DIGITS = 4
-#: Value-range buckets for prefix sums; the split points travel as one array per group.
-RANGE_BUCKETS = 128
+#: Value ranges for prefix sums: at least, rows in each, and at most (what the quantile sketch can tell apart).
+RANGE_BUCKETS, RANGE_ROWS, MOST_RANGES = 128, 1_000_000, 5000
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -92,7 +92,7 @@ def bucket_offsets(rows: DataFrame, by: Sequence[str], sums: dict[str, Column],
     )
 
 
-def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None = None, window_rows: int = 2 * BROADCAST_ROW_BOUND) -> DataFrame:
     """Add ``cum_<s>``: inclusive running total of each column in ``sums`` over ascending ``value``.
 
     ``df`` holds one row per (by, value) - group first, which also absorbs hot
@@ -103,19 +103,20 @@ def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None =
     """
     df = materialize(df, "value-counts")
     group = [c(by)] if by else []
-    if df.count() <= BROADCAST_ROW_BOUND * 2:
+    n = df.count()
+    if n <= window_rows:
         whole = Window.partitionBy(*(group or [F.lit(0)])).orderBy(c(value))
         whole = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(c(s)).over(whole).alias(f"cum_{s}") for s in sums])
-    return _ranged_prefix_sums(df, value, sums, by)
+    return _ranged_prefix_sums(df, value, sums, by, min(MOST_RANGES, max(RANGE_BUCKETS, n // RANGE_ROWS)))
 
 
-def _ranged_prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None) -> DataFrame:
-    points = [i / RANGE_BUCKETS for i in range(1, RANGE_BUCKETS)]
+def _ranged_prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None, ranges: int) -> DataFrame:
+    points = [i / ranges for i in range(1, ranges)]
     quantiles = F.array_distinct(F.percentile_approx(c(value).cast("double"), points, 10000)).alias("_splits")
     if by:
         splits = df.groupBy(c(by).alias("_by")).agg(quantiles)
-        tagged = df.join(F.broadcast(splits), c(by) == F.col("_by")).drop("_by")
+        tagged = df.join(splits, c(by).eqNullSafe(F.col("_by"))).drop("_by")
     else:
         tagged = df.withColumn("_splits", df.agg(quantiles).scalar())
     bucket = F.expr(f"size(filter(_splits, s -> s <= CAST({quoted(value)} AS DOUBLE)))")
@@ -129,7 +130,7 @@ def _ranged_prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str
     match = local["_b"] == offsets["_bucket"]
     if by:
         match = match & local[quoted(by)].eqNullSafe(offsets["_by0"])
-    return local.join(F.broadcast(offsets), match).select(
+    return local.join(offsets, match).select(
         *[local[quoted(n)] for n in df.columns],
         *[(F.col(f"_cum_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
     )

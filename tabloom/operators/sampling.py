@@ -40,11 +40,6 @@ def capped_sample(df: DataFrame, at_most: int, seed: int = 42, key: str = ROW_ID
     )
 
 
-def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first ``n`` rows in the given order, which must be total."""
-    return df.orderBy(*[c(o) for o in order]).limit(n)
-
-
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """Rows per non-null class: ``_class, _size, _text``; labels are few by nature."""
     return (

@@ -20,7 +20,7 @@ from .sampling import FEW_VALUES, ROW_ID
 from .schema import columns_with_few_values
 
 #: One coefficient per category is kept on the driver, so their number is checked.
-MAX_CATEGORIES = 100_000
+MAX_CATEGORIES = 5_000_000
 #: Training rows per partition, at least.
 ROWS_PER_PARTITION = 25_000
 
@@ -95,7 +95,7 @@ class Design:
 
 
 def fit_scores(
-    train: DataFrame, test: DataFrame, target: str, l2: float = 1e-4, max_iter: int = 30, key: str = ROW_ID
+    train: DataFrame, test: DataFrame, target: str, l2: float = 1e-4, max_iter: int = 200, key: str = ROW_ID
 ) -> tuple[DataFrame, PipelineModel]:
     """``y, score`` of the test rows under a ridge logistic model of the training rows."""
     positive = target_classes(train, test, target)[1]
@@ -114,7 +114,7 @@ def tstr_report(
     real_test: DataFrame,
     target: str,
     l2: float = 1e-4,
-    max_iter: int = 30,
+    max_iter: int = 200,
     key: str = ROW_ID,
 ) -> DataFrame:
     """One row: AUC on real test rows of models trained on synthetic and on real rows.

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection, Sequence
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from ..operators.generation import Responder, generate, rounds_needed, sample_te
 from ..operators.neighbors import describe, distance_to_closest_record
 from ..operators.prompts import PromptBuilder, PromptConfig
 from ..operators.revision import revision_report
-from ..operators.sampling import ROW_ID, bootstrap_credit, bootstrap_generic, split_train_test, with_row_id
+from ..operators.sampling import ROW_ID, bootstrap_credit, bootstrap_generic, split_train_test
 from ..operators.schema import coerce_to_schema
 from ..operators.utility import tstr_report
 from ..session import materialize
@@ -58,8 +57,9 @@ def evaluate_run(
     )
     no_error = F.lit(None).cast("string").alias("error")
     try:
-        utility = tstr_report(train, fixed, test, target, key=key).select("*", no_error)
-    except (ValueError, PySparkException) as failure:
+        # Stored here, so that a failure of its jobs is met here too.
+        utility = materialize(tstr_report(train, fixed, test, target, key=key).select("*", no_error), "utility")
+    except Exception as failure:  # noqa: BLE001 - one failed part must not cost the whole report
         utility = train.sparkSession.createDataFrame(
             [(None, None, None, None, None, None, str(failure))],
             "synthetic_auc double, real_auc double, n_train_synthetic bigint, n_train_real bigint, "
@@ -82,17 +82,6 @@ def evaluate_run(
     )
 
 
-def offline_mutator(spec: TableSpec) -> Callable[[DataFrame, int], DataFrame]:
-    """Row augmentation used by the stand-in generator: the bootstrap that fits the table."""
-
-    def mutate(rows: DataFrame, seed: int) -> DataFrame:
-        keyed = with_row_id(rows, "_mutated")
-        draw = bootstrap_credit if spec.name == CREDIT.name else bootstrap_generic
-        return draw(keyed, None, seed, "_mutated").drop("_mutated")
-
-    return mutate
-
-
 def generate_synthetic(
     spec: TableSpec,
     train: DataFrame,

@@ -69,19 +69,19 @@ def whole(x: str) -> str:
 
 
 def credit_rule_list() -> list[tuple[str, str, str]]:
-    out = [("LIMIT_BAL_min", '"LIMIT_BAL" >= 1', "LIMIT_BAL must be numeric and >= 1.")]
+    out = [("LIMIT_BAL_min", '"LIMIT_BAL" >= 1', "LIMIT_BAL takes numbers of 1 and up.")]
     for n, values in S.CREDIT_DOMAINS.items():
-        out.append((f"{n}_domain", f"{whole(q(n))} AND {q(n)} IN {values}", f"{n} must be an integer in {values}."))
-    out.append(("AGE_range", '"AGE" BETWEEN 18 AND 100', "AGE must be numeric and lie in [18, 100]."))
+        out.append((f"{n}_domain", f"{whole(q(n))} AND {q(n)} IN {values}", f"{n} takes whole numbers out of {values} only."))
+    out.append(("AGE_range", '"AGE" BETWEEN 18 AND 100', "AGE takes numbers from 18 to 100."))
     for n in S.CREDIT_STATUS:
         out.append(
             (f"{n}_status_domain", f"{whole(q(n))} AND {q(n)} BETWEEN -2 AND 9",
-             f"{n} must be an integer repayment status from -2 to 9.")
+             f"{n} holds a repayment status, whole, -2 to 9.")
         )
     for n in S.CREDIT_PAYMENTS:
-        out.append((f"{n}_min", f"{q(n)} >= 0", f"{n} must be numeric and >= 0."))
+        out.append((f"{n}_min", f"{q(n)} >= 0", f"{n} takes numbers of 0 and up."))
     n = S.CREDIT_LABEL
-    out.append((f"{n}_domain", f"{whole(q(n))} AND {q(n)} IN (0, 1)", f"{n} must be an integer in (0, 1)."))
+    out.append((f"{n}_domain", f"{whole(q(n))} AND {q(n)} IN (0, 1)", f"{n} takes whole numbers out of (0, 1) only."))
     return out
 
 
@@ -92,15 +92,15 @@ def education_number(source: str = "education") -> str:
 
 def adult_rule_list() -> list[tuple[str, str, str]]:
     return [
-        ("age_range", "age BETWEEN 16 AND 100", "age must be numeric and lie in [16, 100]."),
-        ("education-num_range", '"education-num" BETWEEN 1 AND 16', "education-num must be numeric and lie in [1, 16]."),
-        ("hours-per-week_range", '"hours-per-week" BETWEEN 1 AND 99', "hours-per-week must be numeric and lie in [1, 99]."),
-        ("capital-gain_min", '"capital-gain" >= 0', "capital-gain must be numeric and >= 0."),
-        ("capital-loss_min", '"capital-loss" >= 0', "capital-loss must be numeric and >= 0."),
+        ("age_range", "age BETWEEN 16 AND 100", "age takes numbers from 16 to 100."),
+        ("education-num_range", '"education-num" BETWEEN 1 AND 16', "education-num takes numbers from 1 to 16."),
+        ("hours-per-week_range", '"hours-per-week" BETWEEN 1 AND 99', "hours-per-week takes numbers from 1 to 99."),
+        ("capital-gain_min", '"capital-gain" >= 0', "capital-gain takes numbers of 0 and up."),
+        ("capital-loss_min", '"capital-loss" >= 0', "capital-loss takes numbers of 0 and up."),
         ("education_num_consistency", f'{education_number()} = "education-num"',
-         "education-num must match the deterministic Adult education mapping."),
+         "education-num is the number that the census gives to education."),
         ("income_domain", f"trim(income, {BLANKS}) IN ('<=50K', '>50K', '<=50K.', '>50K.')",
-         "income must be one of <=50K, >50K."),
+         "income is written as one of <=50K, >50K."),
     ]
 
 
@@ -119,28 +119,28 @@ HELOC_CEILINGS = {
 
 def heloc_rule_list() -> list[tuple[str, str, str]]:
     out = [("RiskPerformance_domain", f"trim(\"RiskPerformance\", {BLANKS}) IN ('Good', 'Bad')",
-            "RiskPerformance must be Good or Bad.")]
+            "RiskPerformance is written as Good or Bad.")]
     for n, high in HELOC_CEILINGS.items():
         out.append(
             (f"{n}_heloc_domain", f"{whole(q(n))} AND ({q(n)} IN (-9, -8, -7) OR {q(n)} BETWEEN 0 AND {high})",
-             f"{n} must be an integer special code in (-9, -8, -7) or a value in [0, {high}].")
+             f"{n} holds one of the special codes (-9, -8, -7) or a whole number from 0 to {high}.")
         )
     for a, b in S.HELOC_PAIRS:
         free = " OR ".join(f"coalesce({q(x)} IN (-9, -8, -7), false)" for x in (a, b))
         out.append((f"{a}_le_{b}", f"{free} OR {q(a)} <= {q(b)}",
-                    f"{a} must be <= {b} whenever neither field is a HELOC special code."))
+                    f"{a} does not exceed {b}, special codes of HELOC aside."))
     return out
 
 
 def lineitem_rule_list() -> list[tuple[str, str, str]]:
     return [
-        ("l_quantity_range", "l_quantity BETWEEN 1 AND 45", "l_quantity must be numeric and lie in [1, 45]."),
-        ("l_extendedprice_min", "l_extendedprice >= 2000", "l_extendedprice must be numeric and >= 2000."),
-        ("l_discount_range", "l_discount BETWEEN 0 AND 0.08::DOUBLE", "l_discount must be numeric and lie in [0, 0.08]."),
-        ("l_tax_range", "l_tax BETWEEN 0 AND 0.07::DOUBLE", "l_tax must be numeric and lie in [0, 0.07]."),
-        ("l_linenumber_domain", "l_linenumber IN (1, 2, 3, 4, 5, 6)", "l_linenumber must be an integer in (1, 2, 3, 4, 5, 6)."),
-        ("l_returnflag_domain", "l_returnflag IN ('A', 'N')", "l_returnflag must be A or N."),
-        ("l_linestatus_domain", "l_linestatus IN ('F', 'O')", "l_linestatus must be F or O."),
+        ("l_quantity_range", "l_quantity BETWEEN 1 AND 45", "l_quantity takes numbers from 1 to 45."),
+        ("l_extendedprice_min", "l_extendedprice >= 2000", "l_extendedprice takes numbers of 2000 and up."),
+        ("l_discount_range", "l_discount BETWEEN 0 AND 0.08::DOUBLE", "l_discount takes numbers from 0 to 0.08."),
+        ("l_tax_range", "l_tax BETWEEN 0 AND 0.07::DOUBLE", "l_tax takes numbers from 0 to 0.07."),
+        ("l_linenumber_domain", "l_linenumber IN (1, 2, 3, 4, 5, 6)", "l_linenumber takes whole numbers out of (1, 2, 3, 4, 5, 6) only."),
+        ("l_returnflag_domain", "l_returnflag IN ('A', 'N')", "l_returnflag is written as A or N."),
+        ("l_linestatus_domain", "l_linestatus IN ('F', 'O')", "l_linestatus is written as F or O."),
     ]
 
 
@@ -624,6 +624,11 @@ def all_oracles() -> dict[str, str]:
         found[f"infer_categorical_{name}"] = infer(name)
         found[f"column_similarity_{name}"] = similarity(name)
         found[f"dcr_rows_{name}"] = with_(distance_rows(name), "SELECT _row_id, round(dcr, 6) AS dcr FROM dcr")
+    found["dcr_rows_cells_credit"] = found["dcr_rows_credit"]
+    found["prefix_sums_ranged"] = """
+        SELECT g, v, n, (sum(n) OVER (PARTITION BY g ORDER BY v))::BIGINT AS cum_n
+        FROM (SELECT nullif(l_returnflag, 'A') AS g, l_extendedprice AS v, count(*) AS n FROM lineitem GROUP BY ALL)
+    """
 
     text = cleaned('"RiskPerformance"')
     relabel = (

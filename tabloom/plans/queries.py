@@ -15,8 +15,9 @@ from ..operators.codec import TextCodec
 from ..operators.constraints import constraint_detail, constraint_summary, reject_invalid, violated_rules, violation_matrix
 from ..operators.fidelity import auc_binary, column_similarity, kolmogorov_smirnov, similarity_mean, total_variation
 from ..operators.generation import generate, sample_texts, table_responder, table_text_responder
-from ..operators.neighbors import describe, distance_to_closest_record
+from ..operators.neighbors import TILE_ROWS, describe, distance_to_closest_record
 from ..operators.prompts import PromptBuilder, PromptConfig
+from ..operators.ranking import prefix_sums
 from ..operators.revision import revision_report
 from ..operators.sampling import (
     ROW_ID,
@@ -214,13 +215,19 @@ def auc_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(auc_binary(scored, "y", "l_extendedprice", by="l_linestatus"))
 
 
-def distances(name: str, spark: SparkSession, sf: str) -> DataFrame:
+def distances(name: str, spark: SparkSession, sf: str, tile_rows: int = TILE_ROWS) -> DataFrame:
     target = spec(name).label
     return distance_to_closest_record(
-        stored_real(spark, sf, name), stored_fixed(spark, sf, name), spec(name).categorical, ignore=[target]
+        stored_real(spark, sf, name), stored_fixed(spark, sf, name), spec(name).categorical, ignore=[target], tile_rows=tile_rows
     )
 
 
+def ranged_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Running sums by ranges at any size, with a null group."""
+    rows = table(spark, sf, "lineitem").selectExpr("nullif(l_returnflag, 'A') AS g", "l_extendedprice AS v")
+    return prefix_sums(rows.groupBy("g", "v").agg(F.count("*").alias("n")), "v", ["n"], "g", window_rows=0)
+
+
 def utility(spark: SparkSession, sf: str) -> DataFrame:
     train, test = split_train_test(stored_real(spark, sf, "credit"))
     return rounded(tstr_report(train, stored_fixed(spark, sf, "credit"), test, S.CREDIT_LABEL))
@@ -329,7 +336,7 @@ def conditional(spark: SparkSession, sf: str) -> DataFrame:
 
 def experiment(name: str, seeds: Sequence[int], spark: SparkSession, sf: str) -> DataFrame:
     rows = stored_real(spark, sf, name)
-    return rounded(flatten(run_experiment(spec(name), rows, seeds, max_real=5000, max_synthetic=5000)))
+    return rounded(flatten(run_experiment(spec(name), rows, seeds)))
 
 
 def statistics(name: str, seeds: Sequence[int], spark: SparkSession, sf: str) -> DataFrame:
@@ -373,6 +380,8 @@ def all_queries() -> dict[str, Query]:
         "similarity_mean": lambda spark, sf: rounded(similarity_mean(similarity("credit", spark, sf))),
         "auc_binary": auc_ties,
         "auc_lineitem": auc_lineitem,
+        "dcr_rows_cells_credit": lambda spark, sf: rounded(distances("credit", spark, sf, tile_rows=1000)),
+        "prefix_sums_ranged": ranged_sums,
         "dcr_summary": lambda spark, sf: rounded(describe(distances("credit", spark, sf))),
         "tstr_report": utility,
         "encode_rows_text": encoded,

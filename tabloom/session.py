@@ -33,9 +33,11 @@ def local_session(cpus: int | str = "*", app: str = "tabloom", memory: str = "16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names, else one for this session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for intermediate tables: the one the cluster names, else, on a single machine, one for this session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _own_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="tabloom-")
         _own_folders[app] = folder
@@ -56,12 +58,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def at_most(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has no more than ``bound`` rows, reading no further than needed."""
     return df.limit(bound + 1).count() <= bound
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table of fewer splits than cores, such as one small file.
-
-    Large inputs have more splits than that and stay as they are: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

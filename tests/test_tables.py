@@ -72,8 +72,8 @@ def test_coercion_and_inference(spark):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([('a"b,c', None, 1)], "`x.y` string, z string, n int")
     sinks.write_csv(df, str(tmp_path / "csv"))
-    part = next((tmp_path / "csv").glob("part-*")).read_text()
-    assert part == 'x.y,z,n\n"a""b,c",,1\n'
+    parts = {p.read_text() for p in (tmp_path / "csv").glob("part-*")}  # an empty partition may leave a header
+    assert parts - {"x.y,z,n\n"} == {'x.y,z,n\n"a""b,c",,1\n'}
     nested = df.select(F.struct("n", F.struct("z").alias("deep")).alias("r"))
     assert sinks.flatten(nested).columns == ["r.n", "r.deep.z"]
     sinks.write_text(df, "x.y", str(tmp_path / "txt"))
@@ -117,8 +117,8 @@ def test_row_ids_are_fixed(spark):
 
 
 def test_ranged_prefix_sums_match_a_plain_window(spark):
-    df = spark.range(3000).selectExpr("id % 3 AS g", "CAST((id * 7919) % 3001 AS DOUBLE) AS v", "id % 5 AS n")
-    got = {(r.g, r.v): r.cum_n for r in _ranged_prefix_sums(df, "v", ["n"], "g").collect()}
+    df = spark.range(3000).selectExpr("nullif(id % 3, 2) AS g", "CAST((id * 7919) % 3001 AS DOUBLE) AS v", "id % 5 AS n")
+    got = {(r.g, r.v): r.cum_n for r in _ranged_prefix_sums(df, "v", ["n"], "g", 16).collect()}
     expected = df.selectExpr("g", "v", "sum(n) OVER (PARTITION BY g ORDER BY v) AS cum").collect()
     assert len(got) == 3000 and all(got[(r.g, r.v)] == r.cum for r in expected)
     assert ADULT.schema["age"].dataType.simpleString() == "bigint"
