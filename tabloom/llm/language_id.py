@@ -55,7 +55,7 @@ def _evidence(batches: Iterator[pa.RecordBatch], languages: list[str], logs: np.
         html = [x or "" for x in piece.column("html").to_pylist()]
         rows, buckets = byte_trigrams(pa.array([_HIDDEN.sub(" ", x) for x in html], pa.large_string()))
         n = np.bincount(rows, minlength=piece.num_rows)
-        scores = np.stack([np.bincount(rows, x[buckets], piece.num_rows) for x in logs], 1)
+        scores = np.stack([np.bincount(rows, x[buckets], piece.num_rows) for x in logs], 1).astype(float)
         scores *= np.minimum(1.0, LENGTH / np.maximum(1, n))[:, None]
         out = []
         for page_id, row_id, url, page in zip(*(piece.column(c).to_pylist() for c in ("page_id", "row_id", "url")), html, strict=True):
