@@ -7,9 +7,10 @@ import re
 import numpy as np
 import pytest
 
-from tabloom.llm import decontamination, exact_dedup, mixing, near_dedup, pii, quality, substring_dedup, warc_audit
+from tabloom.llm import common, decontamination, exact_dedup, mixing, near_dedup, pii, quality, substring_dedup, warc_audit
 from tabloom.llm.html_text import page_text
 from tabloom.llm.language_id import identify
+from tabloom.llm.ngrams import BUCKETS
 from tabloom.llm.oracles import ORACLES
 from tabloom.llm.queries import QUERIES
 
@@ -247,3 +248,114 @@ def test_pipeline(spark):
     assert decontamination.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("n_hit > 0").count() == 0
     final = corpus_pipeline.run(spark, SF)
     assert 0 < final.count() <= sizes[-1] and os.path.isdir(SF)
+
+
+def plain_base(text):
+    """The base rules of personal data by Python's own patterns."""
+    luhn = lambda ds: sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(ds))) % 10 == 0
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v, ds: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v, ds: all(int(p) <= 255 for p in v.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda v, ds: 14 <= len(ds) <= 19 and luhn(ds)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v, ds: 10 <= len(ds) <= 15),
+    }
+    found = []
+    for rank, (kind, (pattern, valid)) in enumerate(rules.items()):
+        for m in re.finditer(pattern, text):
+            if valid(m[0], re.sub("[^0-9]", "", m[0])):
+                found.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return [name for *_, name in sorted(found)]
+
+
+def test_base_rules_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    alphabets = ("0123456789", "0123456789 -", "+0123456789 ().-", "012.", "ab1.@%_+-", "é0129 .-+@a\n")
+    for alphabet in alphabets:
+        texts += ["".join(rng.choice(list(alphabet), int(rng.integers(1, 90)))) for _ in range(60)]
+    texts += ["4111 1111 1111 1111", "4111-1111-1111-1111-4111", "256.1.1.1 255.255.255.255", "é😀 +1 555 123 4567 x@y.z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.personal_data(docs).collect():
+        want = plain_base(texts[r.doc_id])
+        kinds = [x.split(":")[0] for x in want]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(map(kinds.count, pii.KINDS)), texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r.doc_id]
+        spans = r.spans.split(",") if r.spans else []
+        assert set(want) <= set(spans) and len(spans) == len(want) + r.n_found
+
+
+def plain_buckets(text):
+    """Trigram and word-pair buckets of a text, one at a time."""
+    data, full = text.encode(), (1 << 64) - 1
+
+    def spread(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & full
+        return x ^ x >> 31
+
+    def word_hash(w):
+        codes = (int(common._BYTE_CODES[b]) * pow(common._LETTER_BASE, i, 1 << 64) for i, b in enumerate(w))
+        return spread((sum(codes) + len(w)) & full)
+
+    trigrams = [((int.from_bytes(data[i : i + 3], "little") * 0x9E3779B1) & 0xFFFFFFFF) >> 18 for i in range(len(data) - 2)]
+    words = [word_hash(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", data)]
+    pairs = [0 if a == b else spread((a + b * common._WINDOW_BASES[0] + 2) & full) >> 50 for a, b in zip(words, words[1:], strict=False)]
+    return trigrams, pairs
+
+
+def test_quality_against_brute_force(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.doc_id in docs}
+    grams = {k: plain_buckets(t) for k, t in docs.items()}
+    logs = []
+    for ids in (list(docs), [k for k, q in labels.items() if q == 1]):
+        table = np.full((2, BUCKETS), 0.5)
+        for k in ids:
+            for kind in (0, 1):
+                np.add.at(table[kind], grams[k][kind], 1)
+        logs.append(np.log(table / table.sum(axis=1, keepdims=True)))
+    ratios = logs[1] - logs[0]
+    keys = {}
+    for k, kinds in grams.items():
+        weight = sum(100.0 * ratios[i][g].sum() / (len(g) + 10.0) for i, g in enumerate(kinds)) if any(kinds) else -1e9
+        u = (int(hashlib.md5(f"29:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        keys[k] = (weight, weight - np.log(-np.log(u)))
+    rate = lambda q, cut: np.mean([keys[k][1] >= cut for k, x in labels.items() if (x == 1) == q])
+    best = max(rate(True, keys[k][1]) - rate(False, keys[k][1]) for k in labels)
+    got = {r.doc_id: r for r in QUERIES["op3_quality"](spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    for k, (weight, key) in keys.items():
+        assert got[k].log_weight == pytest.approx(weight, abs=1e-6) and got[k].gumbel_key == pytest.approx(key, abs=1e-6)
+    cut = min(r.gumbel_key for r in got.values() if r.kept)
+    assert all(r.kept == (r.gumbel_key >= cut) for r in got.values())
+    assert rate(True, cut - 1e-6) - rate(False, cut - 1e-6) == pytest.approx(best)
+
+
+def test_pipeline_stages_against_sql(spark, tmp_path):
+    """Each stage after the classifier keeps what SQL keeps of that stage's own input."""
+    duckdb = pytest.importorskip("duckdb")
+    import corpus_pipeline
+
+    kept = {
+        "exact_dedup": f"SELECT doc_id FROM ({ORACLES['op8_exact_dedup']}) WHERE kept",
+        "near_dedup": f"SELECT doc_id FROM ({ORACLES['op6_near_dedup']}) WHERE kept",
+        "decontamination": f"SELECT doc_id FROM ({ORACLES['op4_decontamination']}) WHERE NOT contaminated",
+        "mixing": f"SELECT doc_id, size, taken FROM ({ORACLES['op5_mixing']}) WHERE taken > 0",
+    }
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    classified = {r.doc_id for r in QUERIES["op3_quality"](spark, SF).filter("kept").collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if name == "quality":
+            assert {r.doc_id for r in out.collect()} == classified
+        else:
+            want = con.execute(kept[name]).fetchall()
+            got = out.select("doc_id", "size", "taken") if name == "mixing" else out.select("doc_id")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and want
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path / name}/*.parquet'")
+        docs = out
+    final = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(map(tuple, final)) == sorted(map(tuple, docs.collect()))
