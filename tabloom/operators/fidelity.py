@@ -14,56 +14,60 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import c, common_columns, is_text, key_text, literals
 from ..functions.numeric import num
+from ..session import materialize
 from .ranking import prefix_sums
 
 _DETAIL = "column string, type string, distance double"
 
 
-def _value_counts(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], text: bool) -> DataFrame:
-    """``column, value, r, s``: occurrences of each value on either side."""
+def _value_counts(real: DataFrame, synthetic: DataFrame, texts: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """``column, t, v, r, s``: occurrences of each value, text or number, on either side; stored.
+
+    Each table is read once for all columns; columns are called v0, v1... in the given order.
+    """
 
     def side(df: DataFrame, mark: int) -> DataFrame:
         schema = df.schema
-        cells = [
-            f"{key_text(schema, n) if text else f'CAST({num(schema, n)} AS DOUBLE)'} AS v{i}" for i, n in enumerate(columns)
-        ]
-        return df.selectExpr(f"{mark} AS side", *cells)
+        cells = [f"struct({key_text(schema, n)} AS t, CAST(NULL AS DOUBLE) AS v)" for n in texts]
+        cells += [f"struct(CAST(NULL AS STRING) AS t, CAST({num(schema, n)} AS DOUBLE) AS v)" for n in numbers]
+        return df.selectExpr(f"{mark} AS side", *[f"{x} AS v{i}" for i, x in enumerate(cells)])
 
     stacked = side(real, 1).unionByName(side(synthetic, 0))
-    long = stacked.unpivot(["side"], [f"v{i}" for i in range(len(columns))], "column", "value")
-    return long.groupBy("column", "value").agg(F.expr("sum(side) AS r"), F.expr("sum(1 - side) AS s"))
+    long = stacked.unpivot(["side"], stacked.columns[1:], "column", "value").select("side", "column", "value.t", "value.v")
+    counts = long.groupBy("column", "t", "v").agg(F.expr("sum(side) AS r"), F.expr("sum(1 - side) AS s"))
+    return materialize(counts, "value-counts")
 
 
-def _named(columns: Sequence[str]) -> Column:
+def _at(columns: Sequence[str]) -> Column:
     """Translate the positional names v0, v1... back."""
-    return F.expr(f"element_at(array({literals(columns)}), CAST(substring(column, 2) AS INT) + 1)")
+    return F.expr(f"element_at(array({literals(columns)}), CAST(substring(column, 2) AS INT) + 1)").alias("column")
 
 
-def total_variation(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, distance``: half the summed frequency differences; missing is a value of its own."""
-    counts = _value_counts(real, synthetic, columns, text=True)
+def _total_variation(counts: DataFrame, names: Sequence[str]) -> DataFrame:
     totals = counts.groupBy("column").agg(F.sum("r").alias("nr"), F.sum("s").alias("ns"))
     joined = counts.join(F.broadcast(totals), "column")  # one row per column
-    return (
-        joined.groupBy("column")
-        .agg(
-            F.expr("0.5D * sum(abs(coalesce(try_divide(r, nr), 0.0D) - coalesce(try_divide(s, ns), 0.0D))) AS distance")
-        )
-        .select(_named(columns).alias("column"), "distance")
-    )
+    gap = "abs(coalesce(try_divide(r, nr), 0.0D) - coalesce(try_divide(s, ns), 0.0D))"
+    return joined.groupBy("column").agg(F.expr(f"0.5D * sum({gap}) AS distance")).select(_at(names), "distance")
 
 
-def kolmogorov_smirnov(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, distance``: exact two-sample statistic over numeric cells; 1 if a side has none."""
-    counts = _value_counts(real, synthetic, columns, text=False).filter("value IS NOT NULL")
+def _kolmogorov_smirnov(counts: DataFrame, names: Sequence[str], first: int) -> DataFrame:
+    counts = counts.filter("v IS NOT NULL")
     totals = counts.groupBy("column").agg(F.sum("r").alias("nr"), F.sum("s").alias("ns"))
-    cumulated = prefix_sums(counts, "value", ["r", "s"], by="column").join(F.broadcast(totals), "column")
+    cumulated = prefix_sums(counts, "v", ["r", "s"], by="column").join(F.broadcast(totals), "column")
     gap = F.expr("abs(try_divide(cum_r, nr) - try_divide(cum_s, ns))")
     found = cumulated.groupBy("column").agg(F.max(gap).alias("distance"))
-    every = real.sparkSession.createDataFrame([(f"v{i}",) for i in range(len(columns))], "column string")
-    return every.join(found, "column", "left").select(
-        _named(columns).alias("column"), F.coalesce("distance", F.lit(1.0)).alias("distance")
-    )
+    every = counts.sparkSession.createDataFrame([(f"v{i}",) for i in range(first, len(names))], "column string")
+    return every.join(found, "column", "left").select(_at(names), F.coalesce("distance", F.lit(1.0)).alias("distance"))
+
+
+def total_variation(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, distance``: half the summed frequency differences; missing is a value of its own."""
+    return _total_variation(_value_counts(real, synthetic, columns, []), columns)
+
+
+def kolmogorov_smirnov(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, distance``: exact two-sample statistic over numeric cells; 1 if a side has none."""
+    return _kolmogorov_smirnov(_value_counts(real, synthetic, [], columns), columns, 0)
 
 
 def column_similarity(
@@ -79,11 +83,14 @@ def column_similarity(
     by_value = [n for n in shared if n in set(categorical) or is_text(real.schema[n].dataType)]
     by_order = [n for n in shared if n not in by_value]
     parts = []
+    both = [*by_value, *by_order]
+    counts = _value_counts(real, synthetic, by_value, by_order) if both else None
+    is_text_column = F.expr(f"CAST(substring(column, 2) AS INT) < {len(by_value)}")
     if by_value:
-        found = total_variation(real, synthetic, by_value)
+        found = _total_variation(counts.filter(is_text_column), both)
         parts.append(found.select("column", F.lit("categorical_tvd").alias("type"), "distance"))
     if by_order:
-        found = kolmogorov_smirnov(real, synthetic, by_order)
+        found = _kolmogorov_smirnov(counts.filter(~is_text_column), both, len(by_value))
         parts.append(found.select("column", F.lit("numeric_ks").alias("type"), "distance"))
     absent = [(n, "missing", 1.0) for n in names if n not in shared]
     if absent or not parts:

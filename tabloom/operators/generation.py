@@ -17,15 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import c, pick, quoted
-from ..functions.hashing import hash_hex, hex_wide
+from ..functions.columns import pick
 from ..session import materialize
-from .codebook import csv_line
 from .codec import TextCodec
 from .constraints import Constraint
 from .prompts import PromptBuilder
-from .ranking import dense_index
-from .sampling import ROW_ID, balanced_draws, class_counts, class_quota, mutated
+from .sampling import ROW_ID, class_quota
 
 Responder = Callable[[DataFrame, tuple[int, int]], DataFrame]
 #: Rounds asked for at once; bounds the small per-round tables of one batch.
@@ -65,33 +62,6 @@ def python_responder(
     return respond
 
 
-def table_responder(
-    df: DataFrame,
-    builder: PromptBuilder,
-    n_rows: int = 32,
-    seed: int = 123,
-    mutator: Callable[[DataFrame, int], DataFrame] | None = None,
-) -> Responder:
-    """Deterministic stand-in for a generator: class-balanced rows of ``df`` as coded CSV."""
-    label, key = builder.config.target, builder.key
-    per_class = max(1, n_rows // max(builder.book.sizes.get(label, 0), 1))
-
-    def respond(prompts: DataFrame, rounds: tuple[int, int]) -> DataFrame:
-        draws = balanced_draws(df, label, per_class, 1, rounds, seed, key)
-        place = "struct(CAST(class AS STRING) AS c, draw) AS place"
-        if mutator is None:
-            lines = builder.csv_lines(df, draws).selectExpr("round", place, "line")
-        else:
-            drawn = builder.drawn_rows(df, draws).selectExpr("round", place, *pick(builder.columns))
-            rows = builder.coded(mutated(drawn, mutator, seed))
-            lines = rows.selectExpr("round", "place", f"{csv_line(rows.schema, builder.columns)} AS line")
-        ordered = f"slice(sort_array(collect_list(struct(place, line))), 1, {n_rows})"
-        replies = lines.groupBy("round").agg(F.expr(f"array_join(transform({ordered}, x -> x.line), '\\n') AS reply"))
-        return prompts.join(replies, "round")
-
-    return respond
-
-
 def rounds_needed(n: int, rows_per_prompt: int) -> int:
     """Default limit on rounds: twice what a perfect generator would need."""
     return math.ceil(n / max(rows_per_prompt, 1) * 2)
@@ -189,19 +159,3 @@ def sample_texts(
         slots = slots.withColumn("prompt", codec.condition_prompt(slots, [label]))
     replies = materialize(responder(slots, (0, n)).select(ROW_ID, "reply"), "texts")
     return codec.decode(replies, "reply", keep=[ROW_ID])
-
-
-def table_text_responder(codec: TextCodec, df: DataFrame, label: str, seed: int = 123, key: str = ROW_ID) -> Responder:
-    """Deterministic stand-in for a text model: a random row of the asked class, as a sentence."""
-    def respond(prompts: DataFrame, rounds: tuple[int, int]) -> DataFrame:
-        source = df.filter(c(label).isNotNull())
-        indexed = dense_index(source, key, seed, by=label)
-        texts = indexed.select(
-            c(label).alias("_class"), "_index", codec.sentence(indexed, seed, key=key).alias("reply")
-        )
-        sizes = class_counts(df, label).select("_class", "_size")
-        asked = prompts.join(F.broadcast(sizes), c(label) == F.col("_class"))
-        asked = asked.selectExpr("*", f"pmod({hex_wide(hash_hex(quoted(ROW_ID), seed))}, _size) AS _index")
-        return asked.join(texts, ["_class", "_index"]).select(*pick(prompts.columns), "reply")
-
-    return respond

@@ -176,12 +176,21 @@ def distance_to_closest_record(
 def describe(df: DataFrame, column: str = "dcr") -> DataFrame:
     """One row: count, mean, sample deviation, minimum, linear quartiles, maximum.
 
-    Quartiles are read off the running counts of distinct values, so no task
-    holds the whole column.
+    All of it follows from the counts of distinct values, stored once, so the
+    input is computed once and no task holds the whole column.
     """
     value = c(column)
     counted = df.filter(value.isNotNull()).groupBy(value.cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sums(counted, "v", ["n"]).withColumn("last", counted.agg(F.sum("n") - 1).scalar())
+    counted = materialize(counted, "distance-counts")
+    basics = counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("count"),
+        (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("mean"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+    )
+    gap = F.col("v") - basics.select("mean").scalar()
+    std = F.sqrt(F.try_divide(F.sum(F.col("n") * gap * gap), (F.sum("n") - 1).cast("double")))
+    ranked = prefix_sums(counted, "v", ["n"]).withColumn("last", basics.select(F.col("count") - 1).scalar())
     spots = {f"q{i}": F.col("last") * (i / 4) for i in (1, 2, 3)}
     around = ranked.agg(
         *[F.min(F.when(F.col("cum_n") > F.floor(at), F.col("v"))).alias(f"{q}_lo") for q, at in spots.items()],
@@ -191,13 +200,7 @@ def describe(df: DataFrame, column: str = "dcr") -> DataFrame:
     quartiles = around.select(
         F.struct(*[(F.col(f"{q}_lo") + (F.col(f"{q}_hi") - F.col(f"{q}_lo")) * F.col(f"{q}_w")).alias(q) for q in spots])
     )
-    return df.agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    ).withColumn("q", quartiles.scalar()).select(
+    return basics.withColumn("std", counted.agg(std).scalar()).withColumn("q", quartiles.scalar()).select(
         "count", "mean", "std", "min",
         F.col("q.q1").alias("25%"), F.col("q.q2").alias("50%"), F.col("q.q3").alias("75%"), "max",
     )

@@ -11,7 +11,7 @@ from ..functions.columns import c, is_numeric, quoted
 from ..operators.codec import TextCodec, TextConfig
 from ..operators.constraints import Constraint, constraint_summary
 from ..operators.fidelity import column_similarity, similarity_mean
-from ..operators.generation import Responder, generate, rounds_needed, sample_texts, table_responder
+from ..operators.generation import Responder, generate, rounds_needed, sample_texts
 from ..operators.neighbors import describe, distance_to_closest_record
 from ..operators.prompts import PromptBuilder, PromptConfig
 from ..operators.revision import revision_report
@@ -96,23 +96,21 @@ def generate_synthetic(
     """Raw synthetic rows with a row id, by one of three methods.
 
     ``prompts`` asks for CSV rows, ``texts`` for sentences, both from the given
-    responder (``prompts`` falls back to the table's own rows, for dry runs);
-    ``bootstrap`` draws rows with jitter.
+    responder; ``bootstrap`` draws rows with jitter.
     """
     if method == "bootstrap":
         draw = bootstrap_credit if spec.name == CREDIT.name else bootstrap_generic
         return draw(train, n, seed)
+    if method in ("prompts", "texts") and responder is None:
+        raise ValueError(f"method {method!r} needs a responder")
     if method == "prompts":
         config = prompt_config or PromptConfig(spec.label, generated_rows_per_prompt=40, seed=seed)
         builder = PromptBuilder.fit(train, config, spec.categorical)
-        answer = responder or table_responder(train, builder, config.generated_rows_per_prompt, seed)
         rounds = max_rounds or rounds_needed(n, config.generated_rows_per_prompt)
-        rows = generate(builder, train, answer, n, max_rounds=rounds)
+        rows = generate(builder, train, responder, n, max_rounds=rounds)
         numbered = F.col("round") * F.lit(1 << 32) + F.col("line_no")
         return rows.select(numbered.alias(ROW_ID), *[c(x) for x in builder.columns])
     if method == "texts":
-        if responder is None:
-            raise ValueError("method 'texts' needs a responder")
         codec = TextCodec.fit(train, TextConfig(float_precision=0))
         return sample_texts(codec, train, responder, n, spec.label if condition_on_target else None, seed)
     raise ValueError(f"Unknown method {method!r}; known: {METHODS}")

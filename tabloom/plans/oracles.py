@@ -22,6 +22,9 @@ def q(name: str) -> str:
     return '"' + name + '"'
 
 
+LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -680,6 +683,27 @@ def all_oracles() -> dict[str, str]:
         "(SELECT coalesce(sum(share), 0) FROM shares WHERE class < (SELECT max(class) FROM shares)) "
         "ELSE share END)::BIGINT AS quota FROM shares",
     )
+    upto = "SELECT class, quota, sum(quota) OVER (ORDER BY class) AS high FROM quotas"
+    found["condition_slots"] = with_(
+        [("quotas", found["class_quota"]), ("upto", upto)],
+        f"SELECT i::BIGINT AS _row_id, concat({lit(S.CREDIT_LABEL + ' is ')}, class) AS prompt "
+        "FROM range(24000) t(i) JOIN upto ON i >= high - quota AND i < high",
+    )
+    shown = [f"concat('{n} is ', rtrim(rtrim(printf('%.2f', {n}), '0'), '.'))" for n in LINE_NUMBERS]
+    found["encode_float_text"] = f"SELECT l_orderkey, l_linenumber, concat_ws(', ', {', '.join(shown)}) AS text FROM lineitem"
+    found["reject_invalid_lineitem"] = (
+        "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem WHERE "
+        + " AND ".join(test for _, test, _ in lineitem_rule_list())
+    )
+    kinds = [*[(n, "numeric_ks", ks_of) for n in LINE_NUMBERS], ("l_linestatus", "categorical_tvd", tvd_of)]
+    found["column_similarity_lineitem"] = with_(
+        [
+            ("kept", "SELECT * FROM lineitem WHERE l_returnflag != 'R'"),
+            ("back", "SELECT * FROM lineitem WHERE l_returnflag = 'R'"),
+            ("sim", " UNION ALL ".join(f"SELECT '{n}' AS \"column\", '{kind}' AS type, {f(n, 'kept', 'back')} AS d" for n, kind, f in kinds)),
+        ],
+        'SELECT "column", type, round(d, 6) AS distance, round(greatest(0.0, 1.0 - d), 6) AS similarity FROM sim',
+    )
     found["capped_sample"] = with_(
         [*roles("credit"), ranked_cte("credit_real", 42)], "SELECT * EXCLUDE (_index) FROM ranked WHERE _index < 5000"
     )

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from ..functions.columns import c, label_text, named, quoted, replaced
 from ..operators import repairs
 from ..operators.codebook import CodeBook, csv_line, csv_text
-from ..operators.codec import TextCodec
+from ..operators.codec import TextCodec, TextConfig
 from ..operators.constraints import constraint_detail, constraint_summary, reject_invalid, violated_rules, violation_matrix
 from ..operators.fidelity import auc_binary, column_similarity, kolmogorov_smirnov, similarity_mean, total_variation
-from ..operators.generation import generate, sample_texts, table_responder, table_text_responder
+from ..operators.generation import condition_slots
 from ..operators.neighbors import TILE_ROWS, describe, distance_to_closest_record
 from ..operators.prompts import PromptBuilder, PromptConfig
 from ..operators.ranking import prefix_sums
-from ..operators.revision import revision_report
+from ..operators.revision import revision_in_place
 from ..operators.sampling import (
     ROW_ID,
     balanced_draws,
@@ -28,7 +28,7 @@ from ..operators.sampling import (
     class_quota,
     split_train_test,
 )
-from ..operators.schema import infer_categorical
+from ..operators.schema import coerce_to_schema, infer_categorical
 from ..operators.utility import tstr_report
 from ..session import materialize
 from ..sources import specs as S
@@ -52,13 +52,13 @@ def fixed(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return repaired(raw_synthetic(spark, sf, name), name)
 
 
-def stored_real(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The real table written once, for operators that pass over it several times."""
-    return materialize(real(spark, sf, name), "real")
+def stored_real(spark: SparkSession, sf: str, name: str, columns: Sequence[str] = ("*",)) -> DataFrame:
+    """The real table, or some of its columns, written once for operators that pass over it several times."""
+    return materialize(real(spark, sf, name).select(*columns), "real")
 
 
-def stored_fixed(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return materialize(fixed(spark, sf, name), "fixed")
+def stored_fixed(spark: SparkSession, sf: str, name: str, columns: Sequence[str] = ("*",)) -> DataFrame:
+    return materialize(fixed(spark, sf, name).select(*columns), "fixed")
 
 
 # --- rules and repairs ----------------------------------------------------------------------
@@ -99,6 +99,11 @@ def detail_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(constraint_detail(table(spark, sf, "lineitem"), lineitem_rules()))
 
 
+def rejected_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    kept = reject_invalid(table(spark, sf, "lineitem"), lineitem_rules())
+    return kept.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+
+
 # --- schema and sources ---------------------------------------------------------------------
 
 
@@ -156,7 +161,7 @@ def flat_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_part(part: int, spark: SparkSession, sf: str) -> DataFrame:
-    return split_train_test(stored_real(spark, sf, "credit"))[part]
+    return split_train_test(real(spark, sf, "credit"))[part]
 
 
 def balanced(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +173,7 @@ def quota(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capped(spark: SparkSession, sf: str) -> DataFrame:
-    return capped_sample(stored_real(spark, sf, "credit"), 5000)
+    return capped_sample(real(spark, sf, "credit"), 5000)
 
 
 def jitter_credit(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,19 +188,19 @@ def jitter_generic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def revision(name: str, spark: SparkSession, sf: str) -> DataFrame:
-    before = typed(spark, sf, name)
-    return rounded(revision_report(before, repaired(before, name)))
+    known = spec(name)
+    fix = lambda df: coerce_to_schema(known.repaired(df), known.schema, [ROW_ID, "_before"])
+    return rounded(revision_in_place(typed(spark, sf, name), fix))
 
 
 def tvd(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(
-        total_variation(stored_real(spark, sf, "credit"), stored_fixed(spark, sf, "credit"), list(S.CREDIT_CATEGORICAL))
-    )
+    names = list(S.CREDIT_CATEGORICAL)
+    return rounded(total_variation(stored_real(spark, sf, "credit", names), stored_fixed(spark, sf, "credit", names), names))
 
 
 def ks(spark: SparkSession, sf: str) -> DataFrame:
     numeric = [n for n in S.CREDIT_COLUMNS if n not in S.CREDIT_CATEGORICAL]
-    return rounded(kolmogorov_smirnov(stored_real(spark, sf, "credit"), stored_fixed(spark, sf, "credit"), numeric))
+    return rounded(kolmogorov_smirnov(stored_real(spark, sf, "credit", numeric), stored_fixed(spark, sf, "credit", numeric), numeric))
 
 
 def similarity(name: str, spark: SparkSession, sf: str) -> DataFrame:
@@ -204,6 +209,14 @@ def similarity(name: str, spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def similarity_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """Likeness of returned and other lines, over columns of doubles and text."""
+    names = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
+    back = F.col("l_returnflag") == "R"
+    rows = table(spark, sf, "lineitem")
+    return rounded(column_similarity(rows.filter(~back).select(*names), rows.filter(back).select(*names)))
+
+
 def auc_ties(spark: SparkSession, sf: str) -> DataFrame:
     scored = real(spark, sf, "credit").select(c(S.CREDIT_LABEL).alias("y"), c("AGE").alias("score"))
     return rounded(auc_binary(scored, "y", "score"))
@@ -317,18 +330,17 @@ def postprocessed(spark: SparkSession, sf: str) -> DataFrame:
     return builder.postprocess(builder.parse(replies(spark, sf, builder)), spec("credit").constraints())
 
 
-def generated(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stored_real(spark, sf, "credit")
-    builder = _builder(rows)
-    n = rows.count()
-    answer = table_responder(rows, builder, 40, seed=3)
-    return generate(builder, rows, answer, n, spec("credit").constraints(), max_rounds=n)
+def slots(spark: SparkSession, sf: str) -> DataFrame:
+    """Which class each text to sample is asked for, and the prompt that asks."""
+    rows = real(spark, sf, "credit")
+    asked = condition_slots(rows, S.CREDIT_LABEL, 24000).withColumnRenamed("class", S.CREDIT_LABEL)
+    return asked.select(ROW_ID, TextCodec.fit(rows).condition_prompt(asked, [S.CREDIT_LABEL]).alias("prompt"))
 
 
-def conditional(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stored_real(spark, sf, "adult")
-    codec = TextCodec.fit(rows)
-    return sample_texts(codec, rows, table_text_responder(codec, rows, S.ADULT_LABEL), rows.count(), S.ADULT_LABEL)
+def float_texts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem")
+    codec = TextCodec(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), TextConfig(random_order=False, float_precision=2))
+    return rows.select("l_orderkey", "l_linenumber", codec.sentence(rows, key="l_orderkey").alias("text"))
 
 
 # --- whole runs -----------------------------------------------------------------------------
@@ -396,8 +408,10 @@ def all_queries() -> dict[str, Query]:
         "balanced_prompts": prompts,
         "parse_replies": parsed,
         "postprocess_rows": postprocessed,
-        "generate_rows": generated,
-        "conditional_sample": conditional,
+        "condition_slots": slots,
+        "encode_float_text": float_texts,
+        "reject_invalid_lineitem": rejected_lineitem,
+        "column_similarity_lineitem": similarity_lineitem,
         "experiment_by_seed": partial(experiment, "heloc", (7, 11)),
         "seed_statistics": partial(statistics, "credit", (7, 11)),
     }

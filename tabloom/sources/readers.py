@@ -1,7 +1,8 @@
 """CSV readers for the known tables, and normalising of their header and label variants.
 
-Cells are read as text and coerced explicitly, so no pass is spent on inference
-and a bad cell never fails the job.
+Cells of known tables are read as text and coerced explicitly, so no pass is
+spent on inference and a bad cell never fails the job. Other files are typed by
+one pass over their cells.
 """
 
 from __future__ import annotations
@@ -24,13 +25,36 @@ def _missing(cell: str, *extra: str) -> str:
     return f"CASE WHEN {cell} NOT IN ({literals((*S.NA_TOKENS, *extra))}) THEN {cell} END"
 
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A CSV file (or directory) with a header; text columns unless a schema is given."""
+def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, typed: bool = True) -> DataFrame:
+    """A CSV file (or directory) with a header; columns are typed by their cells unless a schema is given.
+
+    Columns of whole numbers become BIGINT, of other numbers (or without any
+    cell) DOUBLE; the rest, and all columns if not ``typed``, are text.
+    """
     reader = spark.read.options(header=True, **_QUOTING)
     if schema is not None:
         return reader.schema(schema).csv(path)
     raw = reader.csv(path)
-    return raw.selectExpr(*[named(_missing(quoted(n)), n) for n in raw.columns])
+    cells = raw.selectExpr(*[named(_missing(quoted(n)), n) for n in raw.columns])
+    return with_number_types(cells) if typed else cells
+
+
+def with_number_types(cells: DataFrame) -> DataFrame:
+    """Text columns whose every cell is a number as numbers, found by one aggregation."""
+    if not cells.columns:
+        return cells
+    readings = {n: (f"try_cast({quoted(n)} AS BIGINT)", parse_number(quoted(n))) for n in cells.columns}
+    tallies = [
+        f"count({x}) AS {tag}{i}" for i, (n, (whole, number)) in enumerate(readings.items()) for tag, x in (("n", quoted(n)), ("w", whole), ("d", number))
+    ]
+    counts = cells.agg(*map(F.expr, tallies)).first()
+    formulas = {}
+    for i, (n, (whole, number)) in enumerate(readings.items()):
+        if 0 < counts[f"n{i}"] == counts[f"w{i}"]:
+            formulas[n] = whole
+        elif counts[f"n{i}"] == counts[f"d{i}"]:
+            formulas[n] = number
+    return replaced(cells, formulas)
 
 
 def load_headerless(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
@@ -40,7 +64,7 @@ def load_headerless(spark: SparkSession, path: str, columns: tuple[str, ...]) ->
 
 
 def load_default_credit(spark: SparkSession, path: str) -> DataFrame:
-    return normalize_default_credit(load_csv(spark, path))
+    return normalize_default_credit(load_csv(spark, path, typed=False))
 
 
 def normalize_default_credit(raw: DataFrame) -> DataFrame:
@@ -86,7 +110,7 @@ def load_heloc(spark: SparkSession, path: str) -> DataFrame:
     known = S.HELOC_LABEL in header or any(name in S.HELOC_ALIASES for name in header)
     if not known and len(header) == len(S.HELOC_COLUMNS):
         return normalize_heloc(load_headerless(spark, path, S.HELOC_COLUMNS))
-    return normalize_heloc(load_csv(spark, path))
+    return normalize_heloc(load_csv(spark, path, typed=False))
 
 
 def normalize_heloc(raw: DataFrame) -> DataFrame:

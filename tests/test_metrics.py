@@ -7,8 +7,12 @@ import pytest
 from tabloom.operators import neighbors
 from tabloom.operators.fidelity import auc_binary, column_similarity, similarity_mean
 from tabloom.operators.neighbors import describe, distance_to_closest_record
-from tabloom.operators.revision import revision_report
+from tabloom.operators.revision import revision_in_place, revision_report
+from tabloom.operators.sampling import ROW_ID
+from tabloom.operators.schema import coerce_to_schema
 from tabloom.operators.utility import tstr_report
+from tabloom.plans import views
+from tabloom.sources.tables import HELOC
 
 
 def test_revision(spark):
@@ -94,3 +98,23 @@ def test_tstr(spark):
     assert (r.n_train_real, r.n_test_real) == (400, 200)
     with pytest.raises(ValueError):
         tstr_report(train.filter("y = 'no'"), train, test.filter("y = 'no'"), "y")
+
+
+def test_describe_of_few_values(spark):
+    got = describe(spark.createDataFrame([(1.0,), (1.0,), (4.0,), (None,)], "dcr double")).first()
+    assert (got["count"], got["mean"], got["min"], got["max"], got["50%"], got["75%"]) == (3, 2.0, 1.0, 4.0, 1.0, 2.5)
+    assert abs(got["std"] - 3**0.5) < 1e-12
+    one = describe(spark.createDataFrame([(2.0,)], "dcr double")).first()
+    none = describe(spark.createDataFrame([], "dcr double")).first()
+    assert (one["count"], one["std"], none["count"], none["mean"], none["std"]) == (1, None, 0, None, None)
+
+
+def test_revision_in_place_equals_the_join(spark, small):
+    before = views.typed(spark, small, "heloc")
+    fix = lambda df: coerce_to_schema(HELOC.repaired(df), HELOC.schema, [ROW_ID, *([] if "_before" not in df.columns else ["_before"])])
+    narrow = revision_in_place(before, fix)
+    assert narrow.first() == revision_report(before, fix(before)).first()
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan
+    with pytest.raises(ValueError, match="loses"):
+        revision_in_place(before, lambda df: df.drop("MaxDelqEver"))

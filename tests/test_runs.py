@@ -7,14 +7,16 @@ import pytest
 
 import __spark_entry__ as entry_points
 from tabloom.plans import views
-from tabloom.plans.evaluation import run_experiment, seed_statistics
+from tabloom.plans.evaluation import evaluate_run, generate_synthetic, run_experiment, seed_statistics
+from tabloom.session import materialize
 from tabloom.sources.sinks import flatten
 from tabloom.sources.tables import HELOC
 
 CHECKED = [
     "constraint_summary_lineitem", "constraint_violations_heloc", "repair_adult", "revision_report_credit",
     "split_test", "class_balanced_sample", "bootstrap_jitter_credit", "auc_lineitem", "dcr_rows_adult",
-    "encode_rows_text", "balanced_prompts", "postprocess_rows",
+    "encode_rows_text", "balanced_prompts", "postprocess_rows", "condition_slots", "encode_float_text",
+    "reject_invalid_lineitem", "column_similarity_lineitem", "column_similarity_adult", "dcr_summary", "reject_invalid_credit",
 ]
 
 
@@ -31,6 +33,18 @@ def test_experiment(spark, small, tmp_path):
     assert {"summary_all", "summary_by_seed", "heloc_bootstrap_seed7"} <= written
 
 
+def test_a_failing_model_costs_only_its_own_part(spark, small):
+    rows = materialize(views.real(spark, small, "heloc").limit(60), "few")
+    one_class = rows.filter("RiskPerformance = 'Good'")
+    report = flatten(evaluate_run(one_class, one_class, rows, rows, HELOC.label, HELOC.categorical, HELOC.constraints(), 1, "x")).first()
+    assert report["tstr_auc.error"] and report["dcr.count"] == 60 and report["raw_constraints.n_rows"] == 60
+
+
+def test_texts_need_a_responder(spark, small):
+    with pytest.raises(ValueError, match="responder"):
+        generate_synthetic(HELOC, views.real(spark, small, "heloc"), "prompts", 5, 7)
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 1
 

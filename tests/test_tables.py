@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.operators.constraints import numeric_at_least, reject_invalid
 from tabloom.operators.ranking import _ranged_prefix_sums, dense_index
 from tabloom.operators.sampling import (
     ROW_ID,
@@ -122,3 +123,21 @@ def test_ranged_prefix_sums_match_a_plain_window(spark):
     expected = df.selectExpr("g", "v", "sum(n) OVER (PARTITION BY g ORDER BY v) AS cum").collect()
     assert len(got) == 3000 and all(got[(r.g, r.v)] == r.cum for r in expected)
     assert ADULT.schema["age"].dataType.simpleString() == "bigint"
+
+
+def test_csv_types(spark, tmp_path):
+    text = "whole,number,text,none,mixed\n1,1.5,a,,1\n NA,2,b,NA,x\n3,nan,1d,,2\n-4,1e3,,null,3\n"
+    (tmp_path / "t.csv").write_text(text.replace(" NA", "NA"))
+    df = readers.load_csv(spark, str(tmp_path / "t.csv"))
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "double", "string", "double", "string"]
+    assert [r.whole for r in df.collect()] == [1, None, 3, -4] and [r.number for r in df.collect()] == [1.5, 2.0, None, 1000.0]
+    assert {f.dataType.simpleString() for f in readers.load_csv(spark, str(tmp_path / "t.csv"), typed=False).schema.fields} == {"string"}
+
+
+def test_bounds_reach_the_scan(spark, small):
+    kept = reject_invalid(views.table(spark, small, "lineitem"), views.lineitem_rules())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(l_extendedprice" in pushed and "LessThanOrEqual(l_quantity" in pushed
+    odd = spark.createDataFrame([(float("nan"), 1), (5.0, 2), (None, 3), (1.0, 4)], "x double, i int")
+    assert [r.i for r in reject_invalid(odd, [numeric_at_least("x", 2)]).collect()] == [2]
