@@ -136,7 +136,9 @@ def test_csv_types(spark, tmp_path):
 
 def test_bounds_reach_the_scan(spark, small):
     kept = reject_invalid(views.table(spark, small, "lineitem"), views.lineitem_rules())
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = kept._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = plan[plan.index("PushedFilters") :]
     assert "GreaterThanOrEqual(l_extendedprice" in pushed and "LessThanOrEqual(l_quantity" in pushed
     odd = spark.createDataFrame([(float("nan"), 1), (5.0, 2), (None, 3), (1.0, 4)], "x double, i int")
