@@ -52,13 +52,13 @@ def fixed(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return repaired(raw_synthetic(spark, sf, name), name)
 
 
-def stored_real(spark: SparkSession, sf: str, name: str, columns: Sequence[str] = ("*",)) -> DataFrame:
-    """The real table, or some of its columns, written once for operators that pass over it several times."""
-    return materialize(real(spark, sf, name).select(*columns), "real")
+def stored_real(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The real table written once for operators that pass over it several times."""
+    return materialize(real(spark, sf, name), "real")
 
 
-def stored_fixed(spark: SparkSession, sf: str, name: str, columns: Sequence[str] = ("*",)) -> DataFrame:
-    return materialize(fixed(spark, sf, name).select(*columns), "fixed")
+def stored_fixed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return materialize(fixed(spark, sf, name), "fixed")
 
 
 # --- rules and repairs ----------------------------------------------------------------------
@@ -195,12 +195,12 @@ def revision(name: str, spark: SparkSession, sf: str) -> DataFrame:
 
 def tvd(spark: SparkSession, sf: str) -> DataFrame:
     names = list(S.CREDIT_CATEGORICAL)
-    return rounded(total_variation(stored_real(spark, sf, "credit", names), stored_fixed(spark, sf, "credit", names), names))
+    return rounded(total_variation(stored_real(spark, sf, "credit"), stored_fixed(spark, sf, "credit"), names))
 
 
 def ks(spark: SparkSession, sf: str) -> DataFrame:
     numeric = [n for n in S.CREDIT_COLUMNS if n not in S.CREDIT_CATEGORICAL]
-    return rounded(kolmogorov_smirnov(stored_real(spark, sf, "credit", numeric), stored_fixed(spark, sf, "credit", numeric), numeric))
+    return rounded(kolmogorov_smirnov(stored_real(spark, sf, "credit"), stored_fixed(spark, sf, "credit"), numeric))
 
 
 def similarity(name: str, spark: SparkSession, sf: str) -> DataFrame:
