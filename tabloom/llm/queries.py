@@ -68,10 +68,17 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of all pages against a replica whose payload is overwritten, at equal length, where page_id % 97 = 13."""
+    """Audit of all pages against a replica damaged where page_id % 97 = 13: payloads in turn overwritten at equal
+    length, truncated, lengthened, and their records lost. The SQL counterpart has rows of the first replica only, so
+    none are added here."""
     pages = _table(spark, sf_dir, "pages")
-    overwritten = F.expr("if(page_id % 97 = 13, repeat('x', cast(octet_length(html) as int)), html)")
-    return audit(pages, pages.withColumn("html", overwritten))
+    wrong, kind = "page_id % 97 = 13", "page_id div 97 % 4"
+    payload = f"""CASE WHEN NOT coalesce({wrong}, false) THEN html
+        WHEN {kind} = 0 THEN repeat('x', cast(octet_length(html) as int))
+        WHEN {kind} = 1 THEN substring(html, 1, length(html) div 2)
+        ELSE concat(html, 'x') END"""
+    second = pages.filter(~F.expr(f"coalesce({wrong} AND {kind} = 3, false)")).withColumn("html", F.expr(payload))
+    return audit(pages, second).drop("state")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,4 +1,4 @@
-"""WARC fixity audit: Merkle trees over records and their offset ranges, compared from the roots down."""
+"""WARC fixity audit: Merkle trees over records, placed by hash of id and bytes, compared from the roots down."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import running_sums, text_or_empty
 from tabloom.session import materialize
 
-#: Records in a shard: FANOUT to the power LEVELS, so every tree has one root.
+#: Records in a shard, and leaves of a tree: FANOUT to the power LEVELS, so every tree has one root.
 FANOUT, LEVELS = 16, 3
 
 
@@ -48,45 +48,87 @@ def ledger(pages: DataFrame, label: str, id_col: str = "page_id", url_col: str =
     )
 
 
-def tree_levels(records: DataFrame) -> list[DataFrame]:
-    """Nodes (shard, node, low, high, digest) of each level, the records' own first and the roots last."""
-    end = F.col("offset") + F.col("length")
-    own = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
-    level = records.select("shard", F.col("seq").alias("node"), F.col("offset").alias("low"), end.alias("high"), own.alias("digest"))
+def _entries(records: DataFrame, shards: int) -> DataFrame:
+    """(shard, node, page_id, digest, n): different records with their copies counted, dealt over ``shards`` trees by hash.
+
+    The place depends on a record's id and bytes alone, so a lost, added or longer record moves no other one, and
+    records that share an id are spread.
+    """
+    size = FANOUT**LEVELS
+    slot = F.pmod(F.xxhash64(F.col("page_id").cast("string"), "digest"), F.lit(shards * size))
+    entries = records.groupBy("page_id", "digest").agg(F.count("*").alias("n"))
+    return entries.select(F.floor(slot / size).alias("shard"), (slot % size).alias("node"), "page_id", "digest", "n")
+
+
+def tree_levels(entries: DataFrame) -> list[DataFrame]:
+    """Nodes (shard, node, digest) of each level, the leaves first and the roots last; a leaf has one record on average."""
+    own = F.array_sort(F.collect_list(F.concat_ws(":", "digest", "n", F.concat(F.lit("="), F.col("page_id").cast("string")))))
+    level = entries.groupBy("shard", "node").agg(F.sha2(F.concat_ws(",", own), 256).alias("digest"))
     levels = [level]
     for _ in range(LEVELS):
         children = F.array_sort(F.collect_list(F.struct("node", "digest")))  # FANOUT at most
-        level = level.groupBy("shard", F.floor(F.col("node") / FANOUT).alias("node")).agg(
-            F.min("low").alias("low"), F.max("high").alias("high"), F.sha2(F.concat_ws(",", children["digest"]), 256).alias("digest")
-        )
+        told = F.concat_ws(",", F.transform(children, lambda x: F.concat_ws(":", x["node"], x["digest"])))
+        level = level.groupBy("shard", F.floor(F.col("node") / FANOUT).alias("node")).agg(F.sha2(told, 256).alias("digest"))
         levels.append(level)
     return levels
 
 
 def mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(shard, seq, low, high) of the records that differ between two ledgers or exist in one only.
+    """(page_id, digest, n_left, n_right) of the records that two ledgers do not hold equally often.
 
-    Roots are compared first; each level below is compared under the mismatching nodes of the level above alone.
+    Roots are compared first; each level below is compared under the mismatching nodes of the level above alone, and
+    records under the mismatching leaves.
     """
+    most = max(left.count(), right.count())
+    shards = 1 << max(0, most // FANOUT**LEVELS).bit_length()
+    entries = [materialize(_entries(x, shards), "warc-entries") for x in (left, right)]
     bad = None
-    for mine, other in list(zip(tree_levels(left), tree_levels(right), strict=True))[::-1]:
+    for mine, other in list(zip(*map(tree_levels, entries), strict=True))[::-1]:
         if bad is not None:
             parents = bad.select("shard", F.col("node").alias("parent"))
             mine, other = (
                 x.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(parents, ["shard", "parent"], "left_semi").drop("parent")
                 for x in (mine, other)
             )
-        other = other.select("shard", "node", *[F.col(c).alias(f"other_{c}") for c in ("low", "high", "digest")])
-        bad = mine.join(other, ["shard", "node"], "full_outer").filter(~F.col("digest").eqNullSafe(F.col("other_digest")))
-        bad = bad.select("shard", "node", F.coalesce("low", "other_low").alias("low"), F.coalesce("high", "other_high").alias("high"))
-    return bad.withColumnRenamed("node", "seq")
+        other = other.withColumnRenamed("digest", "other_digest")
+        bad = mine.join(other, ["shard", "node"], "full_outer").filter(~F.col("digest").eqNullSafe(F.col("other_digest"))).select("shard", "node")
+    bad = materialize(bad, "warc-leaves")
+    sides = [
+        x.join(bad, ["shard", "node"], "left_semi").select("page_id", "digest", *[(F.col("n") if i == j else F.lit(0).cast("long")).alias(c) for j, c in enumerate(("n_left", "n_right"))])
+        for i, x in enumerate(entries)
+    ]
+    sums = sides[0].union(sides[1]).groupBy("page_id", "digest").agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+    return sums.filter("n_left != n_right")
+
+
+def _surplus(records: DataFrame, wrong: DataFrame, mine: str, other: str) -> DataFrame:
+    """The records of one replica that the other does not have; of equal ones, the last. ``place`` counts those of an id."""
+    wrong = wrong.filter(F.col(mine) > F.col(other)).select(F.col("page_id").alias("id"), F.col("digest").alias("bytes"), F.col(other).alias("matched"))
+    same = F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("bytes"))
+    over = records.join(wrong, same).drop("id", "bytes").withColumn("one", F.lit(1).cast("long")).withColumn("null_id", F.col("page_id").isNull())
+    over = over.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    over = running_sums(over, ["null_id", "key", "digest"], ["shard", "seq"], ["one"], "warc-copies").filter("before_one >= matched").drop("before_one", "matched")
+    over = running_sums(over, ["null_id", "key"], ["shard", "seq"], ["one"], "warc-surplus").withColumnRenamed("before_one", "place")
+    return materialize(over.drop("one"), "warc-surplus")
 
 
 def audit(left: DataFrame, right: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Each record of the first replica with its place, digest and whether the second replica has it damaged or not at all."""
+    """Records of both replicas: page_id, shard, seq, offset, length, digest, damaged, state.
+
+    Each record of the first replica comes with its place there; its state is ``intact``, ``changed`` (the second
+    replica has other bytes of that id) or ``missing``. Records that only the second replica has, beyond those that
+    stand against a changed one, come with their place there and the state ``added``. All but intact ones are
+    ``damaged``. The place of a record does not count as damage: what follows a lost, added, shorter or longer record
+    stays intact.
+    """
     mine = materialize(ledger(left, "left", id_col, url_col, html_col), "warc-ledger")
     other = materialize(ledger(right, "right", id_col, url_col, html_col), "warc-ledger")
-    bad = mismatches(mine, other).select("shard", "seq", F.lit(True).alias("bad"))
-    return mine.join(bad, ["shard", "seq"], "left").select(
-        "page_id", "shard", "seq", "offset", "length", "digest", F.coalesce("bad", F.lit(False)).alias("damaged")
-    )
+    wrong = materialize(mismatches(mine, other), "warc-mismatches")
+    lost, gained = _surplus(mine, wrong, "n_left", "n_right"), _surplus(other, wrong, "n_right", "n_left")
+    pair = ["null_id", "key", "place"]
+    changed = lost.join(gained.select(*pair, F.lit("changed").alias("state")), pair, "left")
+    bad = changed.select("shard", "seq", F.coalesce("state", F.lit("missing")).alias("state"))
+    place = ["page_id", "shard", "seq", "offset", "length", "digest"]
+    kept = mine.join(bad, ["shard", "seq"], "left").select(*place, F.coalesce("state", F.lit("intact")).alias("state"))
+    added = gained.join(lost.select(*pair), pair, "left_anti").select(*place, F.lit("added").alias("state"))
+    return kept.union(added).select(*place, (F.col("state") != "intact").alias("damaged"), "state")

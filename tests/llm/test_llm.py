@@ -231,6 +231,20 @@ def test_audit_locates_damage(spark):
     assert warc_audit.audit(pages.limit(0), pages.limit(0)).count() == 0
 
 
+def test_audit_of_shorter_lost_and_added_records(spark):
+    """Records after a shorter, lost or added one stay intact, and records of the second replica alone are returned."""
+    rows = [(i, f"u{i}", "p" * (i % 7 + 2)) for i in range(5000)] + [(7, "again", "q"), (8, "u8", "ppp"), (None, "n", "n")]
+    second = [(i, u, h[:-1] if i == 20 else h + "x" if i == 30 else h) for i, u, h in rows if i != 40 and u != "again"]
+    second += [(-1, "new", "new"), (50, "second", "second"), (None, "m", "m"), (20, "other", "other")]
+    left, right = (spark.createDataFrame(x, "page_id long, url string, html string") for x in (rows, second))
+    got = warc_audit.audit(left, right).collect()
+    bad = sorted((r.page_id is None, r.page_id, r.state) for r in got if r.damaged)
+    want = [(-1, "added"), (7, "missing"), (20, "added"), (20, "changed"), (30, "changed"), (40, "missing"), (50, "added"), (None, "added")]
+    assert bad == [(i is None, i, state) for i, state in want] and len(got) == len(rows) + 4
+    copies = spark.createDataFrame([(1, "u", "x")] * 3, "page_id long, url string, html string")
+    assert sorted(r.state for r in warc_audit.audit(copies, copies.limit(2)).collect()) == ["intact", "intact", "missing"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
