@@ -40,6 +40,11 @@ IMPLIED_END = {
 }
 #: Start tags that imply a parent inside of another.
 IMPLIED_PARENT = {"td": ("tr", {"tr"}, {"table", "tbody", "thead", "tfoot"}), "th": ("tr", {"tr"}, {"table", "tbody", "thead", "tfoot"})}
+#: An end tag closes the nearest open element of its name, up to the nearest of these limits.
+END_LIMITS = {
+    "li": {"ul", "ol", "menu", "table"},
+    **dict.fromkeys("p div span td th tr thead tbody tfoot caption".split(), {"table"}),
+}
 #: Elements that end tags and implied ends of blocks do not reach beyond.
 SCOPE = frozenset("table td th caption button object template html".split())
 
@@ -69,14 +74,15 @@ def parse(page: str) -> Node:
     root = Node("html")
     stack = [root]
 
-    def close(names: set[str] | frozenset[str], limits: set[str] | frozenset[str]) -> None:
+    def close(names: set[str] | frozenset[str], limits: set[str] | frozenset[str], again: bool = True) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in limits and stack[i].name not in names:
                 break
             if stack[i].name in names:
                 del stack[i:]
-                # What is left may end as well (a row ends its open cell first).
-                return close(names, limits)
+                if again:  # What is left may end as well (a row ends its open cell first).
+                    close(names, limits)
+                return
 
     def add(node: Node, keep: bool) -> None:
         stack[-1].children.append(node)
@@ -104,7 +110,7 @@ def parse(page: str) -> Node:
             elif name == "br":
                 add(Node("br"), False)
             elif name not in ("html", "body"):
-                close({name}, {"table", "html"} if name not in ("table",) and name in ("li", "p", "div", "span", "td", "th") else {"html"})
+                close({name}, END_LIMITS.get(name, {"html"}), again=False)
             continue
         if name == "html":
             root.attrs += token["attrs"]
