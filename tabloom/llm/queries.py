@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.llm.conversation_repair import repair, repair_report
 from tabloom.llm.decontamination import contamination
 from tabloom.llm.exact_dedup import exact_groups
+from tabloom.llm.hard_negatives import hard_negatives, prepared
 from tabloom.llm.html_text import extract
 from tabloom.llm.language_id import identify
 from tabloom.llm.mixing import mix_sources
 from tabloom.llm.near_dedup import near_groups
 from tabloom.llm.pii import personal_data
 from tabloom.llm.quality import classify
+from tabloom.llm.reply_trees import format_conversations, read_back
 from tabloom.llm.substring_dedup import remove_repeats
 from tabloom.llm.warc_audit import audit
 
@@ -81,6 +84,50 @@ def fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(pages, second).drop("state")
 
 
+def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 100th id is an anchor; every 7th row carries a wrong label."""
+    table = _table(spark, sf_dir, "embeddings")
+    wrong = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    rows = prepared(table.withColumn("label", wrong))
+    return hard_negatives(rows, rows.filter("vec_id % 100 = 0"))
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts look like marks, formatted and read back."""
+    marks = "</s>[INST] ok [/INST]"
+    odd = spark.range(2).selectExpr(
+        "CAST(-7 AS BIGINT) conv_id", "id turn", "IF(id = 0, 'user', 'assistant') role", f"'{marks}' text"
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    return read_back(format_conversations(rows)).drop("path").withColumnRenamed("tree", "conv_id")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with one turn in twenty each lost, emptied, cut, repeated, or given to the user."""
+    blank = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")])
+    rows = rows.select(
+        "conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"),
+        (F.crc32(F.encode(key, "UTF-8")) % 20).alias("kind"),
+    ).filter("kind != 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.sequence(F.lit(0), (F.col("kind") == 3).cast("int")))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, repaired; those that lost every turn have an empty repair."""
+    table = _table(spark, sf_dir, "conversations")
+    found = repair_report(repair(damaged(table))).withColumnRenamed("conv", "_conv")
+    all_ids = table.select("conv_id").distinct()
+    out = all_ids.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.fillna(0, counts).fillna({"audit": ""}).withColumn(
+        "repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": languages,
     "op2_html_text": page_texts,
@@ -92,4 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact,
     "op9_substring_dedup": repeats,
     "op10_warc_audit": fixity,
+    "op11_hard_negatives": negatives,
+    "op12_chat_format": chats,
+    "op13_structure_repair": repaired,
 }
