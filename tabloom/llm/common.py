@@ -80,6 +80,26 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return rows.select("row_id", "text"), rows.select("row_id", "doc_id")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def identified(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells all rows apart, and its name.
+
+    Ids that are unique and not null serve as they are. Otherwise rows are numbered, and stored so that numbers last.
+    """
+    ids = docs.select(F.col(id_col).alias("id"))
+    if ids.groupBy("id").count().filter("count > 1 or id is null").isEmpty():
+        return docs, id_col
+    name = free_name(docs, "_row")
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "identified-rows"), name
+
+
 # --- numpy side -----------------------------------------------------------------------------------------------------
 
 _BYTES = np.arange(256)

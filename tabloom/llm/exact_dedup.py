@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import BLANKS, text_or_empty
+from tabloom.llm.common import BLANKS, identified, text_or_empty
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,9 +36,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id, one.
+    """One row of ``docs`` for each class of equal texts, with all its columns.
 
-    Rows without an id are not told apart by anything that lasts; they go.
+    Rows are chosen, not ids: of equal texts the one with the most code points stays, then the smallest id (null last),
+    then the row read first. Rows that share an id or have none are told apart by a stored row number.
     """
-    best = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(best, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    rows, key = identified(docs, id_col)
+    if key == id_col:
+        kept = exact_groups(rows, id_col, text_col).filter("kept").select(F.col("doc_id").alias(key))
+    else:
+        name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("row"))
+        named = rows.select(name.alias("name"), F.col(text_col).alias("text"))
+        kept = exact_groups(named, "name", "text").filter("kept").select(F.col("doc_id.row").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import LOWER, NON_BLANK, as_long, free_shuffles, keyed_rows, mix, slices, window_hashes, words_of
+from tabloom.llm.common import LOWER, NON_BLANK, as_long, free_shuffles, identified, keyed_rows, mix, slices, window_hashes, words_of
 from tabloom.llm.components import components
 from tabloom.session import materialize
 
@@ -212,3 +212,16 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         rows = rows.join(least, "component").select("doc_id", "n_shingles", "component_id")
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of near copies, with all its columns: the smallest id's.
+
+    Rows that share an id or have none are told apart by a stored row number, and the smallest of these stays. Texts
+    without words are near nothing and all stay.
+    """
+    rows, key = identified(docs, id_col)
+    # Read from the stored rows under plain names, so other columns cannot clash.
+    narrow = rows.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text"))
+    kept = near_groups(narrow, percent).filter("kept").select(F.col("doc_id").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)

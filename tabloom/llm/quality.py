@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tabloom.llm.common import running_sums, slices, unit_interval
 from tabloom.llm.ngrams import BUCKETS, byte_trigrams, count_rows, totals, word_pairs
+from tabloom.session import materialize
 
 #: Labelled documents that the target model and the cut are fitted on, chosen by hash of the id. Raw text is all text.
 LABELLED = 20_000
@@ -127,16 +128,45 @@ def weigh(docs: DataFrame, model: Model, seed: int = 29, id_col: str = "doc_id",
     return _weighed(docs, model.ratios, id_col, text_col, seed)
 
 
+def _ranked(keys: DataFrame) -> DataFrame:
+    """``keys`` with ``before_one``: how many rows have a larger Gumbel key (ties by id)."""
+    ranked = keys.select("*", (-F.col("gumbel_key")).alias("rank_key"), F.lit(1).cast("long").alias("one"))
+    return running_sums(ranked, [], ["rank_key", "doc_id"], ["one"], "quality-ranks")
+
+
+def top_k_key(keys: DataFrame, k: int) -> float:
+    """The least of the ``k`` largest Gumbel keys (above all keys if k is 0)."""
+    least = _ranked(keys).filter(F.col("before_one") < k).agg(F.min("gumbel_key")).first()[0]
+    return float("inf") if least is None else least
+
+
+def keep_best(docs: DataFrame, labels: DataFrame, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that Gumbel top-k draws; k is how many ``fit`` wants of them.
+
+    Keys are ranked on their own; texts are filtered where they are read, so no text is shuffled. Rows with the same
+    id and text have the same key and stay or go together. Nulls as in ``weigh``; without documents, none.
+    """
+    model = fit(docs, labels, seed=seed, id_col=id_col, text_col=text_col)
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    weighed = weigh(narrow, model, seed).select("doc_id", F.col("_gumbel_key").alias("gumbel_key"))
+    keys = materialize(weighed, "quality-keys")
+    least = top_k_key(keys, keys.filter(F.col("gumbel_key") >= F.lit(model.cut)).count())
+    # The document itself travels as one struct, whatever its columns are called.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kept = weigh(whole, model, seed).filter(F.col("_gumbel_key") >= F.lit(least))
+    return kept.select("document.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, log_weight, gumbel_key, kept.
 
-    Kept are the ``k`` largest Gumbel keys (ties by id), or as many as ``fit`` finds.
+    Kept are the ``k`` largest Gumbel keys (ties by id); k defaults to the number of keys above the cut that ``fit``
+    finds on the labelled sample.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = fit(docs, labels, seed=seed, id_col=id_col, text_col=text_col)
     keys = weigh(narrow, model, seed).select("doc_id", F.col("_log_weight").alias("log_weight"), F.col("_gumbel_key").alias("gumbel_key"))
+    keys = materialize(keys, "quality-keys")
     if k is None:
-        return keys.withColumn("kept", F.col("gumbel_key") >= F.lit(model.cut))
-    ranked = keys.select("*", (-F.col("gumbel_key")).alias("rank_key"), F.lit(1).cast("long").alias("one"))
-    ranked = running_sums(ranked, [], ["rank_key", "doc_id"], ["one"], "quality-ranks")
-    return ranked.select("doc_id", "log_weight", "gumbel_key", (F.col("before_one") < k).alias("kept"))
+        k = keys.filter(F.col("gumbel_key") >= F.lit(model.cut)).count()
+    return _ranked(keys).select("doc_id", "log_weight", "gumbel_key", (F.col("before_one") < k).alias("kept"))
