@@ -1,21 +1,22 @@
-"""The training-data pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The training-data pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Stages choose rows, not ids: rows that share an id, or have none, are documents of their own. All columns of the input
+stay, whatever their names; a null or empty text is a document without words. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tabloom.llm import decontamination, exact_dedup, mixing, near_dedup, quality
 from tabloom.session import shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps; fitted on ``labels`` and all of ``docs``."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = quality.weigh(docs, model).filter(F.col("_gumbel_key") >= F.lit(model.cut))
-    return kept.select(*docs.columns)
+    """Documents that the classifier draws; fitted on ``labels`` and all of ``docs``."""
+    return quality.keep_best(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
-    kept = near_dedup.near_groups(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return near_dedup.drop_near(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
