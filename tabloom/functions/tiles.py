@@ -65,64 +65,77 @@ def _codes(*columns: np.ndarray) -> list[np.ndarray]:
 
 
 def tile_minima(probes: pa.Table, real: pa.Table) -> pa.Table:
-    """Reduce one tile to the smallest squared distance per probe row."""
+    """Reduce one tile to the smallest squared distance per probe row, and the number of rows it was compared with."""
     if not probes.num_rows or not real.num_rows:
-        return pa.table({"id": pa.array([], probes.schema.field("id").type), "d": pa.array([], pa.float64())})
+        none = {"id": pa.array([], probes.schema.field("id").type), "d": pa.array([], pa.float64())}
+        return pa.table(none | {"compared": pa.array([], pa.int64())})
     ak, bk = _codes(_matrix(probes["k"], probes.num_rows), _matrix(real["k"], real.num_rows))
     ax, bx = _matrix(probes["x"], probes.num_rows), _matrix(real["x"], real.num_rows)
-    return pa.table({"id": probes["id"], "d": pa.array(_minima(ax, ak, bx, bk))})
-
-
-def _pivot_distances(batch: pa.RecordBatch, px: np.ndarray, pk: np.ndarray) -> np.ndarray:
-    x, k = _matrix(batch["x"], batch.num_rows), _matrix(batch["k"], batch.num_rows)
-    ak, bk = _codes(k, pk)
-    return np.sqrt(np.maximum(_squares(x, ak, px, bk), 0.0))
-
-
-def assign_cells(px: np.ndarray, pk: np.ndarray):
-    """Add the nearest pivot (``cell``) and the distance to it (``r``)."""
+    compared = pa.array(np.full(probes.num_rows, real.num_rows))
+    return pa.table({"id": probes["id"], "d": pa.array(_minima(ax, ak, bx, bk)), "compared": compared})
+
+
+class Pivots:
+    """The pivot rows of one node's children, their rings and numbers."""
+
+    def __init__(self, children: pa.Table | pa.RecordBatch):
+        n = children.num_rows
+        self.x, self.k = _matrix(children["x"], n), _matrix(children["k"], n)
+        self.cells = np.asarray(children["cell"])
+        names = children.schema.names
+        self.inner, self.outer = (np.asarray(children[c]) if c in names else None for c in ("lo", "hi"))
+
+    def distances(self, rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+        x, k = _matrix(rows["x"], rows.num_rows), _matrix(rows["k"], rows.num_rows)
+        ak, bk = _codes(k, self.k)
+        return np.sqrt(np.maximum(_squares(x, ak, self.x, bk), 0.0))
+
+    def assign(self, rows: pa.Table | pa.RecordBatch, kept: list[str]) -> dict[str, pa.Array]:
+        """The nearest child (``cell``) of each row, and the distance to its pivot (``r``)."""
+        d = self.distances(rows)
+        own = d.argmin(axis=1)
+        r = d[np.arange(len(own)), own]
+        return {n: rows[n] for n in kept} | {"cell": pa.array(self.cells[own]), "r": pa.array(r)}
+
+    def visits(self, rows: pa.Table | pa.RecordBatch) -> dict[str, pa.Array]:
+        """(row, child) where the child may hold something nearer than the row's bound ``d``, with the least distance ``low``."""
+        d = self.distances(rows)
+        every = np.arange(len(d))
+        nearest = d.argmin(axis=1)
+        here = d[every, nearest][:, None]
+        bound = np.sqrt(np.asarray(rows["d"], dtype=float))
+        # Rings around the pivots, and the plane halfway between the nearest pivot and another one (not for pivots so
+        # near each other that rounding would decide).
+        code = _codes(self.k)[0]
+        between = np.sqrt(np.maximum(_squares(self.x, code, self.x, code), 0.0))[nearest]
+        low = np.maximum(np.maximum(d - self.outer[None, :], self.inner[None, :] - d), 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            low = np.maximum(low, np.where(between > 1e-3, (d * d - here * here) / (2.0 * between), 0.0))
+        i, j = np.nonzero(low < bound[:, None] + 1e-7)
+        picked = pa.array(i)
+        out = {n: rows[n].take(picked) for n in ("id", "x", "k", "d", "own")}
+        return out | {"cell": pa.array(self.cells[j]), "low": pa.array(low[i, j])}
+
+
+def on_batches(step, pivots: pa.Table, *args):
+    """``step`` of one node's pivots for mapInArrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = Pivots(pivots)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = _pivot_distances(batch, px, pk)
-            own = d.argmin(axis=1)
-            columns = {n: batch[n] for n in batch.schema.names}
-            columns["cell"] = pa.array(own.astype(np.int32))
-            columns["r"] = pa.array(d[np.arange(len(own)), own])
-            yield pa.RecordBatch.from_pydict(columns)
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict(step(node, batch, *args))
 
     return run
 
 
-def list_visits(px: np.ndarray, pk: np.ndarray, inner: np.ndarray, outer: np.ndarray):
-    """Replace ``cell`` and bound ``d`` by the list of other cells that may hold a closer row."""
-    pivots = np.sqrt(np.maximum(_squares(px, *_codes(pk)[:1], px, *_codes(pk)[:1]), 0.0))
+def on_nodes(step, schema: pa.Schema, *args):
+    """``step`` of each group's own pivots for a cogrouped applyInArrow."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = _pivot_distances(batch, px, pk)
-            own = batch["cell"].to_numpy()
-            bound = np.sqrt(batch["d"].to_numpy(zero_copy_only=False))
-            here = d[np.arange(len(own)), own][:, None]
-            # Rings around the pivots, and the plane halfway between the own pivot and the other one (not for pivots so
-            # near each other that rounding would decide).
-            low = np.maximum(d - outer[None, :], inner[None, :] - d)
-            between = pivots[own]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.where(between > 1e-3, (d * d - here * here) / (2.0 * between), 0.0)
-            low = np.maximum(low, plane)
-            worth = low < bound[:, None] + 1e-7
-            worth[np.arange(len(own)), own] = False
-            worth[bound == 0.0] = False
-            rows, cells = np.nonzero(worth)
-            offsets = np.zeros(len(own) + 1, np.int32)
-            np.cumsum(np.bincount(rows, minlength=len(own)), out=offsets[1:])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells.astype(np.int32)))
-            yield pa.RecordBatch.from_pydict({"id": batch["id"], "x": batch["x"], "k": batch["k"], "cells": lists})
+    def run(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not rows.num_rows or not pivots.num_rows:
+            return schema.empty_table()
+        return pa.table(step(Pivots(pivots), rows, *args))
 
     return run
 

@@ -6,13 +6,15 @@ import string
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import c, key_text, literal, literals, pick, quoted, replaced
-from ..session import materialize
-from .lookups import lookup_join
+from ..session import BROADCAST_ROW_BOUND, materialize
+from . import lookups
+from .lookups import heavy_keys, lookup_join
+from .ranking import prefix_sums
 
 _LETTERS = string.ascii_uppercase
 _ALPHABET = string.ascii_uppercase + string.digits
@@ -45,14 +47,26 @@ class CodeBook:
     table: DataFrame
     sizes: dict[str, int]
     literal: dict[str, dict[str, str]]
+    broadcast_rows: int = BROADCAST_ROW_BOUND
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str], code_length: int = 4, seed: int = 42) -> CodeBook:
+    def fit(
+        cls,
+        df: DataFrame,
+        columns: Sequence[str],
+        code_length: int = 4,
+        seed: int = 42,
+        literal_bound: int | None = None,
+        broadcast_rows: int = BROADCAST_ROW_BOUND,
+        window_rows: int = 2 * BROADCAST_ROW_BOUND,
+    ) -> CodeBook:
         """Give every distinct non-null value of each column its own code.
 
         Values are numbered in text order within a column, columns in the given
-        order. The number of values is checked against the code space first, so
-        the numbering windows are bounded by it.
+        order: by one window up to ``window_rows`` values, beyond that by ranges
+        of values. The number of values is checked against the code space first.
+        Columns with more than ``literal_bound`` values are replaced by joins,
+        with more than ``broadcast_rows`` by shuffled ones.
         """
         if not 1 <= code_length <= 6:
             raise ValueError("code_length must be between 1 and 6")
@@ -69,10 +83,11 @@ class CodeBook:
         if sum(counts.values()) > code_capacity(code_length):
             raise ValueError(f"More than {code_capacity(code_length)} values for codes of length {code_length}")
         starts = [sum(counts.get(j, 0) for j in range(i)) for i in range(len(names))]
-        within = F.row_number().over(Window.partitionBy("position").orderBy("value"))
-        number = f"element_at(array({', '.join(f'{x}L' for x in starts)}), position + 1) + within - 1"
+        # The number of a value is a running count over its column, summed over ranges of values at any size.
+        numbered = prefix_sums(values.withColumn("one", F.lit(1).cast("long")), "value", ["one"], by="position", window_rows=window_rows)
+        number = f"element_at(array({', '.join(f'{x}L' for x in starts)}), position + 1) + cum_one - 1"
         table = materialize(
-            values.withColumn("within", within).selectExpr(
+            numbered.selectExpr(
                 f"element_at(array({literals(names)}), position + 1) AS column",
                 "value",
                 f"{code_text(f'({number})', code_length, seed)} AS code",
@@ -80,11 +95,12 @@ class CodeBook:
             "code-table",
         )
         sizes = {n: counts.get(i, 0) for i, n in enumerate(names)}
-        small = [n for n in names if 0 < sizes[n] <= LITERAL_BOUND]
+        bound = LITERAL_BOUND if literal_bound is None else literal_bound
+        small = [n for n in names if 0 < sizes[n] <= bound]
         literal: dict[str, dict[str, str]] = {n: {} for n in small}
         for row in table.filter(F.col("column").isin(*small)).collect() if small else []:
             literal[row["column"]][row["value"]] = row["code"]
-        return cls(table, sizes, literal)
+        return cls(table, sizes, literal, broadcast_rows)
 
     def encode(self, df: DataFrame) -> DataFrame:
         """Values replaced by their codes; unknown values and missing cells pass through (as text)."""
@@ -95,9 +111,13 @@ class CodeBook:
         return self._replace(df, "code", "value")
 
     def support(self) -> DataFrame:
-        """``column, codes``: the sorted codes of each column."""
+        """``column, codes``: the sorted codes of each column in one cell; for few codes, see ``support_rows``."""
         return self.table.groupBy("column").agg(F.sort_array(F.collect_set("code")).alias("codes"))
 
+    def support_rows(self) -> DataFrame:
+        """``column, code``: one row per code, for columns of any number of values."""
+        return self.table.select("column", "code")
+
     def known_only(self, df: DataFrame) -> DataFrame:
         """Rows whose cells all hold a known value; a missing cell is not known."""
         present = [n for n in self.sizes if n in set(df.columns)]
@@ -108,11 +128,14 @@ class CodeBook:
             tests.append(f"coalesce({key_text(df.schema, name)} IN ({known}), false)" if known else "false")
         if tests:
             df = df.filter(" AND ".join(tests))
+        heavy = self._heavy(df, [n for n in present if n not in small])
         for name in (n for n in present if n not in small):
             kept = df.columns
             rows = df.selectExpr("*", f"{key_text(df.schema, name)} AS _key")
             known = self.table.filter(F.col("column") == name).select(F.col("value").alias("_key"))
-            df = lookup_join(rows, known, ["_key"], self._spread(df), self.sizes[name]).select(*pick(kept))
+            df = lookup_join(
+                rows, known, ["_key"], self._spread(df), self.sizes[name], broadcast_rows=self._bound(), heavy=heavy.get(name)
+            ).select(*pick(kept))
         return df
 
     def _replace(self, df: DataFrame, source: str, target: str) -> DataFrame:
@@ -125,17 +148,26 @@ class CodeBook:
                 entries = ", ".join(f"{literal(v)}, {literal(k)}" if source == "value" else f"{literal(k)}, {literal(v)}" for v, k in pairs)
                 text = f"coalesce(try_element_at(map({entries}), {text}), {text})"
             texts[name] = text
+        heavy = self._heavy(df, [n for n in names if n not in self.literal and self.sizes[n]])
         df = replaced(df, texts)
         for name in (n for n in names if n not in self.literal and self.sizes[n]):
             entry = self.table.filter(F.col("column") == name).select(
                 F.col(source).alias("_key"), F.col(target).alias("_new")
             )
             joined = lookup_join(
-                df.selectExpr("*", f"{quoted(name)} AS _key"), entry, ["_key"], self._spread(df), self.sizes[name], "left"
-            )
+                df.selectExpr("*", f"{quoted(name)} AS _key"), entry, ["_key"], self._spread(df), self.sizes[name], "left",
+                self._bound(), heavy.get(name),
+            )
             df = replaced(joined, {name: f"coalesce(_new, {quoted(name)})"}).select(*pick(order))
         return df
 
+    def _bound(self) -> int:
+        return min(self.broadcast_rows, lookups.BROADCAST_ROW_BOUND)
+
+    def _heavy(self, df: DataFrame, names: Sequence[str]) -> dict[str, dict[int, int]]:
+        """Heavy values of the columns that take a shuffled join, found in one pass over the rows."""
+        return heavy_keys(df, {n: [key_text(df.schema, n)] for n in names if self.sizes[n] > self._bound()})
+
     @staticmethod
     def _spread(df: DataFrame) -> Column:
         return F.struct(*[c(n) for n in df.columns])

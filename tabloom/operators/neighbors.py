@@ -2,40 +2,48 @@
 
 The distance is the root of the mean, over columns, of the squared difference:
 numbers scaled by the real range, categories 0 or 1. Comparing all pairs in one
-join would emit them; instead Spark cuts both sides into tiles of bounded size
-and each task reduces its tile to one minimum per synthetic row:
+join would emit them; instead Spark searches a tree of pivot rows:
 
-1. real rows are reduced to distinct ones and assigned to the nearest of a few
-   pivot rows, which gives cells with known radii;
-2. every synthetic row is compared with its own cell, an upper bound;
-3. by the triangle inequality only cells that can beat the bound are visited.
+1. real rows are reduced to distinct ones; a synthetic row equal to one of them
+   is at distance 0 and found by an equi join;
+2. distinct rows are assigned to the nearest of some pivot rows, and the rows of
+   each cell larger than a tile again to pivots of that cell, level by level,
+   until cells are tiles; each cell keeps the radii of its ring of rows;
+3. a synthetic row goes down to its nearest cell, which gives an upper bound;
+4. going down once more, the triangle inequality leaves the cells that can hold
+   a closer row; the nearest few of these are visited first, which tightens the
+   bound, then what the tighter bound still leaves.
 
-Cells larger than a tile are split by hash, and so are the synthetic rows that
-visit a cell, so no group grows with the data. Nothing is dropped: pruning only
-skips cells that cannot hold a closer row.
+Pivots of one node and parts of its rows meet in tasks of bounded size, and so do
+tiles and the rows that visit them, so no group grows with the data. Nothing is
+dropped: pruning only skips cells that cannot hold a closer row.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import c, common_columns, is_text, key_text, literal, quoted
 from ..functions.numeric import num
-from ..functions.tiles import assign_cells, list_visits, tile_minima
+from ..functions.tiles import Pivots, on_batches, on_nodes, tile_minima
 from ..session import materialize
 from .ranking import prefix_sums
 from .sampling import ROW_ID, capped_sample
 
-#: Real and synthetic rows per tile; also what a task holds in memory at once.
+#: Real and synthetic rows per tile, and rows that meet one node's pivots; also what a task holds in memory at once.
 TILE_ROWS = 16384
 PROBE_ROWS = 8192
-MAX_CELLS = 1024
+NODE_ROWS = 65536
+#: Children of a node, at most; levels of the tree, after which cells that are still too large are cut by hash.
+FANOUT = 256
+LEVELS = 7
+#: Cells that a synthetic row visits before its bound is looked at again.
+NEAREST_CELLS = 4
 _FEATURES = "x array<double>, k array<string>"
 
 
@@ -54,65 +62,149 @@ def _encoded(
     ]
 
 
-def _tile_minima(probes: DataFrame, real: DataFrame, sizes: list[int], tile_rows: int) -> DataFrame:
-    """``id, d``: smallest squared distance of each probe to the real rows of its ``cells``, per tile."""
-    key = probes.schema["id"].dataType.simpleString()
-    asked = {
-        row["cell"]: row["count"]
-        for row in probes.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()
-    }
-    if not asked:
-        return probes.sparkSession.createDataFrame([], f"id {key}, d double")
-    cells = range(len(sizes))
-    real_parts = F.array(*[F.lit(max(1, math.ceil(sizes[i] / tile_rows))) for i in cells])
-    probe_parts = F.array(*[F.lit(math.ceil(asked.get(i, 0) / PROBE_ROWS)) for i in cells])
-    n_real = F.element_at(real_parts, F.col("cell") + 1)
-    n_probe = F.element_at(probe_parts, F.col("cell") + 1)
+def _parts(count: Column, rows: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(count / rows)).cast("int")
+
+
+def _tile_minima(visits: DataFrame, placed: DataFrame, sizes: DataFrame, tile_rows: int) -> DataFrame:
+    """``id, d, compared`` per tile: smallest squared distance of each visitor (id, x, k, cell) to the cell's real rows."""
+    key = visits.schema["id"].dataType.simpleString()
+    asked = visits.groupBy("cell").agg(_parts(F.count(F.lit(1)), PROBE_ROWS).alias("n_probe"))
+    facts = sizes.select("cell", _parts(F.col("n"), tile_rows).alias("n_real")).join(asked, "cell")
+    facts = materialize(facts, "tile-counts")  # stored, so Spark knows its size and broadcasts it only if it is small
     left = (
-        probes.select("id", "x", "k", F.explode("cells").alias("cell"))
-        .withColumn("b", F.pmod(F.xxhash64("id"), n_probe))
-        .withColumn("a", F.explode(F.sequence(F.lit(0), n_real - 1)))
-        .select("cell", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "id", "x", "k")
+        visits.select("id", "x", "k", "cell")
+        .join(facts, "cell")
+        .withColumn("b", F.pmod(F.xxhash64("id"), "n_probe").cast("int"))
+        .withColumn("a", F.explode(F.sequence(F.lit(0), F.col("n_real") - 1)))
+        .select("cell", "a", "b", "id", "x", "k")
     )
     right = (
-        real.filter(n_probe > 0)
-        .withColumn("a", F.pmod(F.xxhash64("x", "k"), n_real).cast("int"))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), n_probe - 1)))
-        .select("cell", "a", F.col("b").cast("int").alias("b"), "x", "k")
+        placed.select("x", "k", "cell")
+        .join(facts, "cell")
+        .withColumn("a", F.pmod(F.xxhash64("x", "k"), "n_real").cast("int"))
+        .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_probe") - 1)))
+        .select("cell", "a", "b", "x", "k")
     )
     grouped = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b"))
-    return grouped.applyInArrow(tile_minima, f"id {key}, d double")
-
-
-def _pruned_minima(distinct: DataFrame, probes: DataFrame, n_cells: int, tile_rows: int) -> DataFrame:
-    """Own cell first, then only cells that can still hold a closer row."""
-    key = probes.schema["id"].dataType.simpleString()
-    order = F.xxhash64("x", "k")
-    chosen = distinct.withColumn("h", order).orderBy("h", "x", "k").limit(n_cells).drop("h").collect()
-    px = np.array([row["x"] for row in chosen], dtype=float).reshape(n_cells, -1)
-    pk = np.array([row["k"] for row in chosen], dtype=object).reshape(n_cells, -1)
-    placed = materialize(distinct.mapInArrow(assign_cells(px, pk), f"{_FEATURES}, cell int, r double"), "real-cells")
-    shape = {
-        row["cell"]: row
-        for row in placed.groupBy("cell")
-        .agg(F.count("r").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
-        .collect()
-    }
-    # Pivots that nearly coincide tie by rounding, and some get no rows; probes must not choose those.
-    alive = sorted(shape)
-    px, pk = px[alive], pk[alive]
-    numbers = F.array(*[F.lit(alive.index(i) if i in shape else -1) for i in range(n_cells)])
-    placed = placed.withColumn("cell", F.element_at(numbers, F.col("cell") + 1))
-    sizes = [shape[i]["n"] for i in alive]
-    inner, outer = (np.array([shape[i][side] for i in alive]) for side in ("lo", "hi"))
-    owned = materialize(
-        probes.mapInArrow(assign_cells(px, pk), f"id {key}, {_FEATURES}, cell int, r double"), "probe-cells"
-    )
-    first = _tile_minima(owned.withColumn("cells", F.array("cell")), placed, sizes, tile_rows)
-    first = materialize(first.groupBy("id").agg(F.min("d").alias("d")), "own-cell")
-    bounded = owned.join(first, "id", "left").select("id", "x", "k", "cell", F.coalesce("d", F.lit(float("inf"))).alias("d"))
-    visits = bounded.mapInArrow(list_visits(px, pk, inner, outer), f"id {key}, {_FEATURES}, cells array<int>")
-    return first.unionByName(_tile_minima(materialize(visits, "probe-visits"), placed, sizes, tile_rows))
+    return grouped.applyInArrow(tile_minima, f"id {key}, d double, compared long")
+
+
+def _at_children(rows: DataFrame, children: DataFrame, step: Callable, schema: str, *args) -> DataFrame:
+    """Rows (with ``cell``, the node they are at) meet the pivots of that node's children, in parts of bounded size."""
+    spread = F.xxhash64(*[c for c in ("id", "x", "k") if c in rows.columns])
+    parts = rows.groupBy("cell").agg(_parts(F.count(F.lit(1)), NODE_ROWS).alias("parts"))
+    parts = materialize(parts.join(children.select(F.col("parent").alias("cell")).distinct(), "cell"), "node-parts")
+    left = rows.join(parts, "cell").withColumn("part", F.pmod(spread, "parts").cast("int")).drop("parts")
+    left = left.withColumnRenamed("cell", "node")
+    right = children.withColumnRenamed("parent", "node").join(parts.withColumnRenamed("cell", "node"), "node")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    target = to_arrow_schema(T.StructType.fromDDL(schema))
+    grouped = left.groupBy("node", "part").cogroup(right.groupBy("node", "part"))
+    return grouped.applyInArrow(on_nodes(step, target, *args), schema)
+
+
+class _Tree:
+    """Distinct real rows in a tree of cells: ``placed`` (x, k, cell of the leaf), ``leaves`` (cell, n), and per level the
+    nodes (parent, cell, x, k of the pivot, lo, hi, n, leaf)."""
+
+    def __init__(self, distinct: DataFrame, n_real: int, tile_rows: int, fanout: int):
+        self.levels: list[DataFrame] = []
+        rows = distinct.withColumn("cell", F.lit(0).cast("long"))
+        placed, leaves = [], []
+        for level in range(LEVELS):
+            # Twice as many children as tiles, so that most children are below a tile.
+            order = [F.xxhash64("x", "k"), F.col("x"), F.col("k")]
+            if level == 0:
+                first = min(fanout, -(-2 * n_real // tile_rows))
+                pivots = rows.orderBy(*order).limit(first).withColumn("wanted", F.lit(first))
+            else:
+                wanted = F.least(F.lit(fanout), F.ceil(F.col("n") * 2 / tile_rows)).cast("int")
+                pivots = rows.join(sizes.select("cell", wanted.alias("wanted")), "cell")
+            slot = F.row_number().over(Window.partitionBy("cell").orderBy(*order))
+            pivots = pivots.withColumn("slot", slot).filter(F.col("slot") <= fanout)
+            pivots = pivots.filter("slot <= wanted").select(
+                F.col("cell").alias("parent"), (F.col("cell") * (fanout + 1) + F.col("slot")).alias("cell"), "x", "k"
+            )
+            pivots = materialize(pivots, "pivots")
+            schema = f"{_FEATURES}, cell long, r double"
+            if level == 0:  # one node: its pivots go to where the rows are
+                table = pivots.toArrow()
+                moved = rows.drop("cell").mapInArrow(on_batches(Pivots.assign, table, ["x", "k"]), schema)
+            else:
+                moved = _at_children(rows, pivots, Pivots.assign, schema, ["x", "k"])
+            moved = materialize(moved, "cells")
+            rings = moved.groupBy("cell").agg(F.count("r").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+            leaf = (F.col("n") <= tile_rows) if level + 1 < LEVELS else F.lit(True)
+            # Pivots that nearly coincide tie by rounding; those that got no rows are no cells.
+            nodes = materialize(pivots.join(rings, "cell").withColumn("leaf", leaf), "nodes")
+            self.levels.append(nodes)
+            marked = moved.select("x", "k", "cell").join(nodes.select("cell", "leaf"), "cell")
+            placed.append(marked.filter("leaf").drop("leaf"))
+            leaves.append(nodes.filter("leaf").select("cell", "n"))
+            sizes = nodes.filter("NOT leaf").select("cell", "n")
+            if sizes.isEmpty():
+                break
+            rows = materialize(marked.filter("NOT leaf").drop("leaf"), "large-cells")
+        self.placed, self.leaves = _union(placed), _union(leaves)
+
+    def descend(self, probes: DataFrame) -> DataFrame:
+        """``id, x, k, cell``: the leaf that each probe comes to by its nearest pivots."""
+        key = probes.schema["id"].dataType.simpleString()
+        schema, kept = f"id {key}, {_FEATURES}, cell long, r double", ["id", "x", "k"]
+        arrived, rows = [], probes
+        for level, nodes in enumerate(self.levels):
+            pivots = nodes.select("parent", "cell", "x", "k")
+            if level == 0:
+                moved = rows.mapInArrow(on_batches(Pivots.assign, pivots.toArrow(), kept), schema)
+            else:
+                moved = _at_children(rows, pivots, Pivots.assign, schema, kept)
+            marked = materialize(moved.drop("r"), "probe-cells").join(nodes.select("cell", "leaf"), "cell")
+            arrived.append(marked.filter("leaf").drop("leaf"))
+            rows = marked.filter("NOT leaf").drop("leaf")
+        return _union(arrived).select("id", "x", "k", "cell")
+
+    def visits(self, bounded: DataFrame) -> DataFrame:
+        """``id, x, k, d, own, cell, low``: leaves other than the own one that may hold something nearer than ``d``."""
+        key = bounded.schema["id"].dataType.simpleString()
+        schema = f"id {key}, {_FEATURES}, d double, own long, cell long, low double"
+        found, rows = [], bounded
+        for level, nodes in enumerate(self.levels):
+            pivots = nodes.select("parent", "cell", "x", "k", "lo", "hi")
+            if level == 0:
+                moved = rows.mapInArrow(on_batches(Pivots.visits, pivots.toArrow()), schema)
+            else:
+                moved = _at_children(rows.drop("low"), pivots, Pivots.visits, schema)
+            marked = materialize(moved, "probe-visits").join(nodes.select("cell", "leaf"), "cell")
+            found.append(marked.filter("leaf AND cell != own").drop("leaf"))
+            rows = marked.filter("NOT leaf").drop("leaf")
+        return _union(found)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _search(tree: _Tree, probes: DataFrame, tile_rows: int) -> DataFrame:
+    """``id, d, compared``: the own cell first, then the nearest cells, then what the bound leaves."""
+
+    def pass_over(visits: DataFrame, label: str) -> DataFrame:
+        found = _tile_minima(visits, tree.placed, tree.leaves, tile_rows).groupBy("id")
+        return materialize(found.agg(F.min("d").alias("d"), F.sum("compared").alias("compared")), label)
+
+    owned = materialize(tree.descend(probes), "own-cells")
+    first = pass_over(owned, "own-minima")
+    bounded = owned.withColumnRenamed("cell", "own").join(first.select("id", "d"), "id", "left")
+    bounded = bounded.withColumn("d", F.coalesce("d", F.lit(float("inf"))))
+    by_distance = Window.partitionBy("id").orderBy("low", "cell")
+    ranked = materialize(tree.visits(bounded).withColumn("turn", F.row_number().over(by_distance)), "ranked-visits")
+    second = pass_over(ranked.filter(F.col("turn") <= NEAREST_CELLS), "near-minima")
+    rest = ranked.filter(F.col("turn") > NEAREST_CELLS).join(second.select("id", F.col("d").alias("nearer")), "id", "left")
+    rest = rest.filter(F.col("low") < F.sqrt(F.least("d", F.coalesce("nearer", "d"))) + 1e-7)
+    return first.unionByName(second).unionByName(pass_over(rest, "far-minima"))
 
 
 def distance_to_closest_record(
@@ -125,12 +217,17 @@ def distance_to_closest_record(
     ignore: Collection[str] = (),
     key: str = ROW_ID,
     tile_rows: int = TILE_ROWS,
+    fanout: int = FANOUT,
+    compared: bool = False,
 ) -> DataFrame:
     """``key, dcr`` for every synthetic row (or for a capped sample, if asked for).
 
     A row with an infinite number is infinitely far from all others. Results do
-    not depend on ``tile_rows``, the real rows that one task compares with. Real columns without any number are left out of the distance. The caps are
-    the caller's choice; without them all rows on both sides count.
+    not depend on ``tile_rows``, the real rows that one task compares with, nor
+    on ``fanout``, the children of a node. Real columns without any number are
+    left out of the distance. The caps are the caller's choice; without them all
+    rows on both sides count. ``compared`` adds the number of real rows that the
+    row was compared with.
     """
     if max_real is not None:
         real = capped_sample(real, max_real, seed, key)
@@ -140,7 +237,7 @@ def distance_to_closest_record(
     texts = [n for n in names if n in set(categorical) or is_text(real.schema[n].dataType)]
     numeric = [n for n in names if n not in texts]
     id_type = synthetic.schema[key].dataType.simpleString()
-    empty = real.sparkSession.createDataFrame([], f"`{key}` {id_type}, dcr double")
+    empty = real.sparkSession.createDataFrame([], f"`{key}` {id_type}, dcr double" + ", compared long" * compared)
     scale = {}
     if numeric:
         limits = real.selectExpr(
@@ -154,23 +251,32 @@ def distance_to_closest_record(
     if not numeric and not texts:
         return empty
 
-    distinct = materialize(real.selectExpr(*_encoded(real.schema, numeric, scale, texts)).distinct(), "real-rows")
-    n_real = distinct.count()
-    if not n_real:
+    if real.isEmpty():
         return empty
+    # A row with an infinite number is nearest to nothing, on either side.
+    finite = "NOT exists(x, v -> isnan(v) OR abs(v) = double('infinity'))"
+    distinct = real.selectExpr(*_encoded(real.schema, numeric, scale, texts)).filter(finite).distinct()
+    distinct = materialize(distinct, "real-rows")
+    n_real = distinct.count()
     probes = materialize(synthetic.selectExpr(f"{quoted(key)} AS id", *_encoded(synthetic.schema, numeric, scale, texts)), "probes")
     width = len(numeric) + len(texts)
 
-    n_cells = min(MAX_CELLS, math.ceil(n_real / tile_rows))
-    if n_cells == 1:
-        everywhere = probes.withColumn("cells", F.expr("array(0)"))
-        first = _tile_minima(everywhere, distinct.withColumn("cell", F.lit(0)), [n_real], tile_rows)
+    # Equal rows are at distance 0, which nothing can beat.
+    marked = probes.filter(finite).join(distinct.withColumn("same", F.lit(True)), ["x", "k"], "left")
+    marked = materialize(marked, "equal-rows")
+    equal = marked.filter("same").select("id", F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("compared"))
+    others = marked.filter("same IS NULL").drop("same")
+    if n_real <= tile_rows:
+        one_cell = real.sparkSession.createDataFrame([(0, n_real)], "cell long, n long")
+        at_root = lambda df: df.withColumn("cell", F.lit(0).cast("long"))
+        found = _tile_minima(at_root(others), at_root(distinct), one_cell, tile_rows)
     else:
-        first = _pruned_minima(distinct, probes, n_cells, tile_rows)
-    nearest = first.groupBy("id").agg(F.min("d").alias("d"))
+        found = _search(_Tree(distinct, n_real, tile_rows, fanout), others, tile_rows)
+    nearest = found.unionByName(equal).groupBy("id").agg(F.min("d").alias("d"), F.sum("compared").alias("compared"))
     nearest = probes.select("id").join(nearest, "id", "left")
-    found = F.when(F.col("d").isNull() | F.isnan("d"), F.lit(float("inf"))).otherwise(F.sqrt(F.col("d") / width))
-    return nearest.select(F.col("id").alias(key), found.alias("dcr"))
+    dcr = F.when(F.col("d").isNull() | F.isnan("d"), F.lit(float("inf"))).otherwise(F.sqrt(F.col("d") / width))
+    count = [F.coalesce("compared", F.lit(0).cast("long")).alias("compared")] if compared else []
+    return nearest.select(F.col("id").alias(key), dcr.alias("dcr"), *count)
 
 
 def describe(df: DataFrame, column: str = "dcr") -> DataFrame:

@@ -20,8 +20,8 @@ from ..session import BROADCAST_ROW_BOUND, materialize
 
 #: Hex digits that pick a hash bucket; 16**4 buckets bound every offsets table.
 BUCKET_DIGITS = 4
-#: Value ranges for prefix sums: at least, rows in each, and at most (what the quantile sketch can tell apart).
-RANGE_BUCKETS, RANGE_ROWS, MOST_RANGES = 128, 1_000_000, 5000
+#: Rows in each value range of prefix sums, about; and ranges at least.
+RANGE_ROWS, RANGES = 1_000_000, 16
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -97,9 +97,8 @@ def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None =
 
     ``df`` holds one row per (by, value) - group first, which also absorbs hot
     values. It is written once, as it is needed several times. Up to a checked
-    size one window will do; beyond it values are cut into ranges between
-    quantiles of the distinct values, which hold similar numbers of rows. Only
-    speed, not the result, depends on them.
+    size one window will do; beyond it rows are cut into ranges of (by, value)
+    at sampled splitters. Only speed, not the result, depends on them.
     """
     df = materialize(df, "value-counts")
     group = [c(by)] if by else []
@@ -108,30 +107,30 @@ def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None =
         whole = Window.partitionBy(*(group or [F.lit(0)])).orderBy(c(value))
         whole = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(c(s)).over(whole).alias(f"cum_{s}") for s in sums])
-    return _ranged_prefix_sums(df, value, sums, by, min(MOST_RANGES, max(RANGE_BUCKETS, n // RANGE_ROWS)))
+    return _ranged_prefix_sums(df, value, sums, by, max(RANGES, n // RANGE_ROWS))
 
 
 def _ranged_prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: str | None, ranges: int) -> DataFrame:
-    points = [i / ranges for i in range(1, ranges)]
-    quantiles = F.array_distinct(F.percentile_approx(c(value).cast("double"), points, 10000)).alias("_splits")
-    if by:
-        splits = df.groupBy(c(by).alias("_by")).agg(quantiles)
-        tagged = df.join(splits, c(by).eqNullSafe(F.col("_by"))).drop("_by")
-    else:
-        tagged = df.withColumn("_splits", df.agg(quantiles).scalar())
-    bucket = F.expr(f"size(filter(_splits, s -> s <= CAST({quoted(value)} AS DOUBLE)))")
-    tagged = tagged.withColumn("_b", bucket).drop("_splits")
+    """Runs sorted by (by, value), each with the totals of the runs before it.
+
+    Spark deals rows to ranges by sampled splitters. Ranges are numbered and stored, since they would be drawn anew in
+    another job. Each range sums up its own rows and needs one number more per group: the total of that group in earlier
+    ranges, from a table of one row per range and group.
+    """
     group = [c(by)] if by else []
-    upto = (
-        Window.partitionBy(*group, "_b").orderBy(c(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = tagged.withColumns({f"_cum_{s}": F.sum(c(s)).over(upto) for s in sums})
-    offsets = bucket_offsets(tagged, [by] if by else [], {f"_off_{s}": F.sum(c(s)) for s in sums})
-    match = local["_b"] == offsets["_bucket"]
+    order = [*group, c(value)]
+    ranged = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "value-ranges")
+    inside = Window.partitionBy("_range", *group).orderBy(c(value))
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumns({f"_cum_{s}": F.sum(c(s)).over(inside) for s in sums})
+    offsets = bucket_offsets(ranged, [by] if by else [], {f"_off_{s}": F.sum(c(s)) for s in sums}, "_range")
+    match = local["_range"] == offsets["_bucket"]
     if by:
         match = match & local[quoted(by)].eqNullSafe(offsets["_by0"])
+    if ranges <= BROADCAST_ROW_BOUND and not by:
+        offsets = F.broadcast(offsets)  # one row per range
     return local.join(offsets, match).select(
         *[local[quoted(n)] for n in df.columns],
         *[(F.col(f"_cum_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
     )
-

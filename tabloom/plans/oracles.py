@@ -628,6 +628,7 @@ def all_oracles() -> dict[str, str]:
         found[f"column_similarity_{name}"] = similarity(name)
         found[f"dcr_rows_{name}"] = with_(distance_rows(name), "SELECT _row_id, round(dcr, 6) AS dcr FROM dcr")
     found["dcr_rows_cells_credit"] = found["dcr_rows_credit"]
+    found["dcr_rows_levels_heloc"] = found["dcr_rows_heloc"]
     found["prefix_sums_ranged"] = """
         SELECT g, v, n, (sum(n) OVER (PARTITION BY g ORDER BY v))::BIGINT AS cum_n
         FROM (SELECT nullif(l_returnflag, 'A') AS g, l_extendedprice AS v, count(*) AS n FROM lineitem GROUP BY ALL)
@@ -763,6 +764,31 @@ def all_oracles() -> dict[str, str]:
     )
     found["map_values"] = with_(adult_codes, coded(S.ADULT_COLUMNS, S.ADULT_CATEGORICAL, "adult_typed"))
     found["unmap_values"] = with_(roles("adult"), "SELECT * FROM adult_typed")
+    found["code_support_rows"] = with_(adult_codes, "SELECT \"column\", code FROM codes")
+    found["map_values_joined"] = found["map_values"]
+    found["unmap_values_joined"] = found["unmap_values"]
+    found["revision_by_position"] = """
+WITH b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS k, * FROM orders),
+a AS (
+  SELECT row_number() OVER (ORDER BY o_orderkey) AS k, o_custkey,
+    CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+    o_totalprice * 1.0000001::DOUBLE AS o_totalprice,
+    CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE o_orderpriority END AS o_orderpriority
+  FROM orders WHERE o_orderkey % 5001 <> 5000
+),
+x AS (
+  SELECT (abs(b.o_custkey - a.o_custkey) > 1e-8 + 1e-5 * abs(a.o_custkey))::BIGINT
+    + (b.o_orderstatus IS DISTINCT FROM a.o_orderstatus)::BIGINT
+    + (abs(b.o_totalprice - a.o_totalprice) > 1e-8 + 1e-5 * abs(a.o_totalprice))::BIGINT
+    + (b.o_orderpriority IS DISTINCT FROM a.o_orderpriority)::BIGINT AS c
+  FROM a JOIN b USING (k)
+),
+n AS (SELECT (SELECT count(*) FROM b) AS old, (SELECT count(*) FROM a) AS new, count(*) AS n, sum(c)::BIGINT AS cells, count(*) FILTER (c > 0) AS rows FROM x)
+SELECT old AS n_rows_before, new AS n_rows_after, 4::BIGINT AS n_columns_compared, n * 4 AS compared_cells, cells AS revised_cells,
+  rows AS revised_rows, round(cells / (n * 4.0::DOUBLE), 6) AS cell_revision_rate, round(rows / n::DOUBLE, 6) AS row_revision_rate,
+  round((old - new) / old::DOUBLE, 6) AS dropped_row_rate, 0.0::DOUBLE AS added_row_rate
+FROM n
+"""
     found["csv_rows"] = with_(
         [view_cte("adult"), num_cte("adult"), typed_cte("adult")],
         f"SELECT _row_id, {csv_line(S.ADULT_COLUMNS)} AS line FROM adult_typed",

@@ -15,10 +15,10 @@ from ..operators.codec import TextCodec, TextConfig
 from ..operators.constraints import constraint_detail, constraint_summary, reject_invalid, violated_rules, violation_matrix
 from ..operators.fidelity import auc_binary, column_similarity, kolmogorov_smirnov, similarity_mean, total_variation
 from ..operators.generation import condition_slots
-from ..operators.neighbors import TILE_ROWS, describe, distance_to_closest_record
+from ..operators.neighbors import FANOUT, TILE_ROWS, describe, distance_to_closest_record
 from ..operators.prompts import PromptBuilder, PromptConfig
 from ..operators.ranking import prefix_sums
-from ..operators.revision import revision_in_place
+from ..operators.revision import revision_by_position, revision_in_place
 from ..operators.sampling import (
     ROW_ID,
     balanced_draws,
@@ -193,6 +193,18 @@ def revision(name: str, spark: SparkSession, sf: str) -> DataFrame:
     return rounded(revision_in_place(typed(spark, sf, name), fix))
 
 
+def revision_placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders before and after a change that also loses rows, compared without an id: later rows meet other rows."""
+    before = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderkey")
+    after = before.filter("o_orderkey % 5001 <> 5000").selectExpr(
+        "o_custkey",
+        "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus",
+        "o_totalprice * 1.0000001D AS o_totalprice",
+        "CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE o_orderpriority END AS o_orderpriority",
+    )
+    return rounded(revision_by_position(before, after))
+
+
 def tvd(spark: SparkSession, sf: str) -> DataFrame:
     names = list(S.CREDIT_CATEGORICAL)
     return rounded(total_variation(stored_real(spark, sf, "credit"), stored_fixed(spark, sf, "credit"), names))
@@ -228,11 +240,12 @@ def auc_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(auc_binary(scored, "y", "l_extendedprice", by="l_linestatus"))
 
 
-def distances(name: str, spark: SparkSession, sf: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+def distances(name: str, spark: SparkSession, sf: str, tile_rows: int = TILE_ROWS, fanout: int = FANOUT) -> DataFrame:
     target = spec(name).label
     return distance_to_closest_record(
-        stored_real(spark, sf, name), stored_fixed(spark, sf, name), spec(name).categorical, ignore=[target], tile_rows=tile_rows
-    )
+        stored_real(spark, sf, name), stored_fixed(spark, sf, name), spec(name).categorical, ignore=[target],
+        tile_rows=tile_rows, fanout=fanout,
+    )
 
 
 def ranged_sums(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,6 +296,24 @@ def mapped(spark: SparkSession, sf: str) -> DataFrame:
     return CodeBook.fit(stored_real(spark, sf, "adult"), S.ADULT_CATEGORICAL).encode(typed(spark, sf, "adult"))
 
 
+def joined_book(spark: SparkSession, sf: str) -> CodeBook:
+    """A code book whose columns are replaced by shuffled joins, and whose values are numbered by ranges."""
+    return CodeBook.fit(stored_real(spark, sf, "adult"), S.ADULT_CATEGORICAL, literal_bound=0, broadcast_rows=0, window_rows=0)
+
+
+def code_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return joined_book(spark, sf).support_rows()
+
+
+def mapped_by_join(spark: SparkSession, sf: str) -> DataFrame:
+    return joined_book(spark, sf).encode(materialize(typed(spark, sf, "adult"), "typed"))
+
+
+def unmapped_by_join(spark: SparkSession, sf: str) -> DataFrame:
+    book = joined_book(spark, sf)
+    return book.decode(materialize(book.encode(materialize(typed(spark, sf, "adult"), "typed")), "mapped"))
+
+
 def unmapped(spark: SparkSession, sf: str) -> DataFrame:
     book = CodeBook.fit(stored_real(spark, sf, "adult"), S.ADULT_CATEGORICAL)
     return book.decode(book.encode(typed(spark, sf, "adult")))
@@ -393,6 +424,7 @@ def all_queries() -> dict[str, Query]:
         "auc_binary": auc_ties,
         "auc_lineitem": auc_lineitem,
         "dcr_rows_cells_credit": lambda spark, sf: rounded(distances("credit", spark, sf, tile_rows=1000)),
+        "dcr_rows_levels_heloc": lambda spark, sf: rounded(distances("heloc", spark, sf, tile_rows=1000, fanout=6)),
         "prefix_sums_ranged": ranged_sums,
         "dcr_summary": lambda spark, sf: rounded(describe(distances("credit", spark, sf))),
         "tstr_report": utility,
@@ -402,7 +434,11 @@ def all_queries() -> dict[str, Query]:
         "partial_row_prompts": partial_prompts,
         "code_map": code_map,
         "code_support": code_support,
+        "code_support_rows": code_rows,
         "map_values": mapped,
+        "map_values_joined": mapped_by_join,
+        "unmap_values_joined": unmapped_by_join,
+        "revision_by_position": revision_placed,
         "unmap_values": unmapped,
         "csv_rows": csv_rows,
         "balanced_prompts": prompts,

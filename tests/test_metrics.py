@@ -70,7 +70,9 @@ def _clusters(rng, n):
     )
 
 
-def test_pruned_tiles_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("tile_rows", "fanout"), [(100, 256), (20, 4), (1, 2)])
+def test_pruned_tiles_match_brute_force(spark, monkeypatch, tile_rows, fanout):
+    """One level, several levels, and more levels than the tree may have."""
     rng = np.random.default_rng(0)
     real, synth = _clusters(rng, 900), _clusters(rng, 300)
     synth.loc[5, ["a", "b", "c"]] = real.loc[7, ["a", "b", "c"]]
@@ -80,11 +82,28 @@ def test_pruned_tiles_match_brute_force(spark, monkeypatch):
         low, width = real[name].min(), real[name].max() - real[name].min()
         total += ((synth[name].to_numpy(float)[:, None] - real[name].to_numpy(float)[None]) / width) ** 2
     expected = np.sqrt(total.min(axis=1) / 3)
-    monkeypatch.setattr(neighbors, "TILE_ROWS", 100)
     monkeypatch.setattr(neighbors, "PROBE_ROWS", 60)
-    found = distance_to_closest_record(spark.createDataFrame(real), spark.createDataFrame(synth))
+    monkeypatch.setattr(neighbors, "NODE_ROWS", 150)
+    monkeypatch.setattr(neighbors, "LEVELS", 4)
+    found = distance_to_closest_record(
+        spark.createDataFrame(real), spark.createDataFrame(synth), tile_rows=tile_rows, fanout=fanout, compared=True
+    )
     found = found.orderBy("_row_id").toPandas()
-    assert np.allclose(found["dcr"], expected, atol=1e-9) and found["dcr"][5] == 0.0
+    assert np.allclose(found["dcr"], expected, atol=1e-9) and found["dcr"][5] == 0.0 and found["compared"][5] == 0
+    assert found["compared"].sum() < 0.6 * len(real) * len(synth)
+
+
+def test_cells_stay_below_a_tile(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([([float(a), float(b)], ["k"]) for a, b in rng.normal(size=(3000, 2))], "x array<double>, k array<string>")
+    tree = neighbors._Tree(rows, 3000, tile_rows=50, fanout=8)
+    assert len(tree.levels) > 2
+    sizes = {r.cell: r.n for r in tree.leaves.collect()}
+    assert max(sizes.values()) <= 50 and sum(sizes.values()) == 3000
+    assert {r.cell: r["count"] for r in tree.placed.groupBy("cell").count().collect()} == sizes
+    levels = [[(r.cell, r.parent, r.leaf) for r in nodes.collect()] for nodes in tree.levels]
+    for above, nodes in zip(levels, levels[1:], strict=False):
+        assert {p for _, p, _ in nodes} == {c for c, _, leaf in above if not leaf}
 
 
 def test_tstr(spark):

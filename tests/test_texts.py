@@ -1,8 +1,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tabloom.operators import codebook
+from tabloom.operators import codebook, lookups
 from tabloom.operators.codebook import CodeBook, code_capacity, code_text, csv_line
 from tabloom.operators.codec import TextCodec, TextConfig, format_value
 from tabloom.operators.constraints import constraint_summary
@@ -54,7 +55,7 @@ def test_codes(spark, monkeypatch):
     expected = sorted(map(str, df.selectExpr("t", "CAST(n AS STRING) AS n").collect()))
     assert sorted(map(str, book.decode(book.encode(df)).collect())) == expected
     assert book.known_only(df).count() == 2
-    # The same through joins, broadcast and salted.
+    # The same through joins, broadcast and dealt out by key.
     monkeypatch.setattr(codebook, "LITERAL_BOUND", 0)
     joined = CodeBook.fit(df, ["t", "n"])
     assert not joined.literal and joined.encode(df).exceptAll(book.encode(df)).isEmpty()
@@ -64,6 +65,19 @@ def test_codes(spark, monkeypatch):
         CodeBook.fit(spark.range(code_capacity(1) + 1).selectExpr("id"), ["id"], code_length=1)
 
 
+def test_heavy_keys_are_dealt_out(spark):
+    """One key in half of the rows: all its rows find their entry, from many tasks, and light keys take one part."""
+    rows = spark.range(20_000).selectExpr("id", "IF(id % 2 = 0, 'hot', IF(id % 7 = 0, NULL, CAST(id % 3000 AS STRING))) AS k")
+    heavy = lookups.heavy_keys(rows, {"k": ["k"], "none": ["id"]})
+    assert len(heavy["k"]) == 2 and max(heavy["k"].values()) >= 500 and not heavy["none"]
+    table = rows.filter("k IS NOT NULL").select("k").distinct().withColumn("v", F.concat(F.lit("v"), "k"))
+    spread = F.col("id")
+    for how in ("inner", "left"):
+        joined = lookups.lookup_join(rows, table, ["k"], spread, 10, how, broadcast_rows=0)
+        assert joined.exceptAll(rows.join(table, "k", how).select(*joined.columns)).isEmpty()
+        assert joined.count() == rows.count() - (rows.filter("k IS NULL").count() if how == "inner" else 0)
+
+
 def test_csv_line(spark):
     df = spark.createDataFrame([("x,y", None, 'q"r')], "a string, b string, c string")
     assert df.selectExpr(csv_line(df.schema, df.columns)).first()[0] == '"x,y",,"q""r"'
