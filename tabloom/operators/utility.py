@@ -16,11 +16,12 @@ from ..functions.columns import c, is_text, key_text, literal
 from ..functions.numeric import num
 from ..session import at_most
 from .fidelity import auc_binary
+from .ridge import Ridge, fit_ridge
 from .sampling import FEW_VALUES, ROW_ID
 from .schema import columns_with_few_values
 
-#: One coefficient per category is kept on the driver, so their number is checked.
-MAX_CATEGORIES = 5_000_000
+#: Up to so many categories their coefficients are kept on the driver; beyond that they are a table.
+DRIVER_CATEGORIES = 100_000
 #: Training rows per partition, at least.
 ROWS_PER_PARTITION = 25_000
 
@@ -30,7 +31,7 @@ def target_classes(train: DataFrame, test: DataFrame, target: str) -> list[str]:
     both = train.selectExpr(f"{key_text(train.schema, target)} AS y").union(test.selectExpr(f"{key_text(test.schema, target)} AS y"))
     found = sorted(row["y"] for row in both.filter("y IS NOT NULL").distinct().limit(3).collect())
     if len(found) != 2:
-        raise ValueError(f"Expected a binary target, got classes={found}")
+        raise ValueError(f"{target} must have two classes, not {len(found)} or more: {found}")
     return found
 
 
@@ -41,19 +42,21 @@ class Design:
     categorical: list[str]
     numeric: list[str]
     centre: dict[str, tuple[float, float]]
+    #: Whether the number of categories is within the bound of the driver.
+    few: bool = True
 
     @classmethod
-    def fit(cls, train: DataFrame, target: str, key: str) -> Design:
+    def fit(cls, train: DataFrame, target: str, key: str, driver_categories: int = DRIVER_CATEGORIES) -> Design:
         names = [n for n in train.columns if n not in (target, key)]
         numbers = [n for n in names if not is_text(train.schema[n].dataType)]
         few = columns_with_few_values(train, numbers, FEW_VALUES)
         categorical = [n for n in names if n not in numbers or n in few]
         numeric = [n for n in names if n not in categorical]
+        bounded = True
         if categorical:
             cells = train.selectExpr(*[f"{key_text(train.schema, n)} AS v{i}" for i, n in enumerate(categorical)])
             levels = cells.unpivot([], cells.columns, "column", "value").distinct()
-            if not at_most(levels, MAX_CATEGORIES):
-                raise ValueError(f"More than {MAX_CATEGORIES} categories in {categorical}")
+            bounded = at_most(levels, driver_categories)
         centre = {}
         if numeric:
             stats = train.selectExpr(
@@ -63,7 +66,7 @@ class Design:
             for i, n in enumerate(numeric):
                 mean, std = stats[f"m{i}"], stats[f"s{i}"]
                 centre[n] = (mean or 0.0, std if std and std > 0 else 1.0)
-        return cls(categorical, numeric, centre)
+        return cls(categorical, numeric, centre, bounded)
 
     def columns(self, df: DataFrame, target: str, positive: str) -> DataFrame:
         """Label 0/1 in ``y``, categories as text, numbers standardised with missing as the mean."""
@@ -95,12 +98,26 @@ class Design:
 
 
 def fit_scores(
-    train: DataFrame, test: DataFrame, target: str, l2: float = 1e-4, max_iter: int = 200, key: str = ROW_ID
-) -> tuple[DataFrame, PipelineModel]:
-    """``y, score`` of the test rows under a ridge logistic model of the training rows."""
+    train: DataFrame,
+    test: DataFrame,
+    target: str,
+    l2: float = 1e-4,
+    max_iter: int = 200,
+    key: str = ROW_ID,
+    driver_categories: int = DRIVER_CATEGORIES,
+) -> tuple[DataFrame, PipelineModel | Ridge]:
+    """``y, score`` of the test rows under a ridge logistic model of the training rows.
+
+    Both solvers minimise the same function by L-BFGS; which one runs depends on the number of categories alone.
+    """
     positive = target_classes(train, test, target)[1]
-    design = Design.fit(train.filter(c(target).isNotNull()), target, key)
+    design = Design.fit(train.filter(c(target).isNotNull()), target, key, driver_categories)
     rows = design.columns(train, target, positive)
+    if not design.few:
+        categories, numbers = ([f"{tag}{i}" for i in range(len(n))] for tag, n in (("c", design.categorical), ("n", design.numeric)))
+        wide = fit_ridge(rows, "y", categories, numbers, l2, max_iter)
+        scored = wide.scores(design.columns(test, target, positive), categories, numbers, ["y"])
+        return scored.select(F.col("y").cast("int").alias("y"), "score"), wide
     # Every solver step is a job over all partitions, so small tables get few of them.
     rows = rows.coalesce(max(1, math.ceil(train.count() / ROWS_PER_PARTITION)))
     model = design.pipeline(l2, max_iter).fit(rows)
@@ -116,6 +133,7 @@ def tstr_report(
     l2: float = 1e-4,
     max_iter: int = 200,
     key: str = ROW_ID,
+    driver_categories: int = DRIVER_CATEGORIES,
 ) -> DataFrame:
     """One row: AUC on real test rows of models trained on synthetic and on real rows.
 
@@ -123,7 +141,7 @@ def tstr_report(
     """
     scored = None
     for name, train in (("synthetic", synthetic_train), ("real", real_train)):
-        part, _ = fit_scores(train, real_test, target, l2, max_iter, key)
+        part, _ = fit_scores(train, real_test, target, l2, max_iter, key, driver_categories)
         part = part.withColumn("model", F.lit(name))
         scored = part if scored is None else scored.unionByName(part)
     aucs = auc_binary(scored, "y", "score", by="model")

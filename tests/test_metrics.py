@@ -4,10 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tabloom.operators import neighbors
+from tabloom.operators import neighbors, ridge, utility
 from tabloom.operators.fidelity import auc_binary, column_similarity, similarity_mean
 from tabloom.operators.neighbors import describe, distance_to_closest_record
-from tabloom.operators.revision import revision_in_place, revision_report
+from tabloom.operators.revision import revision_by_position, revision_in_place, revision_report, with_position
+from tabloom.operators.ridge import Ridge
 from tabloom.operators.sampling import ROW_ID
 from tabloom.operators.schema import coerce_to_schema
 from tabloom.operators.utility import tstr_report
@@ -137,3 +138,79 @@ def test_revision_in_place_equals_the_join(spark, small):
     assert "Join" not in plan and "hashpartitioning" not in plan
     with pytest.raises(ValueError, match="loses"):
         revision_in_place(before, lambda df: df.drop("MaxDelqEver"))
+
+
+def test_revision_by_position(spark, tmp_path):
+    """Files and pieces in stored order, whatever tasks read them; later rows of a shortened table meet other rows."""
+    rows = pd.DataFrame({"x": np.arange(5000), "t": [f"t{i % 7}" for i in range(5000)]})
+    for k in range(4):
+        rows[k * 1250 : (k + 1) * 1250].to_csv(tmp_path / f"part-{k}.csv", index=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        before = spark.read.csv(str(tmp_path), header=True, schema="x long, t string")
+        placed = with_position(before).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r._position, r.x) for r in placed) == [(i, i) for i in range(5000)]
+    after = before.filter("x < 3000 OR x > 3001").selectExpr("x + IF(x % 10 = 0, 1000, 0) AS x", "IF(x = 4, NULL, t) AS t")
+    r = revision_by_position(before, after).first()
+    x, t = rows["x"].to_numpy(), rows["t"].to_numpy()
+    kept = (x < 3000) | (x > 3001)
+    moved, texts = (x + np.where(x % 10 == 0, 1000, 0))[kept], np.where(x == 4, None, t)[kept]
+    cells = ~np.isclose(x[:4998], moved)
+    words = t[:4998] != texts
+    assert (r.n_rows_before, r.n_rows_after, r.compared_cells) == (5000, 4998, 4998 * 2)
+    assert (r.revised_cells, r.revised_rows) == (cells.sum() + words.sum(), (cells | words).sum())
+    plain = revision_by_position(spark.createDataFrame([(1,), (2,)], "x int"), spark.createDataFrame([(1,), (3,), (4,)], "x int")).first()
+    assert (plain.revised_rows, plain.added_row_rate) == (1, pytest.approx(1 / 3))
+    assert revision_by_position(before.limit(0), before.limit(0)).first().n_rows_before == 0
+
+
+def test_table_solver_finds_the_minimum(spark):
+    """Coefficients in a table, with categories that only the test has, missing cells and a hot value: the scores are
+    those of Newton's method, and the dense solver's to its own tolerance."""
+    rng = np.random.default_rng(7)
+    n = 400
+    kind = np.where(rng.random(n) < 0.5, "hot", np.char.add("k", rng.integers(0, 25, n).astype(str)))
+    number = rng.normal(size=n)
+    signal = number + (kind == "hot") * 1.5 - np.char.str_len(kind) * 0.3 + rng.normal(size=n)
+    rows = pd.DataFrame({"_row_id": np.arange(n), "k": kind, "x": number, "y": np.where(signal > 0, "q", "p")})
+    rows.loc[::17, "k"] = None
+    rows.loc[350:370, "k"] = "never seen"
+    df = spark.createDataFrame(rows)
+    train, test = df.filter("_row_id < 300"), df.filter("_row_id >= 300")
+    by_bound = {}
+    for bound in (100_000, 0):
+        scored, model = utility.fit_scores(train, test, "y", l2=1e-2, max_iter=60, driver_categories=bound)
+        by_bound[bound] = np.sort([r.score for r in scored.collect()])
+    assert isinstance(model, Ridge) and model.passes < 60
+
+    old, new = rows[:300], rows[300:]
+    levels = sorted(old["k"].dropna().unique())
+    mean, std = old["x"].mean(), old["x"].std()
+    features = lambda t: np.column_stack([(t["x"] - mean) / std, *[(t["k"] == k) for k in levels], np.ones(len(t))]).astype(float)
+    x, y, w = features(old), (old["y"] == "q").to_numpy(float), np.zeros(len(levels) + 2)
+    ridge_part = np.diag([1e-2] * (len(w) - 1) + [0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x / 300 + ridge_part, x.T @ (p - y) / 300 + ridge_part @ w)
+    exact = np.sort(1 / (1 + np.exp(-features(new) @ w)))
+    assert np.abs(by_bound[0] - exact).max() < 2e-3 and np.abs(by_bound[100_000] - exact).max() < 2e-2
+
+
+def test_direction_is_that_of_two_loops():
+    rng = np.random.default_rng(2)
+    k, n = 3, 10
+    s, g = rng.normal(size=(k, n)), rng.normal(size=n)
+    a = rng.normal(size=(n, n))
+    y = s @ (a @ a.T + np.eye(n))
+    basis = np.vstack([s, y, g])
+    got = ridge._direction(basis @ basis.T, k) @ basis
+    q, alpha = -g.copy(), np.zeros(k)
+    for i in reversed(range(k)):
+        alpha[i] = s[i] @ q / (s[i] @ y[i])
+        q -= alpha[i] * y[i]
+    q *= (s[-1] @ y[-1]) / (y[-1] @ y[-1])
+    for i in range(k):
+        q += s[i] * (alpha[i] - y[i] @ q / (s[i] @ y[i]))
+    assert np.allclose(got, q)
