@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +69,25 @@ def rounds_needed(n: int, rows_per_prompt: int) -> int:
     return math.ceil(n / max(rows_per_prompt, 1) * 2)
 
 
+def _answered(spark: SparkSession, ledger: str, rounds: tuple[int, int], answer: Callable[[], DataFrame]) -> DataFrame:
+    """Replies of a batch of rounds: those in the ledger, or new ones that are entered there.
+
+    A batch counts as answered once its line is in the ledger's list, which is written after the replies: what a cut
+    run has left behind is not read, and the next attempt writes to a folder of its own.
+    """
+    try:
+        lines = spark.read.schema("first long, end long, path string").parquet(f"{ledger}/answered")
+        known = lines.filter((F.col("first") == rounds[0]) & (F.col("end") == rounds[1])).agg(F.min("path")).first()[0]
+    except AnalysisException:  # no ledger yet
+        known = None
+    if known is None:
+        known = f"{ledger}/replies-{rounds[0]}-{rounds[1]}-{uuid.uuid4().hex}"
+        answer().write.parquet(known)
+        line = spark.range(1).select(F.lit(rounds[0]).alias("first"), F.lit(rounds[1]).alias("end"), F.lit(known).alias("path"))
+        line.select(F.col("first").cast("long"), F.col("end").cast("long"), "path").write.mode("append").parquet(f"{ledger}/answered")
+    return spark.read.parquet(known)
+
+
 def generate(
     builder: PromptBuilder,
     df: DataFrame,
@@ -75,9 +96,13 @@ def generate(
     constraints: Sequence[Constraint] = (),
     drop_unknown: bool = True,
     max_rounds: int = 50,
+    ledger: str | None = None,
 ) -> DataFrame:
     """Prompt, parse and filter until ``n_samples`` rows exist or the rounds run out.
 
+    With a ``ledger`` (a folder that driver and executors share), replies are kept there, and a run that is started
+    again with the same arguments reads the rounds that were answered instead of asking for them once more.
+
     Rounds go out in batches sized for what is still missing. The result has
     ``round, line_no`` and the typed columns: the first ``n_samples`` valid rows
     in generation order.
@@ -88,7 +113,8 @@ def generate(
     while have < n_samples and done < max_rounds:
         size = min(math.ceil((n_samples - have) / per_round), max_rounds - done, MAX_ROUNDS_PER_BATCH)
         asked = builder.prompts(df, (done, done + size))
-        replies = materialize(responder(asked, (done, done + size)).select("round", "reply"), "replies")
+        answer = lambda rounds=(done, done + size), asked=asked: responder(asked, rounds).select("round", "reply")
+        replies = materialize(answer(), "replies") if ledger is None else _answered(df.sparkSession, ledger, (done, done + size), answer)
         rows = materialize(
             builder.postprocess(builder.parse(replies), constraints, drop_unknown), "generated"
         )

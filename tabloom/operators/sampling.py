@@ -84,25 +84,26 @@ def balanced_draws(
 ) -> DataFrame:
     """Row ids for every (round, set, class): ``round, set, class, draw`` and the key.
 
-    A class with enough rows gives ``per_class`` different ones: consecutive
-    positions of its random order from a random start. A smaller class is drawn
-    with replacement. The table is ranked once, on key and label only, however
-    many rounds are asked for.
+    A class with enough rows gives ``per_class`` different ones, any subset of
+    them as likely as any other, whatever other sets have drawn: the i-th draw
+    is a position below ``size - per_class + i + 1``, or the last of these if it
+    is taken already (Floyd's sampling). A smaller class is drawn with
+    replacement. The table is ranked once, on key and label only, however many
+    rounds are asked for.
     """
     first, end = rounds
     sizes = class_counts(df, label).agg(F.sort_array(F.collect_list(F.struct("_text", "_class", "_size"))))
-    slots = df.sparkSession.range((end - first) * sets * per_class).selectExpr(
-        f"id % {per_class} AS draw",
-        f"id div {per_class} % {sets} AS set",
-        f"id div {per_class * sets} + {first} AS round",
-    )
+    slots = df.sparkSession.range((end - first) * sets).selectExpr(f"id % {sets} AS set", f"id div {sets} + {first} AS round")
     slots = slots.withColumn("_sizes", sizes.scalar()).withColumn("_s", F.explode("_sizes"))
-    start = hex_word(hash_hex("round", "set", "_s._text", seed))
-    again = hex_word(hash_hex("round", "set", "_s._text", "draw", seed))
-    position = f"CASE WHEN _s._size >= {per_class} THEN {start} + draw ELSE {again} END"
-    slots = slots.selectExpr(
-        "round", "set", "_s._class AS class", "draw", f"pmod({position}, _s._size) AS _index"
-    )
+    last = f"(_s._size - {per_class} + i)"
+    spot = f"pmod({hex_wide(hash_hex('round', 'set', '_s._text', 'i', seed))}, {last} + 1)"
+    different = f"array_append(taken, CASE WHEN array_contains(taken, {spot}) THEN {last} ELSE {spot} END)"
+    places = f"sequence(0L, {per_class - 1}L)"
+    subset = f"aggregate({places}, CAST(array() AS ARRAY<BIGINT>), (taken, i) -> {different})"
+    again = f"transform({places}, i -> pmod({hex_word(hash_hex('round', 'set', '_s._text', 'i', seed))}, _s._size))"
+    picked = F.expr(f"CASE WHEN _s._size >= {per_class} THEN {subset} ELSE {again} END")
+    slots = slots.select("round", "set", F.col("_s._class").alias("class"), F.posexplode(picked).alias("draw", "_index"))
+    slots = slots.withColumn("draw", F.col("draw").cast("long"))
     ranked = dense_index(
         df.filter(c(label).isNotNull()).select(c(key), c(label).alias("class")), key, seed, by="class"
     )

@@ -426,19 +426,26 @@ def split(test: bool) -> str:
 
 def drawn(label: str, rounds: int, sets: int, k: int, seed: int) -> list[tuple[str, str]]:
     """CTE ``draws`` over ``ranked``: class-balanced row ids."""
-    start = word(hashed('"round"', '"set"', "class", str(seed)))
-    again = word(hashed('"round"', '"set"', "class", "draw", str(seed)))
+    wide = "('0x' || substr(" + hashed('"r"', '"s"', "class", "x[1]", str(seed)) + ", 1, 15))::BIGINT"
+    again = word(hashed('"r"', '"s"', "class", "d", str(seed)))
+    last = f"(size - {k} + x[1])"
+    spot = f"({wide} % ({last} + 1))"
+    subset = (
+        f"list_reduce(list_prepend([]::BIGINT[], list_transform(range({k}), lambda d: [d])), "
+        f"lambda taken, x: list_append(taken, CASE WHEN list_contains(taken, {spot}) THEN {last} ELSE {spot} END))"
+    )
     return [
         ("sizes", f"SELECT {label} AS class, count(*) AS size FROM ranked WHERE {label} IS NOT NULL GROUP BY 1"),
         (
             "slots",
-            f'SELECT r AS "round", s AS "set", class, d AS draw, size FROM range({rounds}) a(r), range({sets}) b(s), '
-            f"range({k}) c(d), sizes",
+            f'SELECT r AS "round", s AS "set", class, CASE WHEN size >= {k} THEN {subset} '
+            f"ELSE list_transform(range({k}), lambda d: {again} % size) END AS spots "
+            f"FROM range({rounds}) a(r), range({sets}) b(s), sizes",
         ),
         (
             "draws",
-            f'SELECT "round", "set", p.class, draw, k._row_id FROM (SELECT *, (CASE WHEN size >= {k} THEN {start} + draw '
-            f"ELSE {again} END) % size AS i FROM slots) p JOIN ranked k ON k.{label} = p.class AND k._index = p.i",
+            f'SELECT "round", "set", p.class, draw, k._row_id FROM (SELECT * EXCLUDE (spots), unnest(range({k})) AS draw, '
+            f"unnest(spots) AS i FROM slots) p JOIN ranked k ON k.{label} = p.class AND k._index = p.i",
         ),
     ]
 

@@ -107,6 +107,21 @@ def test_draws(spark):
     assert drawn.count() == 100 and set(ids(drawn)) <= set(range(40))
 
 
+def test_draws_are_independent(spark):
+    """Every pair of rows meets as often as in uniform draws, neighbours of one order no more than others."""
+    df = spark.range(10).selectExpr("id AS _row_id", "'c' AS y")
+    rows = balanced_draws(df, "y", per_class=3, sets=1, rounds=(0, 3000)).collect()
+    drawn = {}
+    for r in rows:
+        drawn.setdefault(r["round"], set()).add(r[ROW_ID])
+    assert len(drawn) == 3000 and all(len(x) == 3 for x in drawn.values())
+    pairs = [sum(a in x and b in x for x in drawn.values()) for a in range(10) for b in range(a)]
+    # 3000 draws of 3 of 10: each of the 45 pairs in 200 of them, with a deviation of 13.7.
+    assert max(abs(n - 200) for n in pairs) < 60 and sum((n - 200) ** 2 / 200 for n in pairs) < 80
+    singles = [sum(a in x for x in drawn.values()) for a in range(10)]
+    assert max(abs(n - 900) for n in singles) < 110
+
+
 def test_quota(spark):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
     assert [tuple(r) for r in class_quota(df, "k", 10).orderBy("class").collect()] == [("a", 3), ("b", 3), ("c", 4)]

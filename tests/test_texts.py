@@ -65,6 +65,33 @@ def test_codes(spark, monkeypatch):
         CodeBook.fit(spark.range(code_capacity(1) + 1).selectExpr("id"), ["id"], code_length=1)
 
 
+def test_generation_resumes(spark, tmp_path):
+    """A run that is cut between rounds asks only for the rest when it is started again, and gives the same rows."""
+    rows = views.real(spark, "/root/testdata/sf0.001", "credit")
+    builder = PromptBuilder.fit(rows, PromptConfig(S.CREDIT_LABEL, n_samples_per_class=2, n_sets=1, generated_rows_per_prompt=10), S.CREDIT_CATEGORICAL)
+    answer, asked = table_responder(rows, builder, 4, seed=3), []
+
+    def cut(prompts, rounds):
+        if asked:
+            raise RuntimeError("cut")
+        asked.append(rounds)
+        return answer(prompts, rounds)
+
+    def whole(prompts, rounds):
+        asked.append(rounds)
+        return answer(prompts, rounds)
+
+    ledger = str(tmp_path / "ledger")
+    with pytest.raises(RuntimeError):
+        generate(builder, rows, cut, 20, ledger=ledger)
+    first = list(asked)
+    made = generate(builder, rows, whole, 20, ledger=ledger)
+    assert len(asked) > 1 and first[0] not in asked[1:] and made.count() == 20
+    again = len(asked)
+    assert generate(builder, rows, whole, 20, ledger=ledger).exceptAll(made).isEmpty() and len(asked) == again
+    assert generate(builder, rows, answer, 20).exceptAll(made).isEmpty()
+
+
 def test_heavy_keys_are_dealt_out(spark):
     """One key in half of the rows: all its rows find their entry, from many tasks, and light keys take one part."""
     rows = spark.range(20_000).selectExpr("id", "IF(id % 2 = 0, 'hot', IF(id % 7 = 0, NULL, CAST(id % 3000 AS STRING))) AS k")
