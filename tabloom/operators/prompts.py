@@ -85,7 +85,7 @@ class PromptBuilder:
         """``round, prompt`` for every round in the half-open range."""
         cfg = self.config
         if not self.book.sizes.get(cfg.target):
-            raise ValueError("No target classes found for prompt construction")
+            raise ValueError(f"{cfg.target} has no values to draw examples of")
         draws = balanced_draws(
             df, cfg.target, cfg.n_samples_per_class, cfg.n_sets, rounds, cfg.seed if seed is None else seed, self.key
         )

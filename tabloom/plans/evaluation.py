@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection, Sequence
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def evaluate_run(
     try:
         # Stored here, so that a failure of its jobs is met here too.
         utility = materialize(tstr_report(train, fixed, test, target, key=key).select("*", no_error), "utility")
-    except Exception as failure:  # noqa: BLE001 - one failed part must not cost the whole report
+    except (ValueError, AnalysisException, IllegalArgumentException) as failure:  # of the model, not of the cluster
         utility = train.sparkSession.createDataFrame(
             [(None, None, None, None, None, None, str(failure))],
             "synthetic_auc double, real_auc double, n_train_synthetic bigint, n_train_real bigint, "

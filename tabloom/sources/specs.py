@@ -139,13 +139,13 @@ class TableSpec:
     rules: Callable[[str], list[Constraint]]
     repair: Callable[[DataFrame, str], DataFrame]
     aliases: Mapping[str, str] = field(default_factory=dict)
+    #: Columns of numbers with fractions.
+    doubles: tuple[str, ...] = ()
 
     @property
     def schema(self) -> T.StructType:
-        whole = set(self.integers)
-        return T.StructType(
-            [T.StructField(n, T.LongType() if n in whole else T.StringType()) for n in self.columns]
-        )
+        kinds = {n: T.LongType() for n in self.integers} | {n: T.DoubleType() for n in self.doubles}
+        return T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in self.columns])
 
     def constraints(self) -> list[Constraint]:
         return self.rules(self.label)

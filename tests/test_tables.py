@@ -23,6 +23,23 @@ def ids(df, name=ROW_ID):
     return sorted(r[0] for r in df.select(name).collect())
 
 
+def test_tables_by_name(spark, small, tmp_path):
+    rows = views.view(spark, small, "heloc").filter("RiskPerformance IN ('Good', 'Bad')").limit(10)
+    rows.select(*S.HELOC_COLUMNS).toPandas().astype(str).to_csv(tmp_path / "heloc.csv", index=False)
+    loaded, spec = readers.load_table(spark, "heloc", str(tmp_path / "heloc.csv"))
+    assert spec is HELOC and loaded.columns == list(S.HELOC_COLUMNS)
+    assert sorted(map(tuple, loaded.collect())) == sorted(map(tuple, readers.load_heloc(spark, str(tmp_path)).collect()))
+    with pytest.raises(ValueError, match="nope"):
+        readers.load_table(spark, "nope", "")
+
+
+def test_spec_with_doubles(spark):
+    own = S.TableSpec("own", ("k", "n", "x"), "k", ("k",), ("n",), lambda key: [], lambda df, key: df, doubles=("x",))
+    assert [f.dataType.simpleString() for f in own.schema] == ["string", "bigint", "double"]
+    row = coerce_to_schema(spark.createDataFrame([("a", "2.0", "2.5"), ("b", "x", None)], "k string, n string, x string"), own.schema)
+    assert sorted(map(tuple, row.collect())) == [("a", 2, 2.5), ("b", None, None)]
+
+
 def test_heloc_layouts(spark, small, tmp_path):
     rows = views.view(spark, small, "heloc").filter("RiskPerformance IN ('Good', 'Bad')").limit(10)
     table = rows.select(*S.HELOC_COLUMNS).toPandas().astype(str)
