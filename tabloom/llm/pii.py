@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Seeds are the entities that the base rules find. The two words before a seed are a lexical pattern; tokens with digits
-or @ that follow the same words are instances of it. Scores run to and fro over the pattern-instance graph for some
-rounds, and instances of trusted patterns become further spans.
+Seeds are the entities that the base rules find, and tokens of the shape of a secret (a long mix of digits and letters).
+What stands before a seed is a lexical pattern: the two words there with their marks, or one word with an assignment
+mark. Tokens with digits or @ in the same place are instances of it. Scores run to and fro over the pattern-instance
+graph until they settle, and instances of trusted patterns become further spans.
 """
 
 from __future__ import annotations
@@ -10,10 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import BLANKS, keyed_rows
+from tabloom.llm.common import keyed_rows
 from tabloom.session import materialize
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+
+#: Characters of a token, and of a word of a pattern.
+_TOKEN, _WORD = r"\p{L}\p{N}_@+./-", r"\p{L}\p{N}_"
 
 #: The base rules. Repeats are possessive and starts are pinned to the start of a run (or the end of the last match),
 #: which finds the same matches without going back, so long runs cost linear time and no stack.
@@ -23,16 +28,21 @@ RULES = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # Any token with a digit or @: what patterns may discover.
-    "token": rf"(?<![^{BLANKS}])(?=[^{BLANKS}]*[0-9@])[^{BLANKS}]++",
+    "token": rf"(?<![{_TOKEN}])(?=[{_TOKEN}]*[0-9@])[{_TOKEN}]++",
 }
 #: What a text must contain for its rule to be tried.
 NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "token": "[0-9@]"}
 
+#: Shape of a secret: hex digits or mixed letters and digits, 32 at least.
+SECRET = r"^(?=.*[0-9])(?:(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}|(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_/+-]{32,})$"
+
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_CONTEXT = rf"([^{BLANKS}]{{1,30}})[{BLANKS}]+([^{BLANKS}]{{1,30}})[{BLANKS}]*$"
+#: What stands before a match, read backwards: marks, a word, marks, a word.
+_BEFORE = rf"^([^{_WORD}]*+)([{_WORD}]++)(?:([^{_WORD}]++)([{_WORD}]++))?"
 
-#: Rounds of scoring; what a pattern needs: score, and different instances that are seeds or nearly so.
-ROUNDS, TRUST, SUPPORT = 3, 0.7, 3
+#: Change of a pattern's score below which scores have settled; what a pattern needs: score, different seeds, and the
+#: share of its occurrences that are seeds.
+SETTLED, TRUST, SUPPORT, SHARE = 0.001, 0.7, 3, 0.1
 
 
 def _digits(value: Column) -> Column:
@@ -61,59 +71,81 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
+def _contexts(before: Column) -> Column:
+    """Patterns that end where ``before`` (turned around) begins; of marks, only assignments count."""
+    part = [F.regexp_extract(before, _BEFORE, i) for i in range(5)]
+    marks = [F.reverse(F.regexp_replace(part[i], "[^=:#]+", "")) for i in (1, 3)]
+    words = [F.lower(F.reverse(part[i])) for i in (2, 4)]
+    one = F.concat(words[0], marks[0])
+    two = F.concat(words[1], marks[1], F.lit(" "), one)
+    return F.array_compact(F.array(F.when(words[1] != "", two), F.when((words[0] != "") & (marks[0] != ""), one)))
+
+
 def _matches(kind: str, rank: int) -> Column:
-    """Of one rule, per match: length of the text between it and the match before, the words there, and its value."""
+    """Of one rule, per match: length of the text between it and the match before, its patterns, and its value."""
     text = F.col("text")
     between = F.split(text, RULES[kind], -1)
     values = F.regexp_extract_all(text, F.lit(RULES[kind]), F.lit(0))
 
     def row(value, i):
-        gap = F.get(between, i)
-        words = F.lower(F.substring(gap, -64, 64))
-        context = F.concat_ws(" ", F.regexp_extract(words, _CONTEXT, 1), F.regexp_extract(words, _CONTEXT, 2))
+        # Matches have a word each, so two of them hold the two words before, however short the gaps are.
+        pieces = [F.get(x, i - k) for k, x in ((2, between), (2, values), (1, between), (1, values), (0, between))]
+        before = F.concat(*[F.coalesce(x, F.lit("")) for x in pieces])
         return F.struct(
-            F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), i.alias("i"), F.length(gap).alias("gap"), context.alias("context"), value.alias("value")
+            F.lit(rank).alias("rank"),
+            F.lit(kind).alias("kind"),
+            i.alias("i"),
+            F.length(F.get(between, i)).alias("gap"),
+            _contexts(F.reverse(before)).alias("contexts"),
+            value.alias("value"),
         )
 
-    kind_type = "array<struct<rank:int,kind:string,i:int,gap:int,context:string,value:string>>"
+    kind_type = "array<struct<rank:int,kind:string,i:int,gap:int,contexts:array<string>,value:string>>"
     return F.when(text.rlike(NEEDS[kind]), F.transform(values, row)).otherwise(F.array()).cast(kind_type)
 
 
 def found_spans(texts: DataFrame) -> DataFrame:
-    """Valid base spans, and tokens that overlap none: row_id, rank, kind, start, end, context, value."""
+    """Valid base spans, and tokens that overlap none: row_id, rank, kind, start, end, contexts, value."""
     rules = F.concat(*[_matches(kind, rank) for rank, kind in enumerate(RULES)])
     spans = texts.filter(F.col("text").rlike("[0-9@]")).select("row_id", F.explode(rules).alias("m")).select("row_id", "m.*")
     before = Window.partitionBy("row_id", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("value")).over(before)
     spans = spans.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
     spans = spans.filter(_valid(F.col("kind"), F.col("value"))).drop("gap", "i")
-    by_start = Window.partitionBy("row_id").orderBy("start", "end", "rank")
+    # Marks around a token are not of it.
     is_base = F.col("kind") != "token"
-    last_end = F.max(F.when(is_base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    next_start = F.min(F.when(is_base, F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing))
-    spans = spans.withColumn("last_end", last_end).withColumn("next_start", next_start)
+    lead, trail = (F.when(is_base, 0).otherwise(F.length(F.regexp_extract("value", x, 0))) for x in ("^[@+./_-]+", "[@+./_-]+$"))
+    spans = spans.withColumns({"start": F.col("start") + lead, "end": F.col("end") - trail})
+    spans = spans.withColumn("value", F.when(is_base, F.col("value")).otherwise(F.regexp_replace("value", "^[@+./_-]+|[@+./_-]+$", "")))
+    spans = spans.filter("start < end")
+    columns = ("start", "end", "rank")
+    onward = Window.partitionBy("row_id").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy("row_id").orderBy(*[F.desc(x) for x in columns]).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("last_end", F.max(F.when(is_base, F.col("end"))).over(onward))
+    spans = spans.withColumn("next_start", F.min(F.when(is_base, F.col("start"))).over(backward))
     free = (F.coalesce("last_end", F.lit(0)) <= F.col("start")) & (F.coalesce("next_start", F.col("end")) >= F.col("end"))
     return spans.filter(is_base | free).drop("last_end", "next_start")
 
 
 def trusted_patterns(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Patterns (context, kind) that passed, and scores (value, score) of the instances.
+    """Patterns that passed (context, pattern_kind, pattern_score), and scores (value, score) of the instances.
 
     A seed scores 1. A pattern scores the mean of its occurrences' instances, with one more that scores 0; any other
-    instance scores as if each of its patterns were right by chance of its score, independently.
+    instance scores as if each of its patterns were right by chance of its score, independently. Scores start from the
+    seeds and only rise, so the rounds end.
     """
-    seed = F.when(F.col("kind") != "token", F.col("kind"))
-    edges = spans.filter(F.col("context").rlike(r"^\S+ \S+$")).groupBy("context", "value", seed.alias("seed")).agg(F.count("*").alias("n"))
-    edges = materialize(edges, "pii-edges")
+    seed = F.when(F.col("kind") != "token", F.col("kind")).when(F.col("value").rlike(SECRET), "secret")
+    occurrences = spans.select(F.explode("contexts").alias("context"), "value", seed.alias("seed"))
+    edges = materialize(occurrences.groupBy("context", "value", "seed").agg(F.count("*").alias("n")), "pii-edges")
     scores = edges.groupBy("value").agg(F.max(F.col("seed").isNotNull().cast("double")).alias("score"))
-    patterns = None
-    for _ in range(ROUNDS):
-        scored = edges.join(scores, "value")
-        sure = F.when(F.col("score") >= TRUST, F.col("value"))
-        patterns = materialize(
-            scored.groupBy("context").agg(
+    patterns, change = None, 1.0
+    while change > SETTLED:
+        seeds = F.col("seed").isNotNull()
+        last, patterns = patterns, materialize(
+            edges.join(scores, "value").groupBy("context").agg(
                 (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("pattern_score"),
-                F.count_distinct(sure).alias("support"),
+                F.sum(seeds.cast("long")).alias("support"),
+                (F.sum(F.when(seeds, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"),
                 *[F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS],
             ),
             "pii-patterns",
@@ -123,47 +155,50 @@ def trusted_patterns(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when(F.max(F.col("seed").isNotNull()), 1.0).otherwise(1 - F.exp(wrong)).alias("score")
         )
         scores = materialize(scores, "pii-scores")
+        if last is not None:
+            rise = F.max(F.col("pattern_score") - F.col("last_score"))
+            both = patterns.join(last.select("context", F.col("pattern_score").alias("last_score")), "context")
+            change = both.agg(rise).first()[0] or 0.0
     most = F.array_max(F.array(*[F.struct(F.col(k).alias("n"), F.lit(-i).alias("i")) for i, k in enumerate(KINDS)]))
     kind = F.get(F.array(*map(F.lit, KINDS)), -most["i"])
-    passed = patterns.filter((F.col("pattern_score") >= TRUST) & (F.col("support") >= SUPPORT) & (most["n"] > 0))
-    return passed.select("context", kind.alias("pattern_kind")), scores
+    passed = (F.col("pattern_score") >= TRUST) & (F.col("support") >= SUPPORT) & (F.col("share") >= SHARE)
+    return patterns.filter(passed).select("context", kind.alias("pattern_kind"), "pattern_score"), scores
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found.
+    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans.
 
     Counts and the digest are of the base rules; ``spans`` has the ``n_found`` further ones too, as kind:start:end in
-    code points. Null and empty texts have none; rows that repeat an id, or have none, are rows of their own. Other
+    code points, ``n_spans`` in all. A further one is of the kind of most seeds of its best pattern, or a secret by its
+    shape. Null and empty texts have none; rows that repeat an id, or have none, are rows of their own. Other
     columns are not read.
     """
     texts, names = keyed_rows(docs, id_col, text_col)
     spans = materialize(found_spans(texts), "pii-spans")
     patterns, scores = trusted_patterns(spans)
     base = spans.filter("kind != 'token'").select("row_id", "rank", "kind", "start", "end", F.lit(True).alias("base"))
-    tokens = spans.filter("kind = 'token'").join(patterns, "context").join(scores.filter(F.col("score") >= TRUST), "value")
-    more = tokens.select(
-        "row_id",
-        F.array_position(F.array(*map(F.lit, KINDS)), F.col("pattern_kind")).cast("int").alias("rank"),
-        F.col("pattern_kind").alias("kind"),
-        "start",
-        "end",
-        F.lit(False).alias("base"),
-    ).withColumn("rank", F.col("rank") - 1)
+    tokens = spans.filter("kind = 'token'").select("row_id", "start", "end", "value", F.explode("contexts").alias("context"))
+    tokens = tokens.join(patterns, "context").join(scores.filter(F.col("score") >= TRUST), "value")
+    best = F.max(F.struct("pattern_score", "context", "pattern_kind"))["pattern_kind"]
+    found = tokens.groupBy("row_id", "start", "end").agg(F.when(F.max(F.col("value").rlike(SECRET)), "secret").otherwise(best).alias("kind"))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    more = found.select("row_id", rank.alias("rank"), "kind", "start", "end", F.lit(False).alias("base"))
     every = base.union(more).withColumn("name", F.concat_ws(":", "kind", "start", "end"))
     entry = F.struct("start", "rank", "end", "name")
     sorted_names = [F.concat_ws(",", F.array_sort(F.collect_list(x))["name"]) for x in (F.when(F.col("base"), entry), entry)]
     grouped = every.groupBy("row_id").agg(
-        *[F.sum((F.col("base") & (F.col("kind") == k)).cast("long")).alias(f"n_{k}") for k in KINDS],
+        *[F.sum((F.col("base") & (F.col("kind") == k)).cast("long")).alias(f"n_{k}") for k in BASE_KINDS],
         sorted_names[0].alias("base_names"),
         sorted_names[1].alias("spans"),
         F.sum((~F.col("base")).cast("long")).alias("n_found"),
+        F.count("*").alias("n_spans"),
     )
     ids = texts.select("row_id") if names is None else names
     out = ids.join(grouped, "row_id", "left").select(
         *ids.columns,
-        *[F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS],
+        *[F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(F.coalesce("base_names", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
-        F.coalesce("n_found", F.lit(0).cast("long")).alias("n_found"),
+        *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("n_found", "n_spans")],
     )
     return out.withColumnRenamed("row_id", "doc_id") if names is None else out.drop("row_id")

@@ -1,0 +1,138 @@
+"""Contextual extraction against a brute-force graph, and on contexts of all kinds."""
+
+import math
+import re
+from collections import defaultdict
+
+import regex
+
+from tabloom.llm import pii
+
+SF = "/root/testdata/sf0.01"
+
+
+def found(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r for r in pii.personal_data(docs).collect()}
+
+
+CARDS = ["4111111111111111", "5500005555555559", "4012888888881881", "6011111111111117", "3530111333300000", "378282246310005", "30569309025904"]
+HEX = "0123456789abcdef" * 4
+
+
+def test_digits_before_and_long_words(spark):
+    """Contexts may hold numbers, long words and wide gaps; an identifier may follow another."""
+    long = "word" * 40
+    texts = [f"my 2 words {x}" for x in CARDS[:6]] + ["my 2 words ZZ-1"]
+    texts += [f"{long}{i % 1} {' ' * 100}\n{long} {x}" for i, x in enumerate(CARDS)] + [f"{long}0 {long}  AB/77."]
+    texts += ["my 2 words ZZ-1 2 words ZZ-1"]
+    got = found(spark, texts)
+    assert got[6].spans == "card:11:15" and got[6].n_found == got[6].n_spans == 1
+    assert got[14].n_found == 1 and texts[14][int(got[14].spans.split(":")[1]) :] == "AB/77."
+    assert got[14].spans.endswith(str(len(texts[14]) - 1)) and got[15].n_found == 2
+
+
+def test_scores_settle(spark):
+    """Three seeds and six unseen tokens settle at 0.75, after many rounds."""
+    got = found(spark, [f"the account number {x}" for x in [*CARDS[:3], *(f"K{i}-{i}" for i in range(6))]])
+    assert [got[i].n_found for i in range(9)] == [0] * 3 + [1] * 6
+    few = found(spark, [f"the account number {x}" for x in [*CARDS[:2], *(f"K{i}-{i}" for i in range(6))]])
+    assert not any(r.n_found for r in few.values())
+    share = found(spark, [f"the account number {x}" for x in [*CARDS[:3], *(f"K{i}-{i}" for i in range(60))]])
+    assert not any(r.n_found for r in share.values())
+
+
+def test_assignments_lead_to_secrets(spark):
+    """Shapes teach the word and mark before them, which find secrets of other shapes; other hex text stays."""
+    secrets = [HEX[i : i + 40] for i in range(5)]
+    texts = [f'word{i} token = "{x}"###' for i, x in enumerate(secrets)] + ["say token: x1", "our token='s3cr3t'; License, Version 2.0.", f"sum {HEX}"]
+    got = found(spark, texts)
+    assert all(got[i].spans == f"secret:15:55" for i in range(5))
+    assert got[5].n_found == 0 and got[6].spans == "secret:11:17" and got[7].n_found == 0
+
+
+def brute_spans(texts):
+    """Further spans per text, by plain loops over the whole graph."""
+    rules = {k: regex.compile(v) for k, v in pii.RULES.items()}
+    luhn = lambda ds: sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(ds))) % 10 == 0
+    rows = []
+    for key, text in enumerate(texts):
+        base = []
+        for kind in pii.BASE_KINDS:
+            for m in rules[kind].finditer(text):
+                digits = re.sub("[^0-9]", "", m[0])
+                good = {
+                    "email": True,
+                    "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                    "card": 14 <= len(digits) <= 19 and luhn(digits),
+                    "phone": 10 <= len(digits) <= 15,
+                }[kind]
+                if good:
+                    base.append((m.start(), m.end(), kind, m[0], m.start()))
+        tokens = []
+        for m in rules["token"].finditer(text):
+            core = re.search(r"[^@+./_-](?:.*[^@+./_-])?", m[0], re.S)
+            if core:
+                a, b = m.start() + core.start(), m.start() + core.end()
+                if all(b <= x or y <= a for x, y, *_ in base):
+                    tokens.append((a, b, "token", core[0], m.start()))
+        for a, b, kind, value, start in base + tokens:
+            seed = kind if kind != "token" else "secret" if re.search(pii.SECRET, value) else None
+            words = list(regex.finditer(r"[\p{L}\p{N}_]+", text[:start]))
+            marks = lambda x: re.sub("[^=:#]", "", x)
+            contexts = []
+            if words:
+                one = words[-1][0].lower() + marks(text[words[-1].end() : start])
+                if len(words) > 1:
+                    contexts.append(words[-2][0].lower() + marks(text[words[-2].end() : words[-1].start()]) + " " + one)
+                if one[-1] in "=:#":
+                    contexts.append(one)
+            rows.append((key, a, b, kind, value, seed, contexts))
+    by_context, by_value = defaultdict(list), defaultdict(set)
+    for *_, value, seed, contexts in rows:
+        for c in contexts:
+            by_context[c].append((value, seed))
+            by_value[value].add((c, seed))
+    score = {v: float(any(s for _, s in cs)) for v, cs in by_value.items()}
+    pattern = {}
+    while True:
+        new = {c: sum(score[v] for v, _ in vs) / (len(vs) + 1) for c, vs in by_context.items()}
+        change = max((new[c] - pattern[c] for c in new), default=0) if pattern else 1
+        pattern = new
+        for v, cs in by_value.items():
+            if not any(s for _, s in cs):
+                score[v] = 1 - math.prod(1 - min(pattern[c], 0.999) for c, _ in cs)
+        if change <= pii.SETTLED:
+            break
+    kinds = {}
+    for c, vs in by_context.items():
+        seeds = [s for _, s in vs if s]
+        if pattern[c] >= pii.TRUST and len({x for x in vs if x[1]}) >= pii.SUPPORT and len(seeds) >= pii.SHARE * len(vs):
+            kinds[c] = max(pii.KINDS, key=seeds.count)
+    out = defaultdict(set)
+    for key, a, b, kind, value, seed, contexts in rows:
+        passed = [c for c in contexts if c in kinds]
+        if kind == "token" and passed and score[value] >= pii.TRUST:
+            out[key].add(f"{seed or kinds[max(passed, key=lambda c: (pattern[c], c))]}:{a}:{b}")
+    return out, pattern
+
+
+def test_graph_against_brute_force(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += [f"my account number: {x}, " for x in CARDS] + [f"account number: AB{i}-9 or account number {i}Q" for i in range(9)]
+    want, _ = brute_spans(texts)
+    got = found(spark, texts)
+    assert sum(map(len, want.values())) > 10
+    for key, text in enumerate(texts):
+        more = set(got[key].spans.split(",")) - {""}
+        assert len(more) == got[key].n_spans and want[key] <= more and len(want[key]) == got[key].n_found, text[:200]
+
+
+def test_planted_secrets_are_found(spark):
+    """Recall of the assigned secrets in the table, and nothing further in documents without one."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = pii.personal_data(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    planted = {k for k, x in docs.items() if re.search(r'token = "[0-9a-f]{40}"', x)}
+    caught = {r.doc_id for r in rows if r.n_found}
+    assert len(planted) > 5 and len(planted & caught) >= 0.9 * len(planted)
+    assert len(caught - planted) <= 0.01 * len(docs)
