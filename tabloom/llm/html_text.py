@@ -71,6 +71,7 @@ _ATTR = re.compile(rf"([^{_W}/>][^{_W}/>=]*+)(?:[{_W}]*+=[{_W}]*+(?:\"([^\"]*+)\
 _COMMENT_END = re.compile(r"--!?>")
 _SPACES = re.compile(rf"[{_W}]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[{_W}/>])", re.I) for name in RAW}
+_HTML = re.compile(rf"<html(?=[{_W}/>])", re.I)
 _INTEGER = re.compile(rf"[{_W}]*([+-]?[0-9]{{1,9}})")
 
 #: List levels that are indented, and nested tables that are laid out in columns; text of deeper ones stays, unaligned.
@@ -262,6 +263,13 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
+def page_attributes(page: str) -> dict[str, str]:
+    """Attributes of the first html tag."""
+    found = _HTML.search(page)
+    tag = found and _TAG.match(page, found.start())
+    return attributes(tag[3]) if tag else {}
+
+
 def _integer(text: str | None, default: int) -> int:
     found = _INTEGER.match(text or "")
     return int(found[1]) if found else default
