@@ -42,7 +42,7 @@ _BEFORE = rf"^([^{_WORD}]*+)([{_WORD}]++)(?:([^{_WORD}]++)([{_WORD}]++))?"
 
 #: Change of a pattern's score below which scores have settled; what a pattern needs: score, different seeds, and the
 #: share of its occurrences that are seeds.
-SETTLED, TRUST, SUPPORT, SHARE = 0.001, 0.7, 3, 0.1
+SETTLED, TRUST, SUPPORT, SHARE = 0.01, 0.7, 3, 0.1
 
 
 def _digits(value: Column) -> Column:
@@ -128,7 +128,7 @@ def found_spans(texts: DataFrame) -> DataFrame:
 
 
 def trusted_patterns(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Patterns that passed (context, pattern_kind, pattern_score), and scores (value, score) of the instances.
+    """Patterns that passed (context, pattern_kind, pattern_score), and scores (value, score) of tokens that are no seeds.
 
     A seed scores 1. A pattern scores the mean of its occurrences' instances, with one more that scores 0; any other
     instance scores as if each of its patterns were right by chance of its score, independently. Scores start from the
@@ -136,29 +136,45 @@ def trusted_patterns(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     seed = F.when(F.col("kind") != "token", F.col("kind")).when(F.col("value").rlike(SECRET), "secret")
     occurrences = spans.select(F.explode("contexts").alias("context"), "value", seed.alias("seed"))
-    edges = materialize(occurrences.groupBy("context", "value", "seed").agg(F.count("*").alias("n")), "pii-edges")
-    scores = edges.groupBy("value").agg(F.max(F.col("seed").isNotNull().cast("double")).alias("score"))
-    patterns, change = None, 1.0
-    while change > SETTLED:
-        seeds = F.col("seed").isNotNull()
-        last, patterns = patterns, materialize(
-            edges.join(scores, "value").groupBy("context").agg(
-                (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("pattern_score"),
-                F.sum(seeds.cast("long")).alias("support"),
-                (F.sum(F.when(seeds, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"),
-                *[F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS],
-            ),
-            "pii-patterns",
-        )
+    edges = occurrences.groupBy("context", "value", "seed").agg(F.count("*").alias("n"))
+    seeded = F.col("seed").isNotNull()
+    values = edges.groupBy("value").agg(F.max(seeded).alias("seeded"), F.count("*").alias("degree"))
+    edges = materialize(edges.join(values, "value"), "pii-edges")
+    # Tokens with one pattern score as it does, which is solved for at once; the rounds need those with several.
+    alone = ~F.col("seeded") & (F.col("degree") == 1)
+    totals = edges.groupBy("context").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("alone"),
+        F.sum(F.when(F.col("seeded"), F.col("n")).otherwise(0)).alias("sure"),
+        F.sum(seeded.cast("long")).alias("support"),
+        (F.sum(F.when(seeded, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"),
+        *[F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS],
+    )
+    totals = materialize(totals, "pii-totals")
+    links = materialize(edges.filter(~F.col("seeded") & (F.col("degree") > 1)).select("context", "value", "n"), "pii-links")
+
+    def scored(patterns: DataFrame, pairs: DataFrame) -> DataFrame:
         wrong = F.sum(F.log1p(-F.least(F.col("pattern_score"), F.lit(0.999))))
-        scores = edges.join(patterns, "context").groupBy("value").agg(
-            F.when(F.max(F.col("seed").isNotNull()), 1.0).otherwise(1 - F.exp(wrong)).alias("score")
-        )
-        scores = materialize(scores, "pii-scores")
-        if last is not None:
-            rise = F.max(F.col("pattern_score") - F.col("last_score"))
-            both = patterns.join(last.select("context", F.col("pattern_score").alias("last_score")), "context")
-            change = both.agg(rise).first()[0] or 0.0
+        return pairs.join(patterns, "context").groupBy("value").agg((1 - F.exp(wrong)).alias("score"))
+
+    def score(added: Column) -> Column:
+        return ((F.col("sure") + added) / (F.col("n") + 1 - F.col("alone"))).alias("pattern_score")
+
+    first = totals.join(links.select("context").distinct(), "context").select("context", "n", "sure", "alone")
+    linked = materialize(first.select("*", score(F.lit(0.0))), "pii-patterns")
+    change = 1.0
+    while change > SETTLED:
+        scores = scored(linked.select("context", "pattern_score"), links)
+        sums = links.withColumnRenamed("n", "times").join(scores, "value").groupBy("context").agg(F.sum(F.col("times") * F.col("score")).alias("added"))
+        both = linked.withColumnRenamed("pattern_score", "last_score").join(sums, "context")
+        both = materialize(both.select("context", "n", "sure", "alone", score(F.col("added")), "last_score"), "pii-patterns")
+        change = both.agg(F.max(F.col("pattern_score") - F.col("last_score"))).first()[0] or 0.0
+        linked = both.drop("last_score")
+    settled = linked.select("context", F.col("pattern_score").alias("linked_score"))
+    patterns = totals.join(settled, "context", "left").withColumn("own_score", score(F.lit(0.0)))
+    patterns = patterns.withColumn("pattern_score", F.coalesce("linked_score", "own_score")).drop("linked_score", "own_score")
+    patterns = materialize(patterns, "pii-patterns")
+    scores = scored(patterns.select("context", "pattern_score"), edges.filter(~F.col("seeded")))
     most = F.array_max(F.array(*[F.struct(F.col(k).alias("n"), F.lit(-i).alias("i")) for i, k in enumerate(KINDS)]))
     kind = F.get(F.array(*map(F.lit, KINDS)), -most["i"])
     passed = (F.col("pattern_score") >= TRUST) & (F.col("support") >= SUPPORT) & (F.col("share") >= SHARE)
@@ -178,9 +194,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     patterns, scores = trusted_patterns(spans)
     base = spans.filter("kind != 'token'").select("row_id", "rank", "kind", "start", "end", F.lit(True).alias("base"))
     tokens = spans.filter("kind = 'token'").select("row_id", "start", "end", "value", F.explode("contexts").alias("context"))
-    tokens = tokens.join(patterns, "context").join(scores.filter(F.col("score") >= TRUST), "value")
+    secret = F.col("value").rlike(SECRET)
+    tokens = tokens.join(patterns, "context").join(scores, "value", "left").filter(secret | (F.col("score") >= TRUST))
     best = F.max(F.struct("pattern_score", "context", "pattern_kind"))["pattern_kind"]
-    found = tokens.groupBy("row_id", "start", "end").agg(F.when(F.max(F.col("value").rlike(SECRET)), "secret").otherwise(best).alias("kind"))
+    found = tokens.groupBy("row_id", "start", "end").agg(F.when(F.max(secret), "secret").otherwise(best).alias("kind"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     more = found.select("row_id", rank.alias("rank"), "kind", "start", "end", F.lit(False).alias("base"))
     every = base.union(more).withColumn("name", F.concat_ws(":", "kind", "start", "end"))

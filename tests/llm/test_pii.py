@@ -102,7 +102,7 @@ def brute_spans(texts):
         for v, cs in by_value.items():
             if not any(s for _, s in cs):
                 score[v] = 1 - math.prod(1 - min(pattern[c], 0.999) for c, _ in cs)
-        if change <= pii.SETTLED:
+        if change <= 1e-9:
             break
     kinds = {}
     for c, vs in by_context.items():
