@@ -1,6 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Seeds are the entities that the base rules find, and tokens of the shape of a secret (a long mix of digits and letters).
+Seeds are the entities that the base rules find, and secrets: access keys of a known format, tokens assigned to a
+credential's name, and tokens of the shape of one (a long mix of digits and letters).
 What stands before a seed is a lexical pattern: the two words there with their marks, or one word with an assignment
 mark. Tokens with digits or @ in the same place are instances of it. Scores run to and fro over the pattern-instance
 graph until they settle, and instances of trusted patterns become further spans.
@@ -35,6 +36,10 @@ NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "tok
 
 #: Shape of a secret: hex digits or mixed letters and digits, 32 at least.
 SECRET = r"^(?=.*[0-9])(?:(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}|(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_/+-]{32,})$"
+#: The format of access key ids, and names whose assigned values of SECRET_LENGTH or more are secrets.
+ACCESS_KEY = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$"
+CREDENTIAL = r"(?:^|[ _])(?:password|passwd|pwd|passphrase|secret|token|apikey|api_key|access_key)[=:]+$"
+SECRET_LENGTH = 8
 
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: What stands before a match, read backwards: marks, a word, marks, a word.
@@ -105,7 +110,10 @@ def _matches(kind: str, rank: int) -> Column:
 
 
 def found_spans(texts: DataFrame) -> DataFrame:
-    """Valid base spans, and tokens that overlap none: row_id, rank, kind, start, end, contexts, value."""
+    """Valid base spans, and tokens that overlap none: row_id, rank, kind, start, end, contexts, value, sure, secret.
+
+    ``secret`` tokens are seeds; the ``sure`` ones among them (known format or name) need no pattern.
+    """
     rules = F.concat(*[_matches(kind, rank) for rank, kind in enumerate(RULES)])
     spans = texts.filter(F.col("text").rlike("[0-9@]")).select("row_id", F.explode(rules).alias("m")).select("row_id", "m.*")
     before = Window.partitionBy("row_id", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -118,6 +126,9 @@ def found_spans(texts: DataFrame) -> DataFrame:
     spans = spans.withColumns({"start": F.col("start") + lead, "end": F.col("end") - trail})
     spans = spans.withColumn("value", F.when(is_base, F.col("value")).otherwise(F.regexp_replace("value", "^[@+./_-]+|[@+./_-]+$", "")))
     spans = spans.filter("start < end")
+    named = (F.length("value") >= SECRET_LENGTH) & F.exists("contexts", lambda x: x.rlike(CREDENTIAL))
+    spans = spans.withColumn("sure", ~is_base & (F.col("value").rlike(ACCESS_KEY) | named))
+    spans = spans.withColumn("secret", ~is_base & (F.col("sure") | F.col("value").rlike(SECRET)))
     columns = ("start", "end", "rank")
     onward = Window.partitionBy("row_id").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
     backward = Window.partitionBy("row_id").orderBy(*[F.desc(x) for x in columns]).rowsBetween(Window.unboundedPreceding, -1)
@@ -134,7 +145,7 @@ def trusted_patterns(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     instance scores as if each of its patterns were right by chance of its score, independently. Scores start from the
     seeds and only rise, so the rounds end.
     """
-    seed = F.when(F.col("kind") != "token", F.col("kind")).when(F.col("value").rlike(SECRET), "secret")
+    seed = F.when(F.col("kind") != "token", F.col("kind")).when(F.col("secret"), "secret")
     occurrences = spans.select(F.explode("contexts").alias("context"), "value", seed.alias("seed"))
     edges = occurrences.groupBy("context", "value", "seed").agg(F.count("*").alias("n"))
     seeded = F.col("seed").isNotNull()
@@ -186,18 +197,21 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Counts and the digest are of the base rules; ``spans`` has the ``n_found`` further ones too, as kind:start:end in
     code points, ``n_spans`` in all. A further one is of the kind of most seeds of its best pattern, or a secret by its
-    shape. Null and empty texts have none; rows that repeat an id, or have none, are rows of their own. Other
+    shape, format or name. Null and empty texts have none; rows that repeat an id, or have none, are rows of their own. Other
     columns are not read.
     """
     texts, names = keyed_rows(docs, id_col, text_col)
     spans = materialize(found_spans(texts), "pii-spans")
     patterns, scores = trusted_patterns(spans)
     base = spans.filter("kind != 'token'").select("row_id", "rank", "kind", "start", "end", F.lit(True).alias("base"))
-    tokens = spans.filter("kind = 'token'").select("row_id", "start", "end", "value", F.explode("contexts").alias("context"))
-    secret = F.col("value").rlike(SECRET)
-    tokens = tokens.join(patterns, "context").join(scores, "value", "left").filter(secret | (F.col("score") >= TRUST))
-    best = F.max(F.struct("pattern_score", "context", "pattern_kind"))["pattern_kind"]
-    found = tokens.groupBy("row_id", "start", "end").agg(F.when(F.max(secret), "secret").otherwise(best).alias("kind"))
+    tokens = spans.filter("kind = 'token'").select("row_id", "start", "end", "secret", "value", F.explode("contexts").alias("context"))
+    # Values without a score are seeds.
+    tokens = tokens.join(patterns, "context").join(scores, "value", "left").filter(F.coalesce("score", F.lit(1.0)) >= TRUST)
+    best = F.struct("pattern_score", "context", "pattern_kind").alias("best")
+    sure = spans.filter("sure").select("row_id", "start", "end", "secret").withColumn("best", F.lit(None))
+    tokens = tokens.select("row_id", "start", "end", "secret", best).union(sure)
+    kind = F.when(F.max("secret"), "secret").otherwise(F.max("best")["pattern_kind"])
+    found = tokens.groupBy("row_id", "start", "end").agg(kind.alias("kind"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     more = found.select("row_id", rank.alias("rank"), "kind", "start", "end", F.lit(False).alias("base"))
     every = base.union(more).withColumn("name", F.concat_ws(":", "kind", "start", "end"))
