@@ -100,6 +100,27 @@ def identified(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "identified-rows"), name
 
 
+#: Parts that a key held by all rows is dealt to; the number of heavy keys is bounded by it too.
+HEAVY_PARTS = 1000
+
+
+def join_heavy(rows: DataFrame, keys: DataFrame, on: list[str], n: str, spread: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``keys``, a stored table with one row per key and its count of rows in ``n``.
+
+    Keys with at least 1 / HEAVY_PARTS of all counted rows are heavy, so there are HEAVY_PARTS of them at most, which is
+    what is broadcast. Their rows are dealt, by the columns ``spread``, to as many parts as their share asks for, and
+    only their entries are repeated. Key columns must not be null.
+    """
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    parts = F.ceil(F.col(n) * HEAVY_PARTS / F.lit(max(1, total))).cast("int")
+    sized = keys.withColumn("_parts", F.when(F.col(n) * HEAVY_PARTS >= total, parts).otherwise(1))
+    heavy = sized.filter("_parts > 1").select(*on, F.col("_parts").alias("_deal"))
+    dealt = rows.join(F.broadcast(heavy), on, "left")
+    dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_deal")), F.lit(0)).cast("int")).drop("_deal")
+    entries = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", n)
+    return dealt.join(entries, [*on, "_part"]).drop("_part")
+
+
 # --- numpy side -----------------------------------------------------------------------------------------------------
 
 _BYTES = np.arange(256)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Words, as_long, free_shuffles, keyed_rows, mix, slices, window_hashes, words_of
+from tabloom.llm.common import Words, as_long, free_shuffles, join_heavy, keyed_rows, mix, slices, window_hashes, words_of
 from tabloom.session import materialize
 
 #: Words of a k-mer. Windows of 35 words then hold 22 k-mers, and about one place in 11 becomes a vertex. Shorter k-mers
@@ -215,9 +215,9 @@ def _finish(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def repeated_vertices(anchors: DataFrame) -> DataFrame:
-    """Vertices that occur twice or more, and whether all their occurrences go on, or come, by one edge."""
+    """Vertices that occur ``n`` times, twice or more, and whether all their occurrences go on, or come, by one edge."""
     one = {side: (F.min(side) == F.max(side)).alias(f"one_{side}") for side in ("ahead", "back")}
-    return anchors.groupBy("vertex").agg(F.count("*").alias("n"), one["ahead"], one["back"]).filter("n > 1").drop("n")
+    return anchors.groupBy("vertex").agg(F.count("*").alias("n"), one["ahead"], one["back"]).filter("n > 1")
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,15 +231,17 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
         raise ValueError(f"windows need {2 * K} words at least")
     texts, names = keyed_rows(docs, id_col, text_col)
     anchors = texts.mapInArrow(lambda it: _anchors(it, width), ANCHORS)
-    marked = anchors.select("vertex", "row_id", "pos").join(repeated_vertices(anchors), "vertex")
+    vertices = materialize(repeated_vertices(anchors), "repeats-vertices")
+    marked = join_heavy(anchors.select("vertex", "row_id", "pos"), vertices, ["vertex"], "n", ["row_id", "pos"])
     places = marked.groupBy("row_id").agg(F.collect_list(F.struct("pos", "one_ahead", "one_back")).alias("places"))
     verdicts = texts.join(places, "row_id", "left").mapInArrow(lambda it: _verdicts(it, width), VERDICTS)
     verdicts = materialize(verdicts, "repeats-verdicts")
     free_shuffles(docs.sparkSession)
     done = verdicts.filter("kept_sha256 is not null").select("row_id", "n_words", "n_removed", "kept_sha256")
     windows = verdicts.filter("start is not null")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    found = windows.join(twice, ["h1", "h2"], "left_semi").groupBy("row_id").agg(F.collect_list("start").alias("starts"))
+    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
+    same = join_heavy(windows.select("h1", "h2", "row_id", "start"), materialize(twice, "repeats-windows"), ["h1", "h2"], "n", ["row_id", "start"])
+    found = same.groupBy("row_id").agg(F.collect_list("start").alias("starts"))
     rest = verdicts.filter("spans is not null").select("row_id", "spans", "text").join(found, "row_id", "left")
     rest = rest.mapInArrow(lambda it: _finish(it, width), RESULT)
     out = done.unionByName(rest)

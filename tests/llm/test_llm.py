@@ -373,3 +373,16 @@ def test_pipeline_stages_against_sql(spark, tmp_path):
         docs = out
     final = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(tuple, final)) == sorted(map(tuple, docs.collect()))
+
+
+def test_join_heavy_deals_rows_of_a_hot_key(spark):
+    """Half of the rows share a key: the join is the plain one, and that key's entry is repeated for its parts alone."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000).selectExpr("id", "IF(id % 2 = 0, 7, id) key")
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = common.join_heavy(rows, keys, ["key"], "n", ["id"])
+    want = rows.join(keys.drop("n"), "key")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    none = common.join_heavy(rows, keys.limit(0), ["key"], "n", ["id"])
+    assert none.count() == 0
