@@ -214,3 +214,24 @@ def test_direction_is_that_of_two_loops():
     for i in range(k):
         q += s[i] * (alpha[i] - y[i] @ q / (s[i] @ y[i]))
     assert np.allclose(got, q)
+
+
+def test_boxes_leave_few_rows_to_compare(spark, monkeypatch):
+    """Columns that all differ: several cells, and a search that looks at a small share of them."""
+    rng = np.random.default_rng(5)
+    make = lambda n: pd.DataFrame(
+        {"_row_id": np.arange(n), "a": rng.random(n), "b": rng.random(n)}
+        | {f"k{i}": [f"v{x}" for x in rng.integers(0, 9, n)] for i in range(3)}
+    )
+    real, synth = make(6000), make(400)
+    total = sum((synth[f"k{i}"].to_numpy()[:, None] != real[f"k{i}"].to_numpy()[None]).astype(float) for i in range(3))
+    for name in "ab":
+        low, width = real[name].min(), real[name].max() - real[name].min()
+        total += ((synth[name].to_numpy()[:, None] - real[name].to_numpy()[None]) / width) ** 2
+    monkeypatch.setattr(neighbors, "NODE_ROWS", 1000)
+    found = distance_to_closest_record(
+        spark.createDataFrame(real), spark.createDataFrame(synth), tile_rows=20, fanout=4, compared=True
+    )
+    found = found.orderBy("_row_id").toPandas()
+    assert np.allclose(found["dcr"], np.sqrt(total.min(axis=1) / 5), atol=1e-9)
+    assert found["compared"].mean() < 0.1 * len(real)
