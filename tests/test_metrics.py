@@ -1,9 +1,14 @@
+import io
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
+from tabloom.functions import tiles
 from tabloom.operators import neighbors, ridge, utility
 from tabloom.operators.fidelity import auc_binary, column_similarity, similarity_mean
 from tabloom.operators.neighbors import describe, distance_to_closest_record
@@ -235,3 +240,23 @@ def test_boxes_leave_few_rows_to_compare(spark, monkeypatch):
     found = found.orderBy("_row_id").toPandas()
     assert np.allclose(found["dcr"], np.sqrt(total.min(axis=1) / 5), atol=1e-9)
     assert found["compared"].mean() < 0.1 * len(real)
+
+
+def test_tile_functions_travel_by_value():
+    """Executors need no installed package for the search."""
+    table = pa.table({"x": [[0.1], [0.2]], "k": [["a"], ["b"]], "cell": [0, 0]})
+    steps = [tiles.to_children(tiles.Cuts(table, {0: 2}, 2)), tiles.cell_facts, tiles.merged_facts, tiles.cell_minima(5, 4)]
+    steps.append(tiles.cells_to_visit(table, (0, 1)))
+    assert not any(_by_reference(step) for step in steps)
+
+
+def _by_reference(step) -> list[str]:
+    found = []
+
+    class Reader(pickle.Unpickler):
+        def find_class(self, module, name):
+            found.extend([module] * module.startswith("tabloom"))
+            return super().find_class(module, name)
+
+    Reader(io.BytesIO(cloudpickle.dumps(step))).load()
+    return found
