@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-#: Rows that tell where a box is cut; cells of a matrix of distances or of bounds; rows that walk a tree together.
+#: Rows that tell where a box is cut; cells of a matrix of cell bounds; rows that walk a tree together.
 _SEEN, _CELLS, _TOGETHER = 1024, 1 << 22, 16384
+#: Cells of a matrix of distances, and of box bounds, that stays in a core's cache; rows that are packed together.
+_NEAR, _BOUNDS, _PACKED = 1 << 18, 1 << 15, 1 << 17
 
 
 def _flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -106,6 +108,13 @@ class Boxes:
     def distances(self, x: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The least squared distance of each row to anything in each box."""
         total = np.zeros((len(x), len(self.low)))
+        step = max(1, _BOUNDS // len(self.low))
+        for start in range(0, len(x), step):
+            part = slice(start, start + step)
+            self._add(x[part], k[part], total[part])
+        return total
+
+    def _add(self, x: np.ndarray, k: np.ndarray, total: np.ndarray) -> None:
         for col, low, high in zip(x.T, self.low.T, self.high.T):
             gap = low[None, :] - col[:, None]
             np.maximum(gap, col[:, None] - high[None, :], out=gap)
@@ -114,7 +123,6 @@ class Boxes:
             total += gap
         for col, first, last in zip(k.T, self.first.T, self.last.T):
             total += (col[:, None] < first[None, :]) | (col[:, None] > last[None, :])
-        return total
 
 
 class _Tile:
@@ -123,33 +131,38 @@ class _Tile:
     def __init__(self, x: np.ndarray, k: np.ndarray, number: int):
         self.x, self.k, self.number = x, k, number
         self.box = Boxes.around(x, k)
-        self.thin, self.squares = x.T.astype(np.float32), (x * x).sum(1)
+        self.squares = (x * x).sum(1)
+        # One product gives -2ab + b*b + a*a: the rows carry their squares along.
+        self.wide = np.vstack([x.T * -2.0, self.squares, np.ones(len(x))])
+        self.thin = self.wide.astype(np.float32)
         self.columns = np.ascontiguousarray(k.T)
 
     def compare(self, x: np.ndarray, k: np.ndarray, best: np.ndarray, rows: np.ndarray) -> None:
         """Lower ``best`` of ``rows`` to their least squared distance to the tile.
 
-        A fast rounded distance tells which few pairs are worth the exact one.
+        A fast rounded distance, taken in pieces that stay in the cache, tells which few pairs are worth the exact one.
         """
-        step = max(1, _CELLS // len(self.x))
+        step = max(1, _NEAR // len(self.x))
+        most = self.squares.max()
         for start in range(0, len(rows), step):
             part = rows[start : start + step]
-            a, squares = x[part], (x[part] ** 2).sum(1)
-            near = max(squares.max(), self.squares.max()) < 1e4
+            a = x[part]
+            squares = (a * a).sum(1)
+            near = max(squares.max(), most) < 1e4
             kind = np.float32 if near else np.float64
-            rough = a.astype(kind) @ (self.thin if near else self.x.T)
-            rough *= kind(-2.0)
-            rough += self.squares.astype(kind)[None, :]
-            rough += squares.astype(kind)[:, None]
+            rough = np.column_stack([a, np.ones(len(a)), squares]).astype(kind) @ (self.thin if near else self.wide)
             if len(self.columns):
                 # Mismatches are counted in small integers over contiguous columns, several times faster than in doubles.
                 different = np.zeros(rough.shape, np.uint8 if len(self.columns) < 256 else np.uint16)
                 for left, right in zip(k[part].T, self.columns):
                     different += (left[:, None] != right[None, :]).view(np.uint8)
                 rough += different
-            slack = 32 * float(np.finfo(kind).eps) * (squares + self.squares.max() + x.shape[1] + k.shape[1])
-            least = rough.min(axis=1)
+            # The sum has a term per column and two more, each rounded.
+            slack = (32 + 2 * x.shape[1]) * float(np.finfo(kind).eps) * (squares + most + x.shape[1] + k.shape[1])
+            least = rough[np.arange(len(part)), rough.argmin(axis=1)]
             lower = np.flatnonzero(least - slack < best[part])
+            if not len(lower):
+                continue
             i, j = np.nonzero(rough[lower] <= (least + 2 * slack)[lower, None])
             i = lower[i]
             exact = ((a[i] - self.x[j]) ** 2).sum(1) + (k[part][i] != self.k[j]).sum(1)
@@ -322,40 +335,148 @@ def merged_facts(facts: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_merged(facts)])
 
 
+def _visits(cells: pa.Table, passes: tuple[int, int | None], batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The places of probes (x, k, d) in ``batch`` and of ``cells`` that may hold something nearer than ``d``."""
+    (k, first, last), _ = _codes(batch, *(pa.table({"k": cells[n]}) for n in ("first", "last")))
+    low, high = (_matrix(cells[n], cells.num_rows) for n in ("low", "high"))
+    far = Boxes(low, high, first, last).distances(_matrix(batch["x"], batch.num_rows), k)
+    order = np.argsort(far, axis=1, kind="stable")[:, slice(*passes)]
+    i, place = np.nonzero(np.take_along_axis(far, order, axis=1) < np.asarray(batch["d"], dtype=float)[:, None])
+    return i, order[i, place]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        yield from (whole.slice(at, rows) for at in range(0, whole.num_rows, rows))
+
+
 def cells_to_visit(cells: pa.Table, passes: tuple[int, int | None]):
-    """For mapInArrow: probes (id, x, k, d) with each cell that may hold something nearer than ``d``.
+    """For mapInArrow: how many of the probes (x, k, d) visit each cell, as ``cell, asked``.
 
-    A probe's cells are ordered by their distance; ``passes`` gives the first and the last place that count.
+    A cell is visited if it may hold something nearer than ``d``. A probe's cells are ordered by their distance;
+    ``passes`` gives the first and the last place that count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = np.asarray(cells["cell"])
-        for whole in batches:
-            step = max(1, _CELLS // cells.num_rows)
-            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
-                (k, first, last), _ = _codes(batch, *(pa.table({"k": cells[n]}) for n in ("first", "last")))
-                low, high = (_matrix(cells[n], cells.num_rows) for n in ("low", "high"))
-                far = Boxes(low, high, first, last).distances(_matrix(batch["x"], batch.num_rows), k)
-                order = np.argsort(far, axis=1, kind="stable")[:, slice(*passes)]
-                i, place = np.nonzero(np.take_along_axis(far, order, axis=1) < np.asarray(batch["d"], dtype=float)[:, None])
-                picked = pa.array(i)
-                out = {n: batch[n].take(picked) for n in ("id", "x", "k", "d")}
-                yield pa.RecordBatch.from_pydict(out | {"cell": pa.array(numbers[order[i, place]])})
+        asked = np.zeros(cells.num_rows, np.int64)
+        for batch in _pieces(batches, max(1, _CELLS // cells.num_rows)):
+            asked += np.bincount(_visits(cells, passes, batch)[1], minlength=cells.num_rows)
+        seen = np.flatnonzero(asked)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.asarray(cells["cell"])[seen]), "asked": pa.array(asked[seen])})
 
     return run
 
 
-def cell_minima(tile_rows: int, fanout: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """For a cogrouped applyInArrow: probes (id, x, k, d) that meet the real rows (x, k) of a cell, or of a part of it."""
+def _packed(rows: pa.RecordBatch | pa.Table) -> bytes:
+    """Rows (x, k and more) as one compressed text of bytes, column by column: a fraction of their size as rows."""
+    x, width = _matrix(rows["x"], rows.num_rows), len(rows["k"][0])
+    words = _flat(rows["k"])
+    cells = {n: rows[n] for n in rows.schema.names if n not in ("x", "k")}
+    cells |= {f"x{i}": pa.array(np.ascontiguousarray(col)) for i, col in enumerate(x.T)}
+    cells |= {f"k{i}": words.take(pa.array(np.arange(i, len(words), width))) for i in range(width)}
+    table, sink = pa.table(cells), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blocks: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(block.as_buffer()).read_all() for chunk in blocks.chunks for block in chunk])
+
+
+def _numbers(rows: pa.Table) -> np.ndarray:
+    names = [n for n in rows.schema.names if n[0] == "x"]
+    return np.column_stack([np.asarray(rows[n]) for n in names]) if names else np.zeros((rows.num_rows, 0))
+
+
+def _ranks(*tables: pa.Table) -> list[np.ndarray]:
+    """The texts of some unpacked tables as matrices of numbers, in text order within each column."""
+    names = [n for n in tables[0].schema.names if n[0] == "k"]
+    if not names:
+        return [np.zeros((t.num_rows, 0), np.int16) for t in tables]
+    out = []
+    for name in names:
+        one = lambda t: pa.ListArray.from_arrays(np.arange(t.num_rows + 1, dtype=np.int32), t[name].combine_chunks())  # noqa: B023, E731
+        out.append(_codes(*(pa.table({"k": one(t)}) for t in tables))[0])
+    return [np.column_stack([column[i] for column in out]) for i in range(len(tables))]
+
+
+def probe_blocks(cells: pa.Table | None, passes: tuple[int, int | None], parts: dict[int, tuple[int, int]]):
+    """For mapInArrow over probes (id, x, k, d, h): packed rows ``cell, a, b, block`` for all parts of the cells they visit.
+
+    ``parts``: per cell, into how many parts its real rows and its probes are dealt; probes by their hash ``h``. Without
+    ``cells`` there is one, number 0, and all probes visit it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = 1 if cells is None else cells.num_rows
+        numbers = np.zeros(1, np.int64) if cells is None else np.asarray(cells["cell"])
+        n_probe = np.array([parts.get(cell, (1, 1))[1] for cell in numbers.tolist()], np.int64)
+        for whole in _gathered(batches):
+            place = [np.arange(whole.num_rows), np.zeros(whole.num_rows, np.int64)]
+            if cells is not None:
+                found, start = [], 0
+                for piece in _pieces([whole], max(1, _CELLS // wide)):
+                    i, cell = _visits(cells, passes, piece)
+                    found.append((i + start, cell))
+                    start += piece.num_rows
+                place = [np.concatenate(x) for x in zip(*found)]
+            yield from _dealt(whole, *place, np.asarray(whole["h"])[place[0]] % n_probe[place[1]], numbers, ("id", "x", "k", "d"),
+                              lambda cell, b: [(cell, a, b) for a in range(parts.get(cell, (1, 1))[0])])
+
+    return run
+
+
+def real_blocks(parts: dict[int, int]):
+    """For mapInArrow over real rows (x, k, cell, h): packed rows ``cell, a, block``, each cell in so many parts by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _gathered(batches):
+            numbers, place = np.unique(np.asarray(whole["cell"]), return_inverse=True)
+            n_real = np.array([parts.get(cell, 1) for cell in numbers.tolist()], np.int64)
+            yield from _dealt(whole, np.arange(whole.num_rows), place, np.asarray(whole["h"]) % n_real[place], numbers, ("x", "k"),
+                              lambda cell, a: [(cell, a)])
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together up to ``_PACKED`` rows, so that blocks are not tiny."""
+    held = []
+    for batch in batches:
+        held += [batch] * (batch.num_rows > 0)
+        if sum(b.num_rows for b in held) >= _PACKED:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _dealt(rows: pa.Table, i: np.ndarray, place: np.ndarray, part: np.ndarray, numbers: np.ndarray, names: tuple[str, ...], keys) -> Iterator[pa.RecordBatch]:
+    """One block for the rows ``i`` of each cell and part, under every key that ``keys`` gives for them."""
+    rows = rows.select(names)
+    order = np.lexsort((part, place))
+    i, place, part = i[order], place[order], part[order]
+    cuts = np.flatnonzero(np.diff(place, prepend=-1) | np.diff(part, prepend=-1)) if len(i) else np.empty(0, int)
+    for a, b in zip(cuts, [*cuts[1:], len(i)]):
+        for at in range(a, b, _PACKED):
+            block = _packed(rows.take(pa.array(i[at : min(b, at + _PACKED)])))
+            under = keys(int(numbers[place[a]]), int(part[a]))
+            columns = {n: pa.array(v, pa.int64() if n == "cell" else pa.int32()) for n, v in zip(("cell", "a", "b"), zip(*under))}
+            yield pa.RecordBatch.from_pydict(columns | {"block": pa.array([block] * len(under), pa.binary())})
+
+
+def cell_minima(tile_rows: int, fanout: int, key: pa.DataType | None = None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a cogrouped applyInArrow: blocks of probes (id, x, k, d) that meet those of the real rows (x, k) of a cell's part."""
 
     def run(probes: pa.Table, real: pa.Table) -> pa.Table:
         if not probes.num_rows or not real.num_rows:
-            none = {"id": pa.array([], probes.schema.field("id").type), "d": pa.array([], pa.float64())}
-            return pa.table(none | {"compared": pa.array([], pa.int64())})
-        (pk, rk), _ = _codes(probes, real)
+            return pa.table({"id": pa.array([], key), "d": pa.array([], pa.float64()), "compared": pa.array([], pa.int64())})
+        probes, real = _unpacked(probes["block"]), _unpacked(real["block"])
+        pk, rk = _ranks(probes, real)
         best = np.array(probes["d"], dtype=float)
-        cell = Cell(_matrix(real["x"], real.num_rows), rk, tile_rows, fanout)
-        compared = cell.nearest(_matrix(probes["x"], probes.num_rows), pk, best)
+        cell = Cell(_numbers(real), rk, tile_rows, fanout)
+        compared = cell.nearest(_numbers(probes), pk, best)
         return pa.table({"id": probes["id"], "d": pa.array(best), "compared": pa.array(compared)})
 
     return run

@@ -15,8 +15,8 @@ join would emit them; instead Spark searches a tree of boxes:
 4. a task that holds a cell and its visitors cuts the cell further, into tiles,
    and compares a visitor with the tiles whose boxes are nearer than its bound.
 
-Rows travel once per cell, not per tile, and cells have bounded size, so no
-group grows with the data. Nothing is dropped: pruning only skips boxes that
+Rows travel once per cell, not per tile, packed by column and compressed in
+blocks, and cells have bounded size, so no group grows with the data. Nothing is dropped: pruning only skips boxes that
 cannot hold a closer row.
 """
 
@@ -24,24 +24,25 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import c, common_columns, is_text, key_text, literal, quoted
 from ..functions.numeric import num
-from ..functions.tiles import Cuts, cell_facts, cell_minima, cells_to_visit, merged_facts, to_children
+from ..functions.tiles import Cuts, cell_facts, cell_minima, cells_to_visit, merged_facts, probe_blocks, real_blocks, to_children
 from ..session import materialize
 from .ranking import prefix_sums
 from .sampling import ROW_ID, capped_sample
 
 #: Real rows per tile, and children of a node of the tree that a task builds.
-TILE_ROWS = 512
+TILE_ROWS = 1024
 FANOUT = 16
 #: Real and synthetic rows that meet in a task, at most; tasks that a search is cut into, if there is work for them.
 NODE_ROWS = 262144
 PROBE_ROWS = 262144
-TASKS, TASK_PROBES = 48, 8192
+TASKS, TASK_PROBES, MOST_TASKS = 48, 8192, 2048
 #: Children of a node above the cells; levels of nodes, after which cells that are still too large are cut by hash.
 CELLS = 256
 LEVELS = 7
@@ -68,36 +69,37 @@ def _encoded(
     ]
 
 
-def _parts(count: Column, rows: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(count / rows)).cast("int")
+def _real_blocks(placed: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """``cell, a, block``: the real rows of each cell, in parts of ``NODE_ROWS`` at most, packed and stored for all passes."""
+    parts = {cell: n_real for cell, n in sizes.items() if (n_real := -(-n // NODE_ROWS)) > 1}
+    rows = placed.select("x", "k", "cell", F.xxhash64("x", "k").alias("h"))
+    return materialize(rows.mapInArrow(real_blocks(parts), "cell long, a int, block binary"), "real-blocks")
 
 
-def _cell_minima(visits: DataFrame, placed: DataFrame, sizes: DataFrame, tile_rows: int, fanout: int) -> DataFrame:
-    """``id, d, compared`` per visit: smallest squared distance of each visitor (id, x, k, d, cell) to the cell's real rows."""
-    key = visits.schema["id"].dataType.simpleString()
-    asked = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
-    asked = materialize(asked, "cell-visits")
-    # Few visits are dealt to enough tasks, many to groups of bounded size.
-    total = asked.agg(F.sum("asked")).first()[0] or 0
-    group = min(PROBE_ROWS, max(TASK_PROBES, total // TASKS))
-    facts = sizes.select("cell", _parts(F.col("n"), NODE_ROWS).alias("n_real"))
-    facts = facts.join(asked.select("cell", _parts(F.col("asked"), group).alias("n_probe")), "cell")
-    facts = materialize(facts, "cell-counts")  # stored, so Spark knows its size and broadcasts it only if it is small
-    left = (
-        visits.join(facts, "cell")
-        .withColumn("b", F.pmod(F.xxhash64("id", "x", "k"), "n_probe").cast("int"))
-        .withColumn("a", F.explode(F.sequence(F.lit(0), F.col("n_real") - 1)))
-        .select("cell", "a", "b", "id", "x", "k", "d")
-    )
-    right = (
-        placed.select("x", "k", "cell")
-        .join(facts, "cell")
-        .withColumn("a", F.pmod(F.xxhash64("x", "k"), "n_real").cast("int"))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_probe") - 1)))
-        .select("cell", "a", "b", "x", "k")
+def _cell_minima(
+    probes: DataFrame, cells: pa.Table | None, places: tuple[int, int | None], asked: dict[int, int], sizes: dict[int, int],
+    blocks: DataFrame, tile_rows: int, fanout: int,
+) -> DataFrame:
+    """``id, d, compared`` per visit: smallest squared distance of each visitor (id, x, k, d) to a cell's real rows.
+
+    ``asked`` and ``sizes``: probes and real rows of each cell. Few visits are dealt to enough tasks, many to groups of
+    bounded size.
+    """
+    key = probes.schema["id"].dataType.simpleString()
+    group = min(PROBE_ROWS, max(TASK_PROBES, sum(asked.values()) // TASKS))
+    parts = {cell: (max(1, -(-sizes[cell] // NODE_ROWS)), max(1, -(-n // group))) for cell, n in asked.items()}
+    spark = probes.sparkSession
+    left = probes.withColumn("h", F.xxhash64("id", "x", "k")).mapInArrow(
+        probe_blocks(cells, places, parts), "cell long, a int, b int, block binary"
     )
-    grouped = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b"))
-    return grouped.applyInArrow(cell_minima(tile_rows, fanout), f"id {key}, d double, compared long")
+    counts = spark.createDataFrame([(cell, n) for cell, (_, n) in parts.items()], "cell long, n_probe int")
+    right = blocks.join(F.broadcast(counts), "cell")  # one row per cell
+    right = right.select("cell", "a", F.explode(F.sequence(F.lit(0), F.col("n_probe") - 1)).alias("b"), "block")
+    # Blocks are small for the work in them, so tasks are counted by groups and not by bytes.
+    tasks = min(MOST_TASKS, max(TASKS, 2 * sum(a * b for a, b in parts.values())))
+    left, right = (side.repartition(tasks, "cell", "a", "b").groupBy("cell", "a", "b") for side in (left, right))
+    kind = probes.select("id").limit(0).toArrow().schema.field("id").type
+    return left.cogroup(right).applyInArrow(cell_minima(tile_rows, fanout, kind), f"id {key}, d double, compared long")
 
 
 class _Tree:
@@ -140,14 +142,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _search(tree: _Tree, probes: DataFrame, tile_rows: int, fanout: int) -> DataFrame:
     """``id, d, compared``: the nearest cell first, then the next ones, then what the bound leaves."""
-    key = probes.schema["id"].dataType.simpleString()
     boxes = tree.leaves.toArrow()
-    bounded, found = probes.withColumn("d", F.lit(float("inf"))), []
+    sizes = dict(zip(boxes["cell"].to_pylist(), boxes["n"].to_pylist()))
+    blocks = _real_blocks(tree.placed, sizes)
+    bounded = probes.withColumn("d", F.lit(float("inf")))
+    found = [bounded.select("id", "d", F.lit(0).cast("long").alias("compared")).filter(F.lit(False))]
     for places in ((0, 1), (1, 1 + NEAREST_CELLS), (1 + NEAREST_CELLS, None)):
         if places[0] >= boxes.num_rows:
             break
-        visits = bounded.mapInArrow(cells_to_visit(boxes, places), f"id {key}, {_FEATURES}, d double, cell long")
-        minima = _cell_minima(visits, tree.placed, tree.leaves, tile_rows, fanout).groupBy("id")
+        bounded = materialize(bounded, "bounded")
+        asked = bounded.select("x", "k", "d").mapInArrow(cells_to_visit(boxes, places), "cell long, asked long")
+        asked = {row.cell: row.n for row in asked.groupBy("cell").agg(F.sum("asked").alias("n")).collect()}
+        if not asked:
+            break
+        minima = _cell_minima(bounded, boxes, places, asked, sizes, blocks, tile_rows, fanout).groupBy("id")
         found.append(materialize(minima.agg(F.min("d").alias("d"), F.sum("compared").alias("compared")), "minima"))
         nearest = _union(found).groupBy("id").agg(F.min("d").alias("d"))
         bounded = probes.join(nearest, "id", "left").withColumn("d", F.coalesce("d", F.lit(float("inf"))))
@@ -209,16 +217,20 @@ def distance_to_closest_record(
     width = len(numeric) + len(texts)
 
     # Equal rows are at distance 0, which nothing can beat.
-    marked = probes.filter(finite).join(distinct.withColumn("same", F.lit(True)), ["x", "k"], "left")
+    # Rows meet by hash, a key that sorts fast, and are compared when they do.
+    met = distinct.selectExpr("xxhash64(x, k) AS h", "x AS rx", "k AS rk", "true AS same")
+    same = " AND ".join(f"forall(zip_with({n}, r{n}, (a, b) -> a = b), v -> v)" for n in "xk")
+    hashed = probes.filter(finite).withColumn("_h", F.xxhash64("x", "k"))
+    marked = hashed.join(met, F.expr(f"_h = h AND {same}"), "left").select(*probes.columns, "same")
     marked = materialize(marked, "equal-rows")
     equal = marked.filter("same").select("id", F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("compared"))
     others = marked.filter("same IS NULL").drop("same")
     cell_rows = max(tile_rows, NODE_ROWS)
     if n_real <= cell_rows:
-        one_cell = real.sparkSession.createDataFrame([(0, n_real)], "cell long, n long")
-        at_root = lambda df: df.withColumn("cell", F.lit(0).cast("long"))
-        unbounded = at_root(others).withColumn("d", F.lit(float("inf")))
-        found = _cell_minima(unbounded, at_root(distinct), one_cell, tile_rows, fanout)
+        sizes, asked = {0: n_real}, {0: others.count()}
+        blocks = _real_blocks(distinct.withColumn("cell", F.lit(0).cast("long")), sizes)
+        unbounded = others.withColumn("d", F.lit(float("inf")))
+        found = _cell_minima(unbounded, None, (0, None), asked, sizes, blocks, tile_rows, fanout)
     else:
         found = _search(_Tree(distinct, n_real, cell_rows, CELLS), others, tile_rows, fanout)
     nearest = found.unionByName(equal).groupBy("id").agg(F.min("d").alias("d"), F.sum("compared").alias("compared"))

@@ -260,3 +260,21 @@ def _by_reference(step) -> list[str]:
 
     Reader(io.BytesIO(cloudpickle.dumps(step))).load()
     return found
+
+
+def test_rows_travel_packed():
+    """A block is a fraction of its rows, and gives them back exactly."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 80, (4000, 20)) / 79
+    k = rng.integers(0, 9, (4000, 3))
+    rows = pa.table({"id": [f"i{i}" for i in range(4000)], "x": x.tolist(), "k": [[f"word{w}" for w in row] for row in k], "d": [np.inf] * 4000})
+    block = tiles._packed(rows)
+    back = tiles._unpacked(pa.chunked_array([pa.array([block], pa.binary())]))
+    assert len(block) < rows.nbytes / 3
+    assert back["id"].to_pylist() == rows["id"].to_pylist() and back["d"].to_pylist() == rows["d"].to_pylist()
+    assert (tiles._numbers(back) == x).all() and (tiles._ranks(back, back)[1] == k).all()
+    cells = pa.table({"cell": [7], "low": [[0.0] * 20], "high": [[1.0] * 20], "first": [["word0"] * 3], "last": [["word8"] * 3]})
+    dealt = tiles.probe_blocks(cells, (0, 1), {7: (2, 3)})(iter(rows.append_column("h", pa.array(range(4000))).to_batches()))
+    dealt = pa.Table.from_batches(dealt)
+    assert sorted(zip(*(dealt[n].to_pylist() for n in ("cell", "a", "b")))) == [(7, a, b) for a in range(2) for b in range(3)]
+    assert tiles._unpacked(dealt.filter(pa.array(a == 0 for a in dealt["a"].to_pylist()))["block"]).num_rows == 4000
