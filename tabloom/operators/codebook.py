@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import c, key_text, literal, literals, pick, quoted, replaced
+from ..functions.columns import c, is_numeric, key_text, literal, literals, pick, quoted, replaced
 from ..session import BROADCAST_ROW_BOUND, materialize
 from . import lookups
 from .lookups import heavy_keys, lookup_join
@@ -181,7 +181,9 @@ def csv_cell(x: str) -> str:
 
 def csv_line(schema: T.StructType, columns: Sequence[str]) -> str:
     """The row as one CSV line."""
-    line = f"concat_ws(',', {', '.join(csv_cell(key_text(schema, n)) for n in columns)})"
+    # The text of a number needs no quotes.
+    cells = [f"coalesce({text}, '')" if is_numeric(schema[n].dataType) else csv_cell(text) for n in columns for text in [key_text(schema, n)]]
+    line = f"concat_ws(',', {', '.join(cells)})"
     return line if len(columns) > 1 else f"""coalesce(nullif({line}, ''), '""')"""
 
 

@@ -37,6 +37,8 @@ SET_NAMES = string.ascii_uppercase
 _FENCE_LINE = r"(?m)^[ \t\f]*```[^\n]*$"
 _LINE_BREAKS = r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
+_BLANK = r"[ \t\n\r\f\x0b]"
+
 
 @dataclass(frozen=True)
 class PromptConfig:
@@ -175,11 +177,15 @@ def parse_replies(
     value = strip(
         f"""CASE WHEN NOT startswith(x, '"') THEN x WHEN x RLIKE r'{closed}' THEN {whole} ELSE {cut} END"""
     )
-    spills = f"""exists(slice(_raw, 1, {len(columns) - 1}), x -> startswith(x, '"') AND NOT x RLIKE r'{closed}')"""
+    # Most lines hold neither quotes nor blanks: their pieces are the cells. Lines are looked at as a whole first.
+    quotes = """instr(_line, '"') > 0"""
+    bare = f"transform(_raw, x -> {strip('x')})"
+    cells = f"""CASE WHEN {quotes} THEN transform(_raw, x -> {value}) WHEN _line RLIKE r'{_BLANK}' THEN {bare} ELSE _raw END"""
+    spills = f"""{quotes} AND exists(slice(_raw, 1, {len(columns) - 1}), x -> startswith(x, '"') AND NOT x RLIKE r'{closed}')"""
     return (
-        lines.selectExpr(*pick(keep), "line_no", "split(_line, ',') AS _raw")
-        .filter(f"NOT {spills}")
-        .selectExpr(*pick(keep), "CAST(line_no AS BIGINT) AS line_no", f"transform(_raw, x -> {value}) AS _cells")
+        lines.selectExpr(*pick(keep), "line_no", "_line", "split(_line, ',') AS _raw")
+        .filter(f"NOT ({spills})")
+        .selectExpr(*pick(keep), "CAST(line_no AS BIGINT) AS line_no", f"{cells} AS _cells")
         .filter(f"_cells != array({literals(columns)})")
         .selectExpr(*pick(keep), "line_no", *[named(f"_cells[{i}]", n) for i, n in enumerate(columns)])
     )

@@ -160,3 +160,13 @@ def test_conditional_texts(spark, small):
     sizes = {r["income"]: r["count"] for r in rows.groupBy("income").count().collect()}
     assert sum(shares.values()) == 50
     assert shares["<=50K"] == round(50 * sizes["<=50K"] / sum(sizes.values()))
+
+
+def test_plain_lines_are_not_taken_apart_twice(spark):
+    """Quotes and blanks are looked for in whole lines; cells read the same as one by one."""
+    text = 'a,b\n1,2\n 3 ,\t4\n"5","6 ""x"""\n"7,8\n9,"0\n" , "\n,\n5"x,"y"z'
+    got = parse_replies(spark.createDataFrame([(1, text)], "round long, reply string"), ["a", "b"])
+    rows = [(r.line_no, r.a, r.b) for r in got.orderBy("line_no").collect()]
+    assert rows == [(1, "1", "2"), (2, "3", "4"), (3, "5", '6 "x"'), (5, "9", "0"), (7, "", ""), (8, '5"x', "yz")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" in plan and plan.count("instr(_line") >= plan.count("exists(")
