@@ -1,12 +1,13 @@
 """Whole runs, and parity with DuckDB for a cross-section of the registered queries."""
 
 import os
+import threading
 
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
-from tabloom.plans import views
+from tabloom.plans import evaluation, views
 from tabloom.plans.evaluation import evaluate_run, generate_synthetic, run_experiment, seed_statistics
 from tabloom.session import materialize
 from tabloom.sources.sinks import flatten
@@ -67,3 +68,16 @@ def test_parity(spark, small, name):
     expected = con.execute(entry_points.oracle_sql()[name]).df()
     found = entry_points.queries()[name](spark, small).toPandas()
     assert _rows(found) == _rows(expected)
+
+
+def test_seeds_run_together(spark, monkeypatch):
+    """Two seeds meet at a barrier, which runs one after the other would never pass; reports stay in order."""
+    both = threading.Barrier(2, timeout=20)
+
+    def run(spec, df, seed, **_):
+        both.wait()
+        return df.selectExpr(f"{seed}L AS seed")
+
+    monkeypatch.setattr(evaluation, "run_seed", run)
+    reports = evaluation.run_experiment(None, spark.range(1), [7, 11])
+    assert [r.seed for r in reports.collect()] == [7, 11]
