@@ -112,6 +112,19 @@ def test_cells_stay_below_a_tile(spark):
         assert {p for _, p, _ in nodes} == {c for c, _, leaf in above if not leaf}
 
 
+def test_cuts_go_where_the_sides_are_apart():
+    """Columns in two clumps exclude more rows than even ones, although these vary more."""
+    rng = np.random.default_rng(4)
+    some = lambda n: np.column_stack([rng.random((n, 3)), rng.choice([0.25, 0.75], (n, 6)) + 0.01 * rng.random((n, 6))])
+    real, probes = some(4000), some(300)
+    codes = [rng.integers(0, 3, (n, 1)).astype(np.int16) for n in (4000, 300)]
+    best = np.full(300, np.inf)
+    compared = tiles.Cell(real, codes[0], 16, 4).nearest(probes, codes[1], best)
+    exact = ((probes[:, None] - real[None]) ** 2).sum(2) + (codes[1] != codes[0].T)
+    assert np.allclose(best, exact.min(axis=1), atol=1e-12)
+    assert compared.mean() < 35
+
+
 def test_tstr(spark):
     rng = np.random.default_rng(1)
     rows = _clusters(rng, 600)
