@@ -125,6 +125,24 @@ def test_cuts_go_where_the_sides_are_apart():
     assert compared.mean() < 35
 
 
+def test_only_open_probes_go_on():
+    """Passes share out the near cells, each once, ties included; a probe without any from a place on is left out there."""
+    rng = np.random.default_rng(5)
+    low = np.round(rng.random((40, 2)), 1)
+    high = low + 0.1
+    words = pa.array([["k"]] * 40)
+    cells = pa.table({"cell": np.arange(40), "low": pa.array(low.tolist()), "high": pa.array(high.tolist()), "first": words, "last": words})
+    x, d = np.round(rng.random((200, 2)), 1), rng.random(200) * 0.05
+    probes = pa.RecordBatch.from_pydict({"id": np.arange(200), "x": pa.array(x.tolist()), "k": pa.array([["k"]] * 200), "d": d})
+    gap = np.maximum(0, np.maximum(low[None] - x[:, None], x[:, None] - high[None]))
+    near = (gap**2).sum(2) < d[:, None]
+    visits = [sorted(zip(*tiles._visits(cells, p, probes))) for p in ((0, 1), (1, 5), (5, None))]
+    assert sorted(sum(visits, [])) == sorted(zip(*np.nonzero(near)))
+    for place in (1, 5):
+        left = pa.Table.from_batches(tiles.open_probes(cells, place)([probes]))
+        assert left["id"].to_pylist() == np.flatnonzero(near.sum(axis=1) > place).tolist() and 0 < len(left) < 200
+
+
 def test_tstr(spark):
     rng = np.random.default_rng(1)
     rows = _clusters(rng, 600)

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry_points
 from tabloom.plans import evaluation, views
 from tabloom.plans.evaluation import evaluate_run, generate_synthetic, run_experiment, seed_statistics
-from tabloom.session import materialize
+from tabloom.session import METHOD_LIMIT, compiled_methods, materialize
 from tabloom.sources.sinks import flatten
 from tabloom.sources.tables import HELOC
 
@@ -81,3 +81,20 @@ def test_seeds_run_together(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "run_seed", run)
     reports = evaluation.run_experiment(None, spark.range(1), [7, 11])
     assert [r.seed for r in reports.collect()] == [7, 11]
+
+
+def test_runs_keep_generated_methods_short(spark, small, monkeypatch):
+    """Jobs of a run, and only they, fuse no operators into methods that stay interpreted; its report is stored."""
+    name, limit = METHOD_LIMIT
+    own, seen, run = spark.conf.get(name), [], evaluation.evaluate_run
+
+    def evaluate(*args, **options):
+        with compiled_methods(spark):
+            pass
+        seen.append(int(spark.conf.get(name)))  # still held by the run
+        return run(*args, **options)
+
+    monkeypatch.setattr(evaluation, "evaluate_run", evaluate)
+    reports = evaluation.run_experiment(HELOC, views.real(spark, small, "heloc"), [7], max_real=50, max_synthetic=50)
+    assert seen == [limit] and spark.conf.get(name) == own
+    assert reports.inputFiles() and all("/report-" in f for f in reports.inputFiles())
