@@ -156,6 +156,16 @@ def test_tstr(spark):
         tstr_report(train.filter("y = 'no'"), train, test.filter("y = 'no'"), "y")
 
 
+def test_labels_come_from_the_distinct_values(spark):
+    rows = [(1, "b", None, 0, "x"), (2, "a", None, 1, "y"), (3, None, None, 1, "x"), (4, "b", None, 0, "x"), (5, "c", "d", 2, None)]
+    df = spark.createDataFrame(rows, "_row_id int, t string, u string, f int, y string")
+    design = utility.Design.fit(df.filter("y IS NOT NULL"), "y", ROW_ID)
+    assert sorted(tuple(map(str, r)) for r in design.levels.collect()) == [
+        ("v0", "None"), ("v0", "a"), ("v0", "b"), ("v1", "None"), ("v2", "0"), ("v2", "1"),
+    ]
+    assert [list(x) for x in design.pipeline(1e-4, 5).getStages()[0].labelsArray] == [["a", "b"], [], ["0", "1"]]
+
+
 def test_describe_of_few_values(spark):
     got = describe(spark.createDataFrame([(1.0,), (1.0,), (4.0,), (None,)], "dcr double")).first()
     assert (got["count"], got["mean"], got["min"], got["max"], got["50%"], got["75%"]) == (3, 2.0, 1.0, 4.0, 1.0, 2.5)
